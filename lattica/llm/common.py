@@ -63,3 +63,14 @@ def slices(batch: pa.RecordBatch, name: str, most: int) -> Iterator[pa.RecordBat
         stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+
+
+def table_in_shared_folder(df: DataFrame) -> DataFrame:
+    """The rows written as Parquet beside the checkpoints and read again: later readers take only the columns they need."""
+    import uuid
+
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    path = f"{folder.rstrip('/')}/lattica-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
