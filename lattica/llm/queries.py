@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, repeats, sharding, simhash, toxicity
+from . import bpe, packing, quality, repeats, sharding, simhash, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,5 +42,9 @@ def op10_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_trees, op5_toxicity, op6_bpe_round_trip, op2_histogram_shards, op8_hilbert_packing, op3_simhash_covering, op10_suffix_array_repeats)}
+def op7_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_trees, op5_toxicity, op6_bpe_round_trip, op2_histogram_shards, op8_hilbert_packing, op3_simhash_covering, op10_suffix_array_repeats, op7_url_model)}
 ORACLE_SQL: dict[str, str] = {}
