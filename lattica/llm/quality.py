@@ -120,20 +120,24 @@ def judge(documents: DataFrame, forest: gbt.Forest, keep_from: float = KEEP_FROM
 
 def keep(documents: DataFrame, forest: gbt.Forest, keep_from: float = KEEP_FROM) -> DataFrame:
     """The documents that pass, with all their columns."""
-    return filtered(documents, lambda texts: _verdicts(texts, forest, keep_from))
 
+    def verdicts():
+        def of(texts: list[bytes]) -> np.ndarray:
+            found = [statistics(x) for x in texts]
+            base = np.asarray([x[0] for x in found], dtype=np.int64)
+            failed = (base[:, 0] < LEAST_WORDS) | (100 * base[:, 4] > REPEAT_PERCENT * base[:, 0])
+            return ~failed & (forest.probability(np.asarray([x[1] for x in found], dtype=float)) >= keep_from)
+
+        return of
 
-def _verdicts(texts: list[bytes], forest: gbt.Forest, keep_from: float) -> np.ndarray:
-    found = [statistics(x) for x in texts]
-    base = np.asarray([x[0] for x in found], dtype=np.int64)
-    failed = (base[:, 0] < LEAST_WORDS) | (100 * base[:, 4] > REPEAT_PERCENT * base[:, 0])
-    return ~failed & (forest.probability(np.asarray([x[1] for x in found], dtype=float)) >= keep_from)
+    return filtered(documents, verdicts)
 
 
-def filtered(documents: DataFrame, verdict) -> DataFrame:
-    """Rows whose text gets True from verdict(list of bytes); no row leaves its task, so nothing is shuffled."""
+def filtered(documents: DataFrame, verdicts) -> DataFrame:
+    """Rows to whose text verdicts() (made once for each partition) says True; no row leaves its task."""
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        verdict = verdicts()
         for batch in batches:
             if batch.num_rows:
                 texts = [(x or "").encode() for x in batch.column("text").to_pylist()]

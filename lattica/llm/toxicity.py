@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import gbt
 from .common import as_bytes, batch_of, fold, text_bytes
-from .quality import labelled
+from .quality import filtered, labelled
 
 #: Labelled rows that lexicon, trees and calibration are fitted to at most.
 FIT_ROWS = 20_000
@@ -165,3 +165,13 @@ def judge(documents: DataFrame, model: Model) -> DataFrame:
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id") == 0).alias("held_out"), text_bytes().alias("text"))
     return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def drop(documents: DataFrame, model: Model) -> DataFrame:
+    """The documents that are not predicted to be toxic, with all their columns."""
+
+    def verdicts():
+        look = Lookup(model.words, model.stems)
+        return lambda texts: model.score(texts, look) < 0.5
+
+    return filtered(documents, verdicts)
