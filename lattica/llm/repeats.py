@@ -220,8 +220,10 @@ def _buckets(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _block(docs: pa.Table) -> tuple[Block, pa.Table]:
-    ids = docs.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy()
-    return Block(ids, docs.column("_bytes").to_pylist()), docs
+    """The block and its rows, in the order of ids, then texts: a shuffle brings them in any order, and places must stay the same."""
+    ids, texts = docs.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_pylist(), docs.column("_bytes").to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+    return Block(np.asarray([ids[i] for i in order], dtype=np.int64), [texts[i] for i in order]), docs.take(pa.array(order))
 
 
 def _runs(of: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -332,10 +334,9 @@ def compare_contexts(found: pa.Table) -> pa.Table:
 
 def removed_bytes(block: Block, places: np.ndarray, masks: np.ndarray) -> np.ndarray:
     """A flag for each byte of the block. places: of one anchor of each context that has strings with smaller owners elsewhere."""
-    gone = np.zeros(len(block.data) + 1, dtype=np.int32)
+    none = np.zeros(len(block.data), dtype=bool)
     if not len(block.at):
-        return gone[:-1].astype(bool)
-    everything = (1 << STARTS) - 1
+        return none
     # contexts are equal within the block only where the hashed anchors are
     _, kind, times = np.unique(block.hash, return_inverse=True, return_counts=True)
     told = np.zeros(len(block.at), dtype=np.uint64)
@@ -344,19 +345,20 @@ def removed_bytes(block: Block, places: np.ndarray, masks: np.ndarray) -> np.nda
     has[kind[told > 0]] = True
     pick = np.flatnonzero((times[kind] > 1) | has[kind])
     if not len(pick):
-        return gone[:-1].astype(bool)
+        return none
     first, own = classes(block.contexts(pick))
     smallest, mask = np.full(len(first), NO_ID), np.zeros(len(first), dtype=np.uint64)
     ids, row, at = block.ids[block.row[pick]], block.row[pick], block.at[pick]
     np.minimum.at(smallest, own, ids)
     np.bitwise_or.at(mask, own, told[pick])
-    final = np.where(ids > smallest[own], np.uint64(everything), mask[own])
-    for j in range(STARTS):
-        begin = at - BEFORE + j
-        here = ((final >> np.uint64(j)) & np.uint64(1)).astype(bool) & (begin >= block.start[row]) & (begin + LENGTH <= block.end[row])
-        np.add.at(gone, begin[here], 1)
-        np.add.at(gone, begin[here] + LENGTH, -1)
-    return np.cumsum(gone[:-1]) > 0
+    final = np.where(ids > smallest[own], np.uint64((1 << STARTS) - 1), mask[own])
+    hit = np.flatnonzero(final)
+    begin = at[hit][:, None] + (np.arange(STARTS) - BEFORE)
+    flagged = (final[hit][:, None] >> np.arange(STARTS, dtype=np.uint64) & np.uint64(1)).astype(bool)
+    flagged &= (begin >= block.start[row[hit]][:, None]) & (begin + LENGTH <= block.end[row[hit]][:, None])
+    begun = np.cumsum(np.bincount(begin[flagged], minlength=len(none)))
+    begun[LENGTH:] -= begun[:-LENGTH].copy()  # strings that began in the last LENGTH bytes
+    return begun > 0
 
 
 def digest(docs: pa.Table, block: Block, gone: np.ndarray) -> pa.Table:
