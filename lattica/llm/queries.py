@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngrams, packing, quality, repeats, sharding, simhash, toxicity, urls
+from . import bpe, media, ngrams, packing, quality, repeats, sharding, simhash, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,5 +50,9 @@ def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_trees, op5_toxicity, op6_bpe_round_trip, op2_histogram_shards, op8_hilbert_packing, op3_simhash_covering, op10_suffix_array_repeats, op7_url_model, op9_deleted_interpolation)}
+def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.copies(media.page_images(table(spark, sf_dir, "pages")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_trees, op5_toxicity, op6_bpe_round_trip, op2_histogram_shards, op8_hilbert_packing, op3_simhash_covering, op10_suffix_array_repeats, op7_url_model, op9_deleted_interpolation, op4_image_copies)}
 ORACLE_SQL: dict[str, str] = {}
