@@ -12,10 +12,10 @@ def valid_at(start: Column, end: Column, at: Column) -> Column:
 
 def overlapping(rows: DataFrame, entity: str, key: str, start: str, end: str) -> DataFrame:
     """entity, a, b (keys, a < b) of intervals of one entity that share a moment. Joined by entity, so hashed, not nested."""
-    a = rows.select(entity, F.col(key).alias("a"), F.col(start).alias("s"), F.col(end).alias("e"))
-    b = rows.select(entity, F.col(key).alias("b"), F.col(start).alias("s2"), F.col(end).alias("e2"))
-    meet = (F.col("s").isNull() | F.col("e2").isNull() | (F.col("s") <= F.col("e2"))) & (F.col("s2").isNull() | F.col("e").isNull() | (F.col("s2") <= F.col("e")))
-    return a.join(b, entity).filter((F.col("a") < F.col("b")) & meet).select(entity, "a", "b")
+    a = rows.select(F.col(entity).alias("_entity"), F.col(key).alias("_a"), F.col(start).alias("_from"), F.col(end).alias("_to"))
+    b = rows.select(F.col(entity).alias("_entity"), F.col(key).alias("_b"), F.col(start).alias("_from2"), F.col(end).alias("_to2"))
+    meet = (F.col("_from").isNull() | F.col("_to2").isNull() | (F.col("_from") <= F.col("_to2"))) & (F.col("_from2").isNull() | F.col("_to").isNull() | (F.col("_from2") <= F.col("_to")))
+    return a.join(b, "_entity").filter((F.col("_a") < F.col("_b")) & meet).select(F.col("_entity").alias(entity), F.col("_a").alias("a"), F.col("_b").alias("b"))
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, right_at: str, value: str, tie: str) -> DataFrame:
