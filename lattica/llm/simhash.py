@@ -189,14 +189,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame) -> DataFrame:
     """The document of the smallest id of each group, with all its columns; of rows equal in id and fingerprint, one."""
     named = components(documents)
-    keepers = named.filter("fp = keeper_fp and doc_id <=> component_id").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
+    keepers = named.filter("fp = keeper_fp and doc_id <=> component_id").select("doc_id", "fp").distinct()
+    whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+    rows = documents.select(whole.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = signed([fingerprint((x or "").encode()) for x in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=[*batch.schema.names, "_own_fp"])
+            own = pa.array(signed([fingerprint(x) for x in as_bytes(batch, "text")]))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), own], names=["row", "doc_id", "fp"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + ", _own_fp long"
-    rows = documents.mapInArrow(add, ddl)
-    kept = rows.join(keepers, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_own_fp") == F.col("_fp")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_own_fp"]).select(*documents.columns)
+    marked = rows.mapInArrow(add, f"row {rows.schema['row'].dataType.simpleString()}, doc_id long, fp long")
+    same = marked["doc_id"].eqNullSafe(keepers["doc_id"]) & (marked["fp"] == keepers["fp"])
+    return marked.join(keepers, same, "left_semi").dropDuplicates(["doc_id", "fp"]).select("row.*")
