@@ -43,7 +43,7 @@ def op10_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"))
+    return urls.judge(table(spark, sf_dir, "pages")).drop("score")
 
 
 def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,4 +55,16 @@ def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_trees, op5_toxicity, op6_bpe_round_trip, op2_histogram_shards, op8_hilbert_packing, op3_simhash_covering, op10_suffix_array_repeats, op7_url_model, op9_deleted_interpolation, op4_image_copies)}
-ORACLE_SQL: dict[str, str] = {}
+#: Every string of 50 bytes of every document, by its smallest document; then the bytes that are left.
+_REPEATS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT r, doc_id, s, md5(substr(h, 2 * s + 1, 100)) AS k FROM d, LATERAL (SELECT unnest(range(0, n - 49)) AS s) WHERE n >= 50),
+o AS (SELECT k, min(coalesce(doc_id, 9223372036854775807)) AS least FROM w GROUP BY k),
+gone AS (SELECT r, s FROM w JOIN o ON w.k = o.k WHERE coalesce(doc_id, 9223372036854775807) > least),
+runs AS (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 50 THEN 0 ELSE 1 END AS new FROM gone)),
+spans AS (SELECT r, min(s) AS a, max(s) + 50 AS b FROM runs GROUP BY r, run),
+gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS p FROM spans),
+kept AS (SELECT gaps.r, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS h, sum(b - a) AS n_removed, count(*) AS n_spans FROM gaps JOIN d ON gaps.r = d.r GROUP BY gaps.r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256 FROM d LEFT JOIN kept ON d.r = kept.r"""
+
+ORACLE_SQL: dict[str, str] = {"op7_url_model": urls.sql(), "op10_suffix_array_repeats": _REPEATS_SQL}

@@ -28,8 +28,8 @@ from .common import cut
 SIGNS = "abcdefghijklmnopqrstuvwxyz./-_?=&#%:"
 ALPHABET = len(SIGNS) + 3  # with the digit, the other and the edge
 START, DIGIT, OTHER = "^", "0", "~"
-#: Of the fold that the threshold is chosen on: one url hash in FOLDS.
-FOLDS = 5
+#: The fold that the threshold is chosen on: urls whose MD5 begins so.
+HELD_OUT = ("0", "1", "2")
 #: Steps of the score among which the threshold is chosen.
 STEP = 0.01
 
@@ -147,7 +147,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("m", matched(F.col("host"), F.col("path"), rules))
     rows = rows.select("page_id", "url", "host", "path", "m.rule", "m.kind")
     # Each different url is scored once, however many pages have it.
-    different = rows.groupBy("url").agg(F.max("kind").alias("kind")).withColumn("signs", signs(F.col("url"))).withColumn("held", F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0)
+    different = rows.groupBy("url").agg(F.max("kind").alias("kind")).withColumn("signs", signs(F.col("url"))).withColumn("held", F.substring(F.md5("url"), 1, 1).isin(*HELD_OUT))
     ratios = cut(model(different.filter("not held")))
     held = scores(different.filter("held and kind is not null").withColumn("key", F.struct("url", "kind")), ratios, "key")
     least = threshold(held.select("score", "key.kind"))
@@ -156,3 +156,42 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     allowed = F.coalesce(F.col("score"), F.lit(0.0)) >= least
     verdict = F.coalesce(F.col("kind"), F.when(allowed, "allow").otherwise("block"))
     return rows.join(judged, "url", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+
+
+def sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The same verdicts in SQL, without the score, whose last digits depend on the engine's logarithm."""
+    listed = ", ".join(f"('{r.kind}', '{r.host}', '{r.path}')" for r in rules)
+    held = ", ".join(f"'{x}'" for x in HELD_OUT)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH rules(kind, host, path) AS (VALUES {listed}),
+rest AS (SELECT page_id, url, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END, '') AS rest FROM pages),
+parts AS (SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{lower}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+places AS (SELECT DISTINCT host, path FROM parts),
+fits AS (SELECT p.host, p.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.kind, length(r.host || r.path)) AS kind
+  FROM places p JOIN rules r ON (p.host = r.host OR suffix(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY ALL),
+ruled AS (SELECT page_id, url, parts.host, parts.path, rule, kind FROM parts LEFT JOIN fits ON parts.host = fits.host AND parts.path = fits.path),
+plain AS (SELECT url, max(kind) AS kind, regexp_replace(regexp_replace(translate(coalesce(url, ''), '{upper}', '{lower}'), '[0-9]', '0', 'g'), '[^a-z0./_?=&#%:-]', '~', 'g') AS low FROM ruled GROUP BY url),
+different AS (SELECT url, kind, CASE WHEN low = '' THEN '' ELSE '^^' || low END AS signs, substr(md5(url), 1, 1) IN ({held}) AS held FROM plain),
+grams AS (SELECT url, kind, held, substr(signs, i::BIGINT, 3) AS g FROM different, LATERAL (SELECT unnest(range(1, length(signs) - 1)) AS i)),
+c3 AS (SELECT kind, g, count(*)::DOUBLE AS n FROM grams WHERE kind IS NOT NULL AND NOT held GROUP BY ALL),
+h3 AS (SELECT kind, substr(g, 1, 2) AS h, sum(n) AS n, count(*) AS t FROM c3 GROUP BY ALL),
+c2 AS (SELECT kind, substr(g, 2, 2) AS g, sum(n) AS n FROM c3 GROUP BY ALL),
+h2 AS (SELECT kind, substr(g, 1, 1) AS h, sum(n) AS n, count(*) AS t FROM c2 GROUP BY ALL),
+c1 AS (SELECT kind, substr(g, 3, 1) AS g, sum(n) AS n FROM c3 GROUP BY ALL),
+h1 AS (SELECT kind, sum(n) AS n, count(*) AS t FROM c1 GROUP BY ALL),
+kinds(kind) AS (VALUES ('allow'), ('block')),
+known AS (SELECT kinds.kind, every.g FROM kinds, (SELECT DISTINCT g FROM c3) every),
+joined AS (SELECT k.kind, k.g, coalesce(c3.n, 0) AS n3, coalesce(h3.n, 0) AS h3n, coalesce(h3.t, 0) AS h3t, coalesce(c2.n, 0) AS n2, coalesce(h2.n, 0) AS h2n, coalesce(h2.t, 0) AS h2t, coalesce(c1.n, 0) AS n1, coalesce(h1.n, 0) AS h1n, greatest(coalesce(h1.t, 0), 1) AS h1t
+  FROM known k LEFT JOIN c3 ON c3.kind = k.kind AND c3.g = k.g LEFT JOIN h3 ON h3.kind = k.kind AND h3.h = substr(k.g, 1, 2) LEFT JOIN c2 ON c2.kind = k.kind AND c2.g = substr(k.g, 2, 2)
+  LEFT JOIN h2 ON h2.kind = k.kind AND h2.h = substr(k.g, 2, 1) LEFT JOIN c1 ON c1.kind = k.kind AND c1.g = substr(k.g, 3, 1) LEFT JOIN h1 ON h1.kind = k.kind),
+one AS (SELECT *, (n1 + h1t * (1.0::DOUBLE / {ALPHABET})) / (h1n + h1t) AS p1 FROM joined),
+two AS (SELECT *, CASE WHEN h2n > 0 THEN (n2 + h2t * p1) / (h2n + h2t) ELSE p1 END AS p2 FROM one),
+three AS (SELECT kind, g, ln(CASE WHEN h3n > 0 THEN (n3 + h3t * p2) / (h3n + h3t) ELSE p2 END) AS l FROM two),
+ratios AS (SELECT a.g, CAST(a.l - b.l AS DECIMAL(38, 9)) AS ratio FROM three a JOIN three b ON a.g = b.g AND a.kind = 'allow' AND b.kind = 'block'),
+scored AS (SELECT url, kind, held, sum(coalesce(ratio, 0))::DOUBLE / count(*) AS score FROM grams LEFT JOIN ratios ON grams.g = ratios.g GROUP BY url, kind, held),
+bins AS (SELECT floor(score / {STEP}::DOUBLE)::BIGINT AS bin, count(*) FILTER (kind = 'allow') AS good, count(*) FILTER (kind = 'block') AS bad FROM scored WHERE held AND kind IS NOT NULL GROUP BY 1),
+sums AS (SELECT bin, lag(bin) OVER w AS before, sum(good) OVER () AS all_good, sum(bad) OVER () AS all_bad, sum(good) OVER w - good AS lost, sum(bad) OVER () - sum(bad) OVER w + bad AS kept FROM bins WINDOW w AS (ORDER BY bin)),
+least AS (SELECT {STEP}::DOUBLE * (bin + coalesce(before + 1, bin)) / 2 AS least FROM sums WHERE all_good > 0 AND all_bad > 0 ORDER BY lost::DOUBLE / all_good::DOUBLE + kept::DOUBLE / all_bad::DOUBLE, bin LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(r.kind, CASE WHEN coalesce(s.score, 0) >= coalesce((SELECT least FROM least), '-infinity'::DOUBLE) THEN 'allow' ELSE 'block' END) AS verdict
+FROM ruled r LEFT JOIN scored s ON r.url = s.url"""
