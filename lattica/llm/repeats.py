@@ -26,6 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ BLOCK, STEP = 4 << 20, 1 << 17
 #: Bytes before an anchor that belong to a string with it, bytes of a context, strings in a context.
 BEFORE = LENGTH - GRAM
 WIDTH, STARTS = BEFORE + LENGTH, BEFORE + 1
+#: Contexts looked at and suffixes sorted at a time, about.
+PART, SUFFIXES = 1 << 15, 250_000
 #: A byte that no UTF-8 text has stands where a document ends.
 OUTSIDE, NO_ID = 0xFF, np.iinfo(np.int64).max
 _BASE = 0x100000001B3
@@ -108,10 +112,14 @@ class Block:
 
     def contexts(self, pick: np.ndarray) -> np.ndarray:
         """A row of WIDTH bytes around each of the anchors; OUTSIDE past the ends of their document."""
-        at, row = self.at[pick], self.row[pick]
-        place = at[:, None] + np.arange(-BEFORE, LENGTH)
-        inside = (place >= self.start[row][:, None]) & (place < self.end[row][:, None])
-        return np.where(inside, self.data[np.clip(place, 0, len(self.data) - 1)], np.uint8(OUTSIDE))
+        out = np.full((len(pick), WIDTH), OUTSIDE, dtype=np.uint8)
+        for k in range(0, len(pick), PART):
+            own = pick[k : k + PART]
+            at, row = self.at[own], self.row[own]
+            place = at[:, None] + np.arange(-BEFORE, LENGTH)
+            inside = (place >= self.start[row][:, None]) & (place < self.end[row][:, None])
+            out[k : k + PART][inside] = self.data[place[inside]]
+        return out
 
 
 def row_hashes(rows: np.ndarray) -> np.ndarray:
@@ -139,7 +147,7 @@ def suffix_order(rows: np.ndarray, row: np.ndarray, start: np.ndarray) -> tuple[
     A suffix ends with its row's bytes, or where OUTSIDE begins; ends differ from each other and from bytes.
     """
     padded = np.pad(rows, ((0, 0), (0, WIDTH + 8)), constant_values=OUTSIDE)
-    words = np.stack([padded[row, start + k] for k in range(WIDTH + 4)], axis=1)
+    words = np.lib.stride_tricks.sliding_window_view(padded, WIDTH + 4, axis=1)[row, start]
     keys = np.ascontiguousarray(words).view(">u8").astype(np.uint64)
     order = np.lexsort(keys.T[::-1])
     a, b = words[order[:-1]], words[order[1:]]
@@ -183,18 +191,31 @@ def smaller_owner(rows: np.ndarray, owner: np.ndarray) -> np.ndarray:
         return mask
     inside = rows != OUTSIDE
     first, after = inside.argmax(axis=1), WIDTH - inside[:, ::-1].argmax(axis=1)
+    j = np.arange(STARTS)
+    row, start = np.nonzero((j >= first[:, None]) & (j + LENGTH <= after[:, None]))
+    hashes = np.concatenate([string_hashes(rows[a : a + PART]) for a in range(0, len(rows), PART)])
+    _, kind, times = np.unique(hashes[row, start], return_inverse=True, return_counts=True)
+    again = np.flatnonzero(times[kind] > 1)  # suffixes whose first LENGTH bytes nobody shares have no part in a repeat
+    # Suffixes are sorted some at a time; those with the same first LENGTH bytes stay together, and no interval is wider.
+    parts = -(-len(again) // SUFFIXES)
+    for k in range(parts):
+        own = again[kind[again] % parts == k] if parts > 1 else again
+        _mark(mask, rows, owner, row[own], start[own])
+    return mask
+
+
+def string_hashes(rows: np.ndarray) -> np.ndarray:
+    """A hash of the LENGTH bytes from each of the STARTS places of each context."""
     power = np.uint64(pow(_BASE, LENGTH, 1 << 64))
     prefix = np.zeros((WIDTH + 1, len(rows)), dtype=np.uint64)
     for k in range(WIDTH):
         prefix[k + 1] = prefix[k] * np.uint64(_BASE) + rows[:, k].astype(np.uint64) + np.uint64(1)
-    hashes = np.stack([prefix[j + LENGTH] - prefix[j] * power for j in range(STARTS)], axis=1)
-    j = np.arange(STARTS)
-    row, start = np.nonzero((j >= first[:, None]) & (j + LENGTH <= after[:, None]))
-    _, kind, times = np.unique(hashes[row, start], return_inverse=True, return_counts=True)
-    again = times[kind] > 1  # suffixes whose first LENGTH bytes nobody shares have no part in a repeat
-    row, start = row[again], start[again]
+    return np.stack([prefix[j + LENGTH] - prefix[j] * power for j in range(STARTS)], axis=1)
+
+
+def _mark(mask: np.ndarray, rows: np.ndarray, owner: np.ndarray, row: np.ndarray, start: np.ndarray) -> None:
     if not len(row):
-        return mask
+        return
     order, common = suffix_order(rows, row, start)
     row, start = row[order], start[order]
     before = rows[row, np.maximum(start - 1, 0)].astype(np.int64)
@@ -204,12 +225,19 @@ def smaller_owner(rows: np.ndarray, owner: np.ndarray) -> np.ndarray:
         at = at[owner[row[at]] > smallest]
         bits = np.uint64((1 << min(length - LENGTH + 1, STARTS)) - 1)
         np.bitwise_or.at(mask, row[at], (bits << start[at].astype(np.uint64)) & np.uint64((1 << STARTS) - 1))
-    return mask
 
 
 # The Spark job.
 
 
+def press(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+
+
+def pressed(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind)
+
+
 def _low(h: np.ndarray) -> np.ndarray:
     """48 bits of an anchor's hash: what is compared to find shared ones. Equal bits of different anchors only cost time."""
     return h & np.uint64((1 << 48) - 1)
@@ -294,7 +322,7 @@ def send_contexts(buckets: int):
             number = docs.column("_block")[0].as_py()
             for b, s in _runs(to[order]):
                 part = order[s]
-                out.append((b, number, rows[first[part]].tobytes(), smallest[part].astype("<i8").tobytes(), block.at[pick[first[part]]].astype("<i8").tobytes()))
+                out.append((b, number, *map(press, (rows[first[part]], smallest[part].astype("<i8"), block.at[pick[first[part]]].astype("<i8")))))
         return pa.Table.from_pylist([dict(zip(CONTEXT.names, x, strict=True)) for x in out], schema=CONTEXT)
 
     return run
@@ -307,9 +335,9 @@ def compare_contexts(found: pa.Table) -> pa.Table:
     """For each block's contexts: which strings have an owner smaller than the block's smallest id for that context."""
     blocks, many, rows, ids, places = [], [], [], [], []
     for block, c, i, p in zip(*(found.column(x).to_pylist() for x in ("block", "contexts", "ids", "places")), strict=True):
-        rows.append(np.frombuffer(c, dtype=np.uint8).reshape(-1, WIDTH))
-        ids.append(np.frombuffer(i, dtype="<i8"))
-        places.append(np.frombuffer(p, dtype="<i8"))
+        rows.append(pressed(c, np.uint8).reshape(-1, WIDTH))
+        ids.append(pressed(i, "<i8"))
+        places.append(pressed(p, "<i8"))
         blocks.append(block)
         many.append(len(rows[-1]))
     rows, ids, places = np.concatenate(rows), np.concatenate(ids), np.concatenate(places)
@@ -374,28 +402,27 @@ def digest(docs: pa.Table, block: Block, gone: np.ndarray) -> pa.Table:
 DIGEST_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def rewritten(columns: list[str]):
-    """Documents with what is left of their texts; characters cut in two go; those with nothing left go."""
-
-    def run(docs: pa.Table, block: Block, gone: np.ndarray) -> pa.Table:
-        texts = [block.data[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(block.start.tolist(), block.end.tolist(), strict=True)]
-        keep = pa.array([bool(t.strip()) or n == 0 for t, n in zip(texts, block.size.tolist(), strict=True)])
-        own = docs.select(columns)
-        if "n_chars" in columns:
-            own = own.set_column(columns.index("n_chars"), "n_chars", pa.array([len(t) for t in texts]).cast(own.schema.field("n_chars").type))
-        return own.set_column(columns.index("text"), "text", pa.array(texts, pa.string())).filter(keep)
-
-    return run
+def rewritten(docs: pa.Table, block: Block, gone: np.ndarray) -> pa.Table:
+    """Documents with what is left of their texts and its length; characters cut in two go, and so do documents of which nothing is left."""
+    texts = [block.data[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(block.start.tolist(), block.end.tolist(), strict=True)]
+    keep = pa.array([bool(t.strip()) or n == 0 for t, n in zip(texts, block.size.tolist(), strict=True)])
+    row = docs.column("_row").combine_chunks()
+    own = pa.table(row.flatten(), names=[f.name for f in row.type])
+    if "n_chars" in own.column_names:
+        own = own.set_column(own.column_names.index("n_chars"), "n_chars", pa.array([len(t) for t in texts]).cast(own.schema.field("n_chars").type))
+    empty = pa.array([t if n else None for t, n in zip(texts, block.size.tolist(), strict=True)], pa.string())
+    was = own.column("text").combine_chunks()
+    return own.set_column(own.column_names.index("text"), "text", pc.coalesce(empty, was)).filter(keep)
 
 
 def remove_repeats(documents: DataFrame, finish=digest, ddl: str = DIGEST_DDL, carry: bool = False, block_bytes: int = BLOCK) -> DataFrame:
-    """What `finish` makes of each block's documents; carry: give it all columns."""
+    """What `finish` makes of each block's documents; carry: give it all columns, as the struct _row."""
     spark = documents.sparkSession
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // 4)
-    columns = documents.columns if carry else ["doc_id"]
-    rows = documents.select(*columns, text_bytes().alias("_bytes"))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // 2)
+    whole = [F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_row")] if carry else []
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("_bytes"), *whole)
     rows = rows.withColumn("_block", F.pmod(F.xxhash64("doc_id", "_bytes"), F.lit(blocks)).cast("int"))
     by_block = rows.groupBy("_block")
 
@@ -416,4 +443,4 @@ def remove_repeats(documents: DataFrame, finish=digest, ddl: str = DIGEST_DDL, c
 def without_repeats(documents: DataFrame) -> DataFrame:
     """The documents with repeated passages cut out of their texts, with all their columns."""
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    return remove_repeats(documents, rewritten(documents.columns), ddl, carry=True)
+    return remove_repeats(documents, rewritten, ddl, carry=True)
