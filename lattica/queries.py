@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +12,7 @@ from .functions import documents as docs_fn
 from .functions.text import code_parts, composed, equal_but_for_case, similarity, trigrams
 from .model.defs import Reference
 from .operators import graph, reconcile, referential, search, temporal, versions
+from .plans.lineage import shared_folder
 from .rules import keys, runner, templates
 from .sources.tables import captured, driver_table as t
 from .streaming import ledger
@@ -705,12 +707,9 @@ def review_backlog(spark, sf):
 @query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL")
 def stream_ledger(spark, sf):
     """The events as a stream into daily counts; every batch is kept under its number, so a repeated one changes nothing."""
-    import uuid
-
     source = spark.read.parquet(f"{sf}/events.parquet")
-    name = f"ledger_{uuid.uuid4().hex}"
-    folder = f"{(spark.sparkContext.getConf().get('spark.checkpoint.dir') or '/tmp').rstrip('/')}/{name}"
-    stream = ledger.records(spark, sf, source.schema, "events.parquet") if not sf.endswith(".parquet") else ledger.records(spark, sf, source.schema)
+    folder = f"{shared_folder(spark.sparkContext)}/lattica-ledger-{uuid.uuid4().hex}"
+    stream = ledger.records(spark, sf, source.schema, "events.parquet")
     counted = stream.select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"))
 
     def write(batch: DataFrame, number: int) -> None:
