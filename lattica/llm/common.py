@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, shared_folder
+
+__all__ = ["as_bytes", "batch_of", "cut", "fold", "slices", "table", "table_in_shared_folder", "text_bytes"]
+
 #: Code points that separate words: space and the five controls from tab to carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -18,21 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows in the shared checkpoint folder, with no lineage behind them.
-
-    The folder is the session's ``spark.checkpoint.dir``; a local folder is chosen only where
-    the session names none, as in tests.
-    """
-    context = df.sparkSession.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
-    if folder is None and context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = tempfile.mkdtemp(prefix="lattica-checkpoint-")
-    if folder is not None and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def fold(column: str, n: int = 5) -> Column:
     """crc32 of the id as text, modulo n; a null id is in no fold (-1)."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(-1)).cast("int")
@@ -66,11 +55,11 @@ def slices(batch: pa.RecordBatch, name: str, most: int) -> Iterator[pa.RecordBat
 
 
 def table_in_shared_folder(df: DataFrame) -> DataFrame:
-    """The rows written as Parquet beside the checkpoints and read again: later readers take only the columns they need."""
-    import uuid
+    """The rows written as Parquet in the folder that all machines share, and read again: later readers take only the columns they need.
 
+    Like checkpoints, the files are left to whoever keeps that folder.
+    """
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    path = f"{folder.rstrip('/')}/lattica-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark.sparkContext)}/lattica-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
