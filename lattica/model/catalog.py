@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from functools import cache
 
-from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import DataType, StructField, StructType
 
 from .defs import Check, Column, Reference, Table, Unique
 
@@ -318,4 +318,4 @@ def catalog() -> dict[str, Table]:
 
 def schema_of(table: Table) -> StructType:
     """Every column may be null: Spark does not hold files to it, the not-null rules do."""
-    return StructType([StructField(c.name, _parse_datatype_string(c.type), True) for c in table.columns])
+    return StructType([StructField(c.name, DataType.fromDDL(c.type), True) for c in table.columns])

@@ -1,7 +1,8 @@
-"""Check templates as columns: true where a row breaks the check.
+"""Check templates as columns: true where a row breaks the check, else false, never null.
 
-A check whose answer is unknown holds, as SQL constraints have it, so every template is
-NOT coalesce(check, true).
+A check whose answer is unknown holds, as SQL constraints have it. That is written as "the operands are
+set and the check fails", not as NOT coalesce(check, true): the first form reaches the file scan as a
+filter, the second does not.
 """
 
 from __future__ import annotations
@@ -20,32 +21,32 @@ def _as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def broken(check: Column) -> Column:
-    return ~F.coalesce(check, F.lit(True))
-
-
 def enum(c: Column | str, members: list[str]) -> Column:
-    return broken(_as_column(c).isin(list(members)))
+    c = _as_column(c)
+    return c.isNotNull() & ~c.isin(list(members))
 
 
 def in_range(c: Column | str, low=None, high=None) -> Column:
     c = _as_column(c)
-    if low is not None and high is not None:
-        return broken(c.between(low, high))
-    return broken(c >= low if high is None else c <= high)
+    outside = [c < low] if low is not None else []
+    outside += [c > high] if high is not None else []
+    return c.isNotNull() & reduce(lambda a, b: a | b, outside)
 
 
 def ordered(start: Column | str, end: Column | str) -> Column:
-    return broken(_as_column(end) >= _as_column(start))
+    start, end = _as_column(start), _as_column(end)
+    return start.isNotNull() & end.isNotNull() & (end < start)
 
 
 def regex(c: Column | str, pattern: str) -> Column:
     r"""The pattern must end in \z where it means the end: $ lets a line break follow."""
-    return broken(_as_column(c).rlike(pattern))
+    c = _as_column(c)
+    return c.isNotNull() & ~c.rlike(pattern)
 
 
 def not_same(a: Column | str, b: Column | str) -> Column:
-    return broken(_as_column(a) != _as_column(b))
+    a, b = _as_column(a), _as_column(b)
+    return a.isNotNull() & b.isNotNull() & (a == b)
 
 
 def set_of(columns: list[Column | str]) -> Column:
@@ -63,7 +64,7 @@ def at_most_one(*columns: Column | str) -> Column:
 
 def iff(state: Column, value: Column | str) -> Column:
     """The state holds exactly where the value is set; an unknown state breaks nothing."""
-    return broken(state == _as_column(value).isNotNull())
+    return state.isNotNull() & (state != _as_column(value).isNotNull())
 
 
 def not_null(c: Column | str) -> Column:
@@ -72,11 +73,12 @@ def not_null(c: Column | str) -> Column:
 
 def too_long(c: Column | str, most: int, exact: bool = False) -> Column:
     n = F.length(_as_column(c))
-    return broken(n == most if exact else n <= most)
+    return n.isNotNull() & (n != most if exact else n > most)
 
 
 def geometry_kind(c: Column | str, kinds: list[int]) -> Column:
-    return broken(wkb_kind(_as_column(c)).isin(list(kinds)))
+    kind = wkb_kind(_as_column(c))
+    return kind.isNotNull() & ~kind.isin(list(kinds))
 
 
 def compiled(check: Check) -> Column:
