@@ -45,9 +45,9 @@ HOT = 256
 #: Fold that is scored only, and the training fold that the weights are learned on.
 SCORED, KEPT_OUT = 1, 2
 #: Tokens of a segment, and of a bucket of n-grams, about.
-SEGMENT, BUCKET = 1_500_000, 3_000_000
+SEGMENT, BUCKET = 800_000, 1_500_000
 #: Different words that a task counts before it hands them on.
-COUNTED = 400_000
+COUNTED = 250_000
 END = b""
 CONTEXTS, FINE = 32, 4
 
