@@ -31,7 +31,7 @@ from .common import as_bytes, batch_of, slices, text_bytes
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = np.iinfo(np.int32).max
 #: Bytes of a word up to which ranks are scanned; stretches kept in memory; bytes of text at a time.
-SHORT, KEPT, AT_ONCE = 64, 400_000, 8 << 20
+SHORT, KEPT, AT_ONCE = 64, 400_000, 4 << 20
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -160,16 +160,17 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
-        if len(self.later) + len(self.first) > KEPT:
-            self.later.clear()
-            self.first.clear()
         segments = [self.special_split.split(t) if self.special_split and any(s in t for s in self.special_ids) else [t] for t in texts]
         stretches = [[s.split(" ") for s in row] for row in segments]
-        heads = {s[0] for row in stretches for s in row} - self.first.keys()
+        heads = {s[0] for row in stretches for s in row}
         tails: set[str] = set()
         for row in stretches:
             for s in row:
                 tails.update(s)
+        if len(self.later) + len(self.first) > KEPT:  # what is met again now is kept
+            self.first = {k: self.first[k] for k in heads & self.first.keys()}
+            self.later = {k: self.later[k] for k in tails & self.later.keys()}
+        heads -= self.first.keys()
         tails -= self.later.keys()
         self._learn(self.first, heads, "")
         self._learn(self.later, tails, " ")

@@ -14,9 +14,6 @@ from ..plans.lineage import cut, shared_folder
 
 __all__ = ["as_bytes", "batch_of", "cut", "fold", "slices", "table", "table_in_shared_folder", "text_bytes"]
 
-#: Code points that separate words: space and the five controls from tab to carriage return.
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

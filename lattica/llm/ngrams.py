@@ -25,6 +25,8 @@ null id is trained on; with no training documents every estimate but the even on
 from __future__ import annotations
 
 import pickle
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -44,8 +46,8 @@ VOCABULARY, WORD_BYTES = (1 << 17) - 2, 256
 HOT = 256
 #: Fold that is scored only, and the training fold that the weights are learned on.
 SCORED, KEPT_OUT = 1, 2
-#: Tokens of a segment, and of a bucket of n-grams, about.
-SEGMENT, BUCKET = 800_000, 1_500_000
+#: Tokens of a segment, and of a bucket of n-grams at most and at least, about.
+SEGMENT, BUCKET, LEAST_BUCKET = 800_000, 1_500_000, 200_000
 #: Different words that a task counts before it hands them on.
 COUNTED = 250_000
 END = b""
@@ -117,8 +119,6 @@ def word_counts(rows: DataFrame) -> DataFrame:
     schema = pa.schema([("word", pa.binary()), ("main", pa.int64()), ("kept", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
         def out(parts) -> pa.RecordBatch:
             words = list(parts[0].keys() | parts[1].keys())
             return batch_of(schema, [words, [parts[0][w] for w in words], [parts[1][w] for w in words]])
@@ -238,7 +238,7 @@ def parts(rows: DataFrame, v: Vocabulary, hot: list[int], buckets: int) -> DataF
         lists: dict[int, tuple[list, list]] = {}
         for r, d in enumerate(docs):
             for w in d[3]:
-                own = lists.setdefault(hash_of(w) % buckets, ([], []))
+                own = lists.setdefault(zlib.crc32(w) % buckets, ([], []))
                 own[0].append(w)
                 own[1].append(r)
         for b, (own, at) in lists.items():
@@ -264,12 +264,6 @@ def parts(rows: DataFrame, v: Vocabulary, hot: list[int], buckets: int) -> DataF
     return rows.mapInArrow(run, PART_DDL)
 
 
-def hash_of(word: bytes) -> int:
-    import zlib
-
-    return zlib.crc32(word)
-
-
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """Rows of a bucket together, from rows sorted by bucket; those of no bucket one at a time."""
     bucket, own = None, []
@@ -467,16 +461,33 @@ def together(total: int):
     return run
 
 
-def score(documents: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+@dataclass(frozen=True)
+class Trained:
+    """sent: what the segments send, for sums(); hot: counts of the pairs that are never sent."""
+
+    sent: DataFrame
+    vocabulary: Vocabulary
+    weights: Weights
+    hot: dict[int, tuple[int, int]]
+
+
+def train(documents: DataFrame) -> Trained:
     rows = rows_of(documents)
     v = vocabulary(rows)
     hot = hot_pairs(rows, v)
-    buckets = max(1, -(-v.total // BUCKET))
-    tasks = min(buckets + 1, 4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sent = parts(rows, v, list(hot), buckets)
+    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # As many buckets as the tokens need, or as there are partitions while each still gets a fair number.
+    buckets = max(-(-v.total // BUCKET), min(partitions, -(-v.total // LEAST_BUCKET)), 1)
+    tasks = min(buckets + 1, 4 * partitions)
     spread = F.when(F.col("bucket") < 0, F.col("segment")).otherwise(F.col("bucket").cast("long"))
-    sent = cut(sent.repartition(tasks, spread).sortWithinPartitions("bucket"))
-    weights = learn(sent, v, hot)
-    # The order of a segment's rows decides the last bits of its sums.
-    return sums(sent, v, weights, hot).groupBy("segment").applyInArrow(together(v.total), OUT_DDL)
+    sent = cut(parts(rows, v, list(hot), buckets).repartition(tasks, spread).sortWithinPartitions("bucket"))
+    return Trained(sent, v, learn(sent, v, hot), hot)
+
+
+def score(documents: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
+
+    The order in which a segment's sums arrive decides their last bits.
+    """
+    t = train(documents)
+    return sums(t.sent, t.vocabulary, t.weights, t.hot).groupBy("segment").applyInArrow(together(t.vocabulary.total), OUT_DDL)

@@ -31,7 +31,7 @@ from .common import as_bytes, batch_of, slices, table_in_shared_folder, text_byt
 LENGTH, END = 2048, 1
 #: Dimensions of the hashed vectors and of the curve's space, bits of each of the latter.
 HASHED, SPACE, BITS = 256, 3, 13
-AT_ONCE = 8 << 20
+AT_ONCE = 4 << 20
 
 
 class WordCodec(Codec):
@@ -44,9 +44,23 @@ class WordCodec(Codec):
         self.compiled = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def _learn(self, memory: dict, keys: set[str], space: str) -> None:
-        encode = self.compiled
+        """All at once where a stretch has no line break: a break between two stretches is a word of one id for itself."""
+        line, odd = [], []
         for k in keys:
-            memory[k] = None if not k or k[0].isspace() or k[-1].isspace() else array("I", encode(space + k)).tobytes()
+            if k.isalpha():
+                line.append(k)
+            elif not k or k[0].isspace() or k[-1].isspace():
+                memory[k] = None
+            else:
+                (odd if "\n" in k or not space else line).append(k)
+        for k in odd if space else [*odd, *line]:
+            memory[k] = array("I", self.compiled(space + k)).tobytes()
+        if space and line:
+            ids = np.asarray(self.compiled(space + ("\n" + space).join(line)), dtype="<u4")
+            ends = np.append(np.flatnonzero(ids == self.byte_id[10]), len(ids))
+            raw = ids.tobytes()
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            memory.update((k, raw[a:b]) for k, a, b in zip(line, (4 * starts).tolist(), (4 * ends).tolist(), strict=True))
 
     def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
         return {w: array("I", self.compiled(w.decode())).tobytes() for w in set(words)}

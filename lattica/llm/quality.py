@@ -140,7 +140,7 @@ def filtered(documents: DataFrame, verdicts) -> DataFrame:
         verdict = verdicts()
         for batch in batches:
             if batch.num_rows:
-                texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
+                texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
                 yield batch.filter(pa.array(np.asarray(verdict(texts), dtype=bool)))
 
     return documents.mapInArrow(passing, documents.schema)

@@ -191,11 +191,13 @@ def keep_one(documents: DataFrame) -> DataFrame:
     named = components(documents)
     keepers = named.filter("fp = keeper_fp and doc_id <=> component_id").select("doc_id", "fp").distinct()
     whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
-    rows = documents.select(whole.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    rows = documents.select(whole.alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    at = documents.columns.index("text")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = pa.array(signed([fingerprint(x) for x in as_bytes(batch, "text")]))
+            texts = batch.column("row").field(at).cast(pa.binary()).to_pylist()
+            own = pa.array(signed([fingerprint(x or b"") for x in texts]))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), own], names=["row", "doc_id", "fp"])
 
     marked = rows.mapInArrow(add, f"row {rows.schema['row'].dataType.simpleString()}, doc_id long, fp long")

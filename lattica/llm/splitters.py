@@ -33,9 +33,6 @@ class Ranges:
     total_rows: int
     rounds: int
 
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.bounds, keys, side="right")
-
     def starts(self, what: str) -> np.ndarray:
         """Weight or rows before each range."""
         return np.concatenate([[0], getattr(self, what)]).astype(np.int64)
@@ -101,8 +98,6 @@ def find(rows: DataFrame, targets: int, tolerance: np.ndarray | float, most_roun
         fresh = np.asarray(sorted(probes), dtype=np.int64)
         below, rows_below = _below(rows, fresh)
         merged = sorted({*zip(at, weight, count, strict=True), *zip(fresh.tolist(), below.tolist(), rows_below.tolist(), strict=True)})
-        # Keep what brackets a goal still, so that the probes stay few.
         at, weight, count = (list(x) for x in zip(*merged, strict=True))
         rounds += 1
-    pick = near
-    return Ranges(np.asarray([keys[i] for i in pick], dtype=np.int64), w[pick], c[pick], total, n, rounds)
+    return Ranges(np.asarray([keys[i] for i in near], dtype=np.int64), w[near], c[near], total, n, rounds)

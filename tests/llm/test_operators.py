@@ -366,6 +366,40 @@ def test_language_model(spark, docs, none):
     assert ngrams.score(none).count() == 0
 
 
+def test_scores_are_those_of_the_counts(spark, docs, monkeypatch):
+    """The score of each text from counts made the plain way, under the classes and weights that were learned."""
+    monkeypatch.setattr(ngrams, "VOCABULARY", 40)
+    monkeypatch.setattr(ngrams, "HOT", 24)
+    monkeypatch.setattr(ngrams.vocabulary, "__defaults__", (40,))
+    t = ngrams.train(docs)
+    v, w = t.vocabulary, t.weights
+    known = {x: i for i, x in enumerate(v.words)}
+    assert 1 < len(known) <= 40 and t.hot
+    texts = [(i, (text or "").encode().lower().split() + [b""]) for i, text, *_ in documents()]
+    part = [-1 if i is None else zlib.crc32(str(i).encode()) % 5 for i, _ in texts]
+    words, pairs, classes = Counter(), Counter(), Counter()
+    for (_, own), f in zip(texts, part):
+        if f != 1:
+            ids = [known.get(x, v.common) for x in own]
+            words.update(own)
+            classes.update(ids)
+            pairs.update(zip([v.common - 1, *ids[:-1]], ids))
+    assert [classes[i] for i in range(v.classes)] == (v.main + v.kept).tolist()
+    assert all(sum(n) == pairs[divmod(k, v.classes)] for k, n in t.hot.items())
+    total = sum(classes.values())
+    want = Counter()
+    for i, own in texts:
+        ids, s = [known.get(x, v.common) for x in own], 0.0
+        for x, h, c in zip(own, [v.common - 1, *ids[:-1]], ids):
+            l2, l1, l0 = w.pair[min(int(math.log2(classes[h] + 1)), ngrams.CONTEXTS - 1)]
+            s += math.log10(l2 * pairs[h, c] / max(classes[h], 1) + l1 * classes[c] / total + l0 / v.classes)
+            if c == v.common:
+                s += math.log10(w.word[0] * words[x] / classes[c] + w.word[1] / (v.common_different + 1))
+        want[(i, round(s, 4))] += 1
+    got = ngrams.sums(t.sent, v, w, t.hot).groupBy("segment").applyInArrow(ngrams.together(v.total), ngrams.OUT_DDL)
+    assert Counter((x["doc_id"], round(x["score"], 4)) for x in got.collect()) == want
+
+
 def test_probabilities_sum_to_one():
     v = ngrams.Vocabulary([b"a", b"b", b""], np.asarray([5, 3, 2, 7]), np.asarray([1, 1, 1, 2]), 9, 6, 5)
     weights = ngrams.Weights(np.tile([0.6, 0.3, 0.1], (ngrams.CONTEXTS, 1)), np.asarray([0.8, 0.2]))
