@@ -205,6 +205,31 @@ def test_corners_do_not_depend_on_what_is_stacked():
         assert len(alone ^ {(round(c[1], 3), round(c[2], 3), c[5]) for c in together if c[0] == k}) <= 0.1 * len(alone)
 
 
+@pytest.mark.parametrize("few", [32, 0])
+def test_copies_under_crowded_keys_are_linked(spark, few):
+    """Two copies whose every key lies between those of images that share the descriptors but not their places."""
+    r = np.random.default_rng(6)
+    bits = [r.bytes(16) for _ in range(6)]
+    same = r.integers(20, 900, (6, 2))
+    rows = []
+    for k in range(12):
+        places = same if k in (5, 6) else r.integers(20, 900, (6, 2))
+        rows.append((k, [n for (x, y), d in zip(places.tolist(), bits) for n in media.packed((x, y, 1.0, 0.0, d))]))
+    classes = spark.createDataFrame(rows, "class_id long, corners array<long>")
+    assert [(x["a"], x["b"], x["matches"]) for x in media.links(classes, few=few).collect()] == [(5, 6, 6)]
+
+
+def test_distant_matches_count_once_one_is_found(spark):
+    """One equal corner brings two images together; the other matches differ in NEAR bits and share no key."""
+    r = np.random.default_rng(6)
+    places = r.integers(20, 900, (6, 2)).tolist()
+    one = [r.integers(0, 2, 128) for _ in range(6)]
+    two = [d ^ (np.isin(np.arange(128), r.choice(128, media.NEAR, replace=False)) if k else False) for k, d in enumerate(one)]
+    rows = [(k, [n for (x, y), d in zip(places, ds) for n in media.packed((x, y, 1.0, 0.0, np.packbits(d.astype(np.uint8)).tobytes()))]) for k, ds in enumerate((one, two))]
+    got = media.links(spark.createDataFrame(rows, "class_id long, corners array<long>")).collect()
+    assert [(x["a"], x["b"], x["matches"]) for x in got] == [(0, 1, 6)]
+
+
 def test_maps_are_read():
     assert media.read_pgm(media.write_pgm(picture(1))).shape == (240, 320)
     assert media.read_pgm(b"P5 # note\n 2 1 255\nab").tolist() == [[97, 98]]
