@@ -5,16 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WORDS, trigrams
+from ..functions.text import WORDS, similarity, trigrams
+
+
+def rarest(rows: DataFrame, counts: DataFrame, least: float) -> DataFrame:
+    """k, h, t: of each row (k, h, g) the rarest of its n trigrams, n - ceil(least * n) + 1 of them.
+
+    Rows of similarity `least` share at least least * n of either's trigrams. With all trigrams in one
+    order, those of each without its last ceil(least * n) - 1 then have one in common.
+    """
+    n = F.size("g")
+    each = rows.select("k", "h", n.alias("n"), F.explode("g").alias("t")).join(counts, "t")
+    kept = F.col("n") - F.greatest(F.ceil(F.col("n") * least - 1e-9), F.lit(1)).cast("int") + 1
+    ordered = each.groupBy("k", "h", "n").agg(F.sort_array(F.collect_list(F.struct("rows", "t"))).alias("ts"))
+    return ordered.select("k", "h", F.explode(F.slice("ts", F.lit(1), kept)).alias("x")).select("k", "h", F.col("x.t").alias("t"))
 
 
 def similar(left: DataFrame, left_key: str, left_text: str, right: DataFrame, right_key: str, right_text: str, least: float = 0.3, separators: str = WORDS) -> DataFrame:
-    """left_key, right_key, similarity of texts that share trigrams enough: an inverted index made and joined on the way."""
-    a = left.select(F.col(left_key).alias("l"), trigrams(F.col(left_text), separators).alias("g")).select("l", F.size("g").alias("ln"), F.explode("g").alias("t"))
-    b = right.select(F.col(right_key).alias("r"), trigrams(F.col(right_text), separators).alias("g")).select("r", F.size("g").alias("rn"), F.explode("g").alias("t"))
-    shared = a.join(b, "t").groupBy("l", "r", "ln", "rn").agg(F.count("*").alias("both"))
-    score = F.col("both") / (F.col("ln") + F.col("rn") - F.col("both"))
-    return shared.select(F.col("l").alias(left_key), F.col("r").alias(right_key), score.alias("similarity")).filter(F.col("similarity") >= least)
+    """left_key, right_key, similarity of texts that share trigrams enough: rows meet by their rarest trigrams, and are then compared whole."""
+    a, b = (
+        df.select(F.col(key).alias("k"), trigrams(F.col(text), separators).alias("g")).filter(F.size("g") > 0).withColumn("h", F.xxhash64(F.array_sort("g"))).dropDuplicates(["k", "h"])
+        for df, key, text in ((left, left_key, left_text), (right, right_key, right_text))
+    )
+    counts = a.select("g").unionByName(b.select("g")).select(F.explode("g").alias("t")).groupBy("t").agg(F.count("*").alias("rows"))
+    x = rarest(a, counts, least).select(F.col("k").alias("l"), F.col("h").alias("lh"), "t")
+    y = rarest(b, counts, least).select(F.col("k").alias("r"), F.col("h").alias("rh"), "t")
+    pairs = x.join(y, "t").select("l", "lh", "r", "rh").distinct()
+    one, two = a.select(F.col("k").alias("_l"), F.col("h").alias("_lh"), F.col("g").alias("lg")), b.select(F.col("k").alias("_r"), F.col("h").alias("_rh"), F.col("g").alias("rg"))
+    whole = pairs.join(one, F.col("l").eqNullSafe(F.col("_l")) & (F.col("lh") == F.col("_lh"))).join(two, F.col("r").eqNullSafe(F.col("_r")) & (F.col("rh") == F.col("_rh")))
+    return whole.select(F.col("l").alias(left_key), F.col("r").alias(right_key), similarity(F.col("lg"), F.col("rg")).alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def in_cells(points: DataFrame, x: Column, y: Column, size: float) -> DataFrame:

@@ -99,3 +99,22 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
 
     ledger.ledger(ledger.records(spark, str(source), schema), write, str(tmp_path / "state")).awaitTermination()
     assert rows(spark.read.parquet(out), "k", "v") == [(1, "a"), (2, "b")]
+
+
+def test_whole_texts_meet_by_their_rarest_trigrams(spark):
+    """A word that every text has brings no two rows together; what is alike after 60 characters is found, and a repeated row counts once."""
+    from lattica.functions.text import trigrams
+
+    words = ["".join(chr(97 + (i * p + j * q) % 26) for j in range(6)) for i in range(40) for p, q in ((3, 7), (5, 11))]
+    texts = [(k, " ".join(["common"] + [words[(k * 7 + i * i) % 80] for i in range(4 + k % 9)])) for k in range(60)]
+    texts += [(k, " ".join(words[k - 100 + i * 3] for i in range(9)) + " the same long end of both texts, word for word, is further on") for k in (100, 101)] + [texts[5]]
+    df = spark.createDataFrame(texts, "k long, s string").cache()
+    grams = {r["k"]: set(r["g"]) for r in df.select("k", trigrams(F.col("s")).alias("g")).collect()}
+    a, b = df.withColumnRenamed("k", "a"), df.withColumnRenamed("k", "b")
+    for least in (0.3, 0.8):
+        want = {(x, y): len(grams[x] & grams[y]) / len(grams[x] | grams[y]) for x in grams for y in grams}
+        got = [(tuple(r[:2]), round(r[2], 9)) for r in search.similar(a, "a", "s", b, "b", "s", least).collect()]
+        assert sorted(got) == sorted((k, round(v, 9)) for k, v in want.items() if v >= least)
+    g = df.distinct().select("k", F.lit(0).alias("h"), trigrams(F.col("s")).alias("g"))
+    counts = g.select(F.explode("g").alias("t")).groupBy("t").agg(F.count("*").alias("rows"))
+    assert search.rarest(g, counts, 0.3).filter("t = 'omm'").isEmpty()
