@@ -1,22 +1,26 @@
 """Language-model scoring by deleted interpolation.
 
-Words are scored as a class, then as a word of it. The words that make up a stated share of the
-training tokens each are classes of their own, at most VOCABULARY of them; all others are one class.
-A class after a class has the probability
+A word after h, the ORDER - 1 words before it, has the probability q_ORDER, where
 
-    l2 * c(h, w) / c(h) + l1 * c(w) / N + l0 / classes,
+    q_k = l_k * c(h_k, w) / c(h_k) + (1 - l_k) * q_(k - 1),    q_0 = 1 / (V + 1):
 
-three maximum-likelihood estimates of falling order whose weights depend on how frequent the context
-h is (one bucket for each power of two) and are learned by expectation-maximisation: counts come from
-the main part of the training documents, the likelihood from a part kept out; the counts of both are
-used afterwards. A word of the common class has m1 * c(w) / c(class) + m0 / (V + 1), learned likewise.
-Sums over all words are one, with one word for all that is unknown.
+maximum-likelihood estimates of falling order, h_k being the k - 1 words before, whose weights l_k
+depend on how frequent the context h_k is (one bucket for each power of two). The weights are learned
+by expectation-maximisation: counts come from the main part of the training documents, the likelihood
+from a part kept out; the counts of both are used afterwards. A context that was never met has weight
+zero. Sums over all words are one, with one word for all that is unknown; what is before a text is an
+end. Every word of the corpus has its own counts as word and as context; nothing is cut by frequency.
 
-No table of n-grams is broadcast, and no text is shuffled. Each task turns its documents into
-segments; a segment sends each bucket of n-grams its (n-gram, document, times) as sorted differences,
-squeezed. Where the segments of a bucket meet, counts are known, so each bucket returns one sum for
-each document of a segment. Pairs that make up over 1/HOT of all tokens are counted beforehand, by
-task, and never sent.
+How it runs. Tasks turn documents into segments (local word numbers and the words), written once.
+A segment sends every bucket its different words and n-grams of that bucket's range of hashes, sorted
+and squeezed, with their times; the bucket answers each with one count for each of them, in the same
+order, so what moves follows the number of different n-grams of the segments. With these counts a
+segment has all that its documents' scores take. A frequent n-gram is one entry of each segment, so no
+bucket is larger for it. No table of words or n-grams is broadcast or reaches the driver. Segments and
+buckets grow with the square root of the corpus, so that what one sends the other is never a mere few.
+
+N-grams are told apart by the leading bits of a 64-bit hash, COLLIDE more than the corpus has tokens
+(as a power of two), so about one in 2**COLLIDE shares its count with another; words are compared whole.
 
 Defined results: a null or empty text is the end alone; repeated rows count as often as they come; a
 null id is trained on; with no training documents every estimate but the even one is zero.
@@ -25,33 +29,29 @@ null id is trained on; with no training documents every estimate but the even on
 from __future__ import annotations
 
 import pickle
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch_of, cut, fold, table_in_shared_folder, text_bytes
+from .common import as_bytes, batch_of, fold, table_in_shared_folder, text_bytes
 
-#: Classes of one word at most, and bytes of such a word at most: together they bound what is broadcast.
-VOCABULARY, WORD_BYTES = (1 << 17) - 2, 256
-#: Words over a share of 1 / HOT of the tokens are looked at for pairs over that share.
-HOT = 256
+ORDER = 3
 #: Fold that is scored only, and the training fold that the weights are learned on.
 SCORED, KEPT_OUT = 1, 2
-#: Tokens of a segment, and of a bucket of n-grams at most and at least, about.
+#: Tokens of a segment and n-grams of a bucket, about, at least; buckets may be smaller while partitions are idle, down to LEAST_BUCKET.
 SEGMENT, BUCKET, LEAST_BUCKET = 800_000, 1_500_000, 200_000
-#: Different words that a task counts before it hands them on.
-COUNTED = 250_000
+#: N-grams that a segment sends a bucket, about, from which both grow.
+TOGETHER = 32
+COLLIDE = 20
 END = b""
-CONTEXTS, FINE = 32, 4
+CONTEXTS = 48
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -60,48 +60,29 @@ def squeeze(*arrays: np.ndarray) -> bytes:
     for x in arrays:
         d = np.diff(x.astype(np.int64), prepend=0).astype("<i8") if len(x) and (x[1:] >= x[:-1]).all() else None
         y = d if d is not None else x.astype("<i8")
-        out.append((d is not None, np.ascontiguousarray(y.view(np.uint8).reshape(-1, 8).T).tobytes()))
+        planes = max(1, -(-int(y.max()).bit_length() // 8)) if len(y) and y.min() >= 0 else 8
+        out.append((d is not None, planes, np.ascontiguousarray(y.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()))
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(out, protocol=5))
 
 
 def stretch(blob: bytes) -> list[np.ndarray]:
     out = []
-    for summed, raw in pickle.loads(zstandard.ZstdDecompressor().decompress(blob)):  # noqa: S301  its own tasks' bytes
-        x = np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    for summed, planes, raw in pickle.loads(zstandard.ZstdDecompressor().decompress(blob)):  # noqa: S301  its own tasks' bytes
+        own = np.frombuffer(raw, dtype=np.uint8).reshape(planes, -1)
+        x = np.zeros((own.shape[1], 8), dtype=np.uint8)
+        x[:, :planes] = own.T
+        x = x.view("<i8").ravel()
         out.append(np.cumsum(x) if summed else x)
     return out
 
 
-@dataclass(frozen=True)
-class Vocabulary:
-    """words: the classes of one word, END among them; then the common class. main, kept: counts by class in the two training parts."""
-
-    words: list[bytes]
-    main: np.ndarray
-    kept: np.ndarray
-    different: int
-    common_different: int
-    main_common_different: int
-
-    @property
-    def common(self) -> int:
-        return len(self.words)
-
-    @property
-    def classes(self) -> int:
-        return len(self.words) + 1
-
-    @property
-    def total(self) -> int:
-        return int(self.main.sum() + self.kept.sum())
+def joined(words: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b" ".join(words))
 
 
-@dataclass(frozen=True)
-class Weights:
-    """l2, l1, l0 by context bucket; m1, m0."""
-
-    pair: np.ndarray
-    word: np.ndarray
+def parted(blob: bytes) -> list[bytes]:
+    """Words hold no space; one word at least."""
+    return zstandard.ZstdDecompressor().decompress(blob).split(b" ")
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -110,384 +91,359 @@ def tokens(text: bytes) -> list[bytes]:
     return words
 
 
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
 def rows_of(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), fold("doc_id").alias("fold"), text_bytes().alias("text"))
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """word, main and kept: counts in the two training parts."""
-    schema = pa.schema([("word", pa.binary()), ("main", pa.int64()), ("kept", pa.int64())])
+#: What a segment's documents are for; their counts go to the main part, the part kept out, or nowhere.
+MAIN, KEPT, HELD = 0, 1, 2
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(parts) -> pa.RecordBatch:
-            words = list(parts[0].keys() | parts[1].keys())
-            return batch_of(schema, [words, [parts[0][w] for w in words], [parts[1][w] for w in words]])
 
-        parts = (Counter(), Counter())
-        for batch in batches:
-            for text, f in zip(as_bytes(batch, "text"), batch.column("fold").to_pylist(), strict=True):
-                parts[f == KEPT_OUT].update(tokens(text))
-                if len(parts[0]) + len(parts[1]) > COUNTED:
-                    yield out(parts)
-                    parts = (Counter(), Counter())
-        yield out(parts)
-
-    found = rows.filter(F.col("fold") != SCORED).mapInArrow(count, "word binary, main long, kept long")
-    return found.groupBy("word").agg(F.sum("main").alias("main"), F.sum("kept").alias("kept"))
-
-
-def vocabulary(rows: DataFrame, most: int = VOCABULARY) -> Vocabulary:
-    counts = table_in_shared_folder(word_counts(rows).withColumn("n", F.col("main") + F.col("kept")))
-    level = F.when((F.octet_length("word") <= WORD_BYTES) & (F.col("n") > 1), F.floor(F.log2("n") * 16).cast("int")).otherwise(F.lit(-1))
-    levels = {
-        r["level"]: r
-        for r in counts.filter(F.octet_length("word") > 0).groupBy(level.alias("level"))
-        .agg(F.count("*").alias("words"), F.sum("main").alias("main"), F.sum("kept").alias("kept"), F.count_if(F.col("main") > 0).alias("in_main")).collect()
-    }
-    room, least = most - 1, None
-    for k in sorted((k for k in levels if k >= 0), reverse=True):
-        if levels[k]["words"] > room:
-            break
-        room, least = room - levels[k]["words"], k
-    chosen = counts.filter(F.octet_length("word") > 0).filter(level >= least).orderBy("word").collect() if least is not None else []
-    end = counts.filter(F.octet_length("word") == 0).agg(F.coalesce(F.sum("main"), F.lit(0)).alias("main"), F.coalesce(F.sum("kept"), F.lit(0)).alias("kept")).first()
-    rest = [v for k, v in levels.items() if least is None or k < least]
-    main = [*(int(r["main"]) for r in chosen), int(end["main"]), sum(int(v["main"]) for v in rest)]
-    kept = [*(int(r["kept"]) for r in chosen), int(end["kept"]), sum(int(v["kept"]) for v in rest)]
-    different = sum(int(v["words"]) for v in levels.values()) + (end["main"] + end["kept"] > 0)
-    return Vocabulary(
-        [*(bytes(r["word"]) for r in chosen), END], np.asarray(main, dtype=np.int64), np.asarray(kept, dtype=np.int64),
-        different, sum(int(v["words"]) for v in rest), sum(int(v["in_main"]) for v in rest),
-    )
-
-
-def class_ids(words: list[bytes], known: dict[bytes, int], common: int) -> np.ndarray:
-    return np.fromiter(map(known.get, words, repeat(common)), dtype=np.int64, count=len(words))
-
-
-def pair_keys(ids: np.ndarray, end: int, classes: int) -> np.ndarray:
-    """Keys of (class before, class) of documents one after another, each with its end: what is before the first is an end."""
-    return np.concatenate([[end], ids[:-1]]) * classes + ids
-
-
-def hot_pairs(rows: DataFrame, v: Vocabulary) -> dict[int, tuple[int, int]]:
-    """Counts (main, kept out) of the pairs over a share of 1 / HOT: at most HOT of them, of words over that share."""
-    count = v.main + v.kept
-    hot = np.flatnonzero(count * HOT >= max(v.total, 1))
-    place = np.full(v.classes, -1)
-    place[hot] = np.arange(len(hot))
-    shared = rows.sparkSession.sparkContext.broadcast((v.words, place, len(hot)))
-    schema = pa.schema([("pair", pa.int32()), ("main", pa.int64()), ("kept", pa.int64())])
+def segments(rows: DataFrame, most: int = SEGMENT) -> DataFrame:
+    """segment, part, n (tokens), data (ids, null ids, tokens of each document; word number of each token), words (in the order of their hashes)."""
+    schema = pa.schema([("segment", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("data", pa.binary()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, place, n = shared.value
-        known = {w: i for i, w in enumerate(words)}
-        sums = np.zeros((2, n * n), dtype=np.int64)
+        at = TaskContext.get().partitionId() << 24
+        held = [Held() for _ in range(3)]
+
+        def out(part: int) -> pa.RecordBatch:
+            nonlocal at
+            own, held[part] = held[part], Held()
+            words = list(own.known)
+            order = np.argsort(hashes(words), kind="stable")
+            place = np.empty(len(words), dtype=np.int64)
+            place[order] = np.arange(len(words))
+            null = np.asarray([d is None for d in own.docs], dtype=np.int64)
+            data = squeeze(np.asarray([d or 0 for d in own.docs]), null, np.asarray(own.size), place[np.concatenate(own.ids)])
+            at += 1
+            return batch_of(schema, [[at], [part], [own.n], [data], [joined([words[i] for i in order.tolist()])]])
+
         for batch in batches:
-            for text, f in zip(as_bytes(batch, "text"), batch.column("fold").to_pylist(), strict=True):
-                at = place[class_ids(tokens(text), known, len(words))]
-                before = np.concatenate([[place[len(words) - 1]], at[:-1]])
-                own = (at >= 0) & (before >= 0)
-                sums[int(f == KEPT_OUT)] += np.bincount(before[own] * n + at[own], minlength=n * n)
-        own = np.flatnonzero(sums.sum(axis=0))
-        yield batch_of(schema, [own.astype(np.int32), sums[0][own], sums[1][own]])
-
-    found = rows.filter(F.col("fold") != SCORED).mapInArrow(run, "pair int, main long, kept long").groupBy("pair").agg(F.sum("main").alias("main"), F.sum("kept").alias("kept"))
-    n = len(hot)
-    over = found.filter((F.col("main") + F.col("kept")) * HOT >= max(v.total, 1)).collect()
-    return {int(hot[r["pair"] // n]) * v.classes + int(hot[r["pair"] % n]): (int(r["main"]), int(r["kept"])) for r in over}
-
-
-PART = pa.schema([("bucket", pa.int32()), ("segment", pa.int64()), ("kind", pa.string()), ("data", pa.binary()), ("words", pa.binary())])
-PART_DDL = "bucket int, segment long, kind string, data binary, words binary"
-
-
-def parts(rows: DataFrame, v: Vocabulary, hot: list[int], buckets: int) -> DataFrame:
-    """What segments send. kind pair: n-grams, documents, times; word: the same with words of the common class; doc: what is known of the documents."""
-    shared = rows.sparkSession.sparkContext.broadcast((v.words, v.main + v.kept, v.different, np.asarray(sorted(hot), dtype=np.int64)))
-
-    def send(segment: int, folds: list[list]) -> Iterator[pa.RecordBatch]:
-        words, count, different, hot = shared.value
-        common, classes, total = len(words), len(words) + 1, int(count.sum())
-        docs = [d for part in folds for d in part]
-        n_docs = len(docs)
-        size = np.asarray([len(d[2]) for d in docs], dtype=np.int64)
-        ids = np.concatenate([d[2] for d in docs])
-        row = np.repeat(np.arange(n_docs), size)
-        edges = np.asarray([len(folds[0]), len(folds[0]) + len(folds[1]), n_docs], dtype=np.int64)
-        base = np.log10((count[ids] + 0.5) / (total + 0.5 * (different + 1)))
-        base[ids == common] = 0.0
-        base = np.bincount(row, weights=base, minlength=n_docs)
-        known = np.bincount(row[ids != common], minlength=n_docs)
-        key = pair_keys(ids, common - 1, classes)
-        which = np.searchsorted(hot, key) if len(hot) else np.zeros(len(key), dtype=np.int64)
-        is_hot = hot[np.minimum(which, len(hot) - 1)] == key if len(hot) else np.zeros(len(key), dtype=bool)
-        hot_of, hot_times = np.unique(which[is_hot] * n_docs + row[is_hot], return_counts=True)
-        ids_of = np.asarray([d[0] if d[0] is not None else 0 for d in docs], dtype=np.int64)
-        null = np.asarray([d[0] is None for d in docs], dtype=np.int64)
-        local = squeeze(ids_of, null, size, known, edges, hot_of, hot_times)
-        out = [(-1, segment, "doc", local, base.astype("<f8").tobytes())]
-        pair, times = np.unique(key[~is_hot] * n_docs + row[~is_hot], return_counts=True)
-        to = ((pair // n_docs).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
-        order = np.argsort(to, kind="stable")
-        pair, times, to = pair[order], times[order], to[order]
-        edge = np.searchsorted(to, np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(edge)).tolist():
-            s = slice(edge[b], edge[b + 1])
-            out.append((b, segment, "pair", squeeze(pair[s], times[s], edges), None))
-        lists: dict[int, tuple[list, list]] = {}
-        for r, d in enumerate(docs):
-            for w in d[3]:
-                own = lists.setdefault(zlib.crc32(w) % buckets, ([], []))
-                own[0].append(w)
-                own[1].append(r)
-        for b, (own, at) in lists.items():
-            out.append((b, segment, "word", squeeze(np.asarray(at), edges), zstandard.ZstdCompressor(level=1).compress(b" ".join(own))))
-        yield batch_of(PART, zip(*out, strict=True))
+            for doc, f, text in zip(batch.column("doc_id").to_pylist(), batch.column("fold").to_pylist(), as_bytes(batch, "text"), strict=True):
+                part = HELD if f == SCORED else KEPT if f == KEPT_OUT else MAIN
+                held[part].add(doc, tokens(text))
+                if held[part].n >= most:
+                    yield out(part)
+        for part in range(3):
+            if held[part].n:
+                yield out(part)
+
+    return rows.mapInArrow(run, "segment long, part int, n long, data binary, words binary")
+
+
+class Held:
+    """Documents of a segment that is being filled."""
+
+    def __init__(self):
+        self.docs: list[int | None] = []
+        self.size: list[int] = []
+        self.ids: list[np.ndarray] = []
+        self.known: dict[bytes, int] = {}
+        self.n = 0
+
+    def add(self, doc: int | None, own: list[bytes]) -> None:
+        known = self.known
+        self.docs.append(doc)
+        self.size.append(len(own))
+        self.ids.append(np.fromiter((known.setdefault(w, len(known)) for w in own), dtype=np.int64, count=len(own)))
+        self.n += len(own)
+
+
+@dataclass
+class Grams:
+    """What a segment asks for: its words and, for each order from 2, the sorted keys of its n-grams; of all of them the times, and which one ends at each token."""
+
+    words: list[bytes]
+    word_key: np.ndarray
+    keys: list[np.ndarray]
+    times: list[np.ndarray]
+    spot: list[np.ndarray]
+    first: np.ndarray
+    docs: np.ndarray
+    null: np.ndarray
+    size: np.ndarray
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def grams(data: bytes, words: bytes, bits: int) -> Grams:
+    docs, null, size, ids = stretch(data)
+    own = parted(words)
+    h, away = hashes(own), np.uint64(64 - bits)
+    first = np.cumsum(size) - size
+    keys, times, spot = [], [np.bincount(ids, minlength=len(own))], [ids]
+    one = mixed(h)[ids]
+    last = one
+    for k in range(2, ORDER + 1):
+        before = np.empty_like(last)
+        before[1:] = last[:-1]
+        before[first] = np.uint64(k)  # the ends before the text
+        with np.errstate(over="ignore"):
+            last = mixed(before * np.uint64(0xD6E8FEB86659FD93) + one)
+        key, at, n = np.unique(last >> away, return_inverse=True, return_counts=True)
+        keys.append(key.astype(np.int64))
+        times.append(n)
+        spot.append(at)
+    return Grams(own, (h >> away).astype(np.int64), keys, times, spot, first, docs, null, size)
+
+
+def edges(bits: int, buckets: int) -> np.ndarray:
+    """Least key of each bucket, and the end of the last."""
+    return np.asarray([-(-(b << bits) // buckets) for b in range(buckets + 1)], dtype=np.int64)
+
+
+SENT_DDL = "bucket int, segment long, part int, data binary, words binary"
+
+
+def sent(known: DataFrame, bits: int, buckets: int) -> DataFrame:
+    """What each segment sends each bucket: words, keys and, where they count, times."""
+    schema = pa.schema([("bucket", pa.int32()), ("segment", pa.int64()), ("part", pa.int32()), ("data", pa.binary()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value[0]
-        known, common = {w: i for i, w in enumerate(words)}, len(words)
-        segment, held, folds = TaskContext.get().partitionId() << 24, 0, [[], [], []]
+        edge = edges(bits, buckets)
         for batch in batches:
-            for doc, f, text in zip(batch.column("doc_id").to_pylist(), batch.column("fold").to_pylist(), as_bytes(batch, "text"), strict=True):
-                own = tokens(text)
-                ids = class_ids(own, known, common)
-                folds[2 if f == SCORED else 1 if f == KEPT_OUT else 0].append((doc, f, ids, [own[i] for i in np.flatnonzero(ids == common).tolist()]))
-                held += len(own)
-                if held >= SEGMENT:
-                    yield from send(segment, folds)
-                    segment, held, folds = segment + 1, 0, [[], [], []]
-        if held:
-            yield from send(segment, folds)
-
-    return rows.mapInArrow(run, PART_DDL)
-
-
-def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """Rows of a bucket together, from rows sorted by bucket; those of no bucket one at a time."""
-    bucket, own = None, []
+            for segment, part, data, words in zip(*(batch.column(c).to_pylist() for c in ("segment", "part", "data", "words")), strict=True):
+                g = grams(data, words, bits)
+                cuts = [np.searchsorted(k, edge) for k in (g.word_key, *g.keys)]
+                some = np.flatnonzero(sum(np.diff(c) for c in cuts))
+                for many in np.array_split(some, -(-len(some) // 256)):
+                    rows = []
+                    for b in many.tolist():
+                        own = [slice(c[b], c[b + 1]) for c in cuts]
+                        n_words = own[0].stop - own[0].start
+                        times = [t[s] for t, s in zip(g.times, own, strict=True)] if part != HELD else []
+                        data = squeeze(np.asarray([n_words]), *(k[s] for k, s in zip(g.keys, own[1:], strict=True)), *times)
+                        rows.append((b, segment, part, data, joined(g.words[own[0]])))
+                    yield batch_of(schema, zip(*rows, strict=True))
+
+    return known.mapInArrow(run, SENT_DDL)
+
+
+def together(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[list[dict]]:
+    """Rows of one value of a column, from rows sorted by it."""
+    own: list[dict] = []
     for batch in batches:
         for r in batch.to_pylist():
-            if own and (r["bucket"] != bucket or bucket < 0):
-                yield bucket, own
+            if own and r[name] != own[0][name]:
+                yield own
                 own = []
-            bucket = r["bucket"]
             own.append(r)
     if own:
-        yield bucket, own
+        yield own
+
+
+ANSWER = pa.schema([("segment", pa.int64()), ("part", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary()), ("words", pa.binary()), ("different", pa.int64()), ("main_different", pa.int64()), ("total", pa.int64()), ("main_total", pa.int64())])
+ANSWER_DDL = "segment long, part int, bucket int, data binary, words binary, different long, main_different long, total long, main_total long"
+
+
+def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket to each segment's counts, and one row of each bucket (segment -1) with its different words and tokens."""
+    for rows in together(batches, "bucket"):
+        own = [stretch(r["data"]) for r in rows]
+        names: dict[bytes, int] = {}
+        keys = [np.fromiter((names.setdefault(w, len(names)) for w in parted(r["words"])), dtype=np.int64) if x[0][0] else np.zeros(0, dtype=np.int64) for r, x in zip(rows, own, strict=True)]
+        answers: list[list[np.ndarray]] = [[] for _ in rows]
+        stats = None
+        for k in range(ORDER):
+            keys = [x[k] for x in own] if k else keys
+            size = [len(x) for x in keys]
+            at = np.concatenate(keys)
+            if k:
+                key, at = np.unique(at, return_inverse=True)
+            n = len(key) if k else len(names)
+            part = np.repeat([r["part"] for r in rows], size)
+            times = np.concatenate([x[ORDER + k] if r["part"] != HELD else np.zeros(m, dtype=np.int64) for r, x, m in zip(rows, own, size, strict=True)])
+            main, all_of = (np.bincount(at, weights=times * (part <= p), minlength=n).astype(np.int64) for p in (MAIN, KEPT))
+            if not k:
+                stats = [int((all_of > 0).sum()), int((main > 0).sum()), int(all_of.sum()), int(main.sum())]
+            start = 0
+            for r, m, answer in zip(rows, size, answers, strict=True):
+                spot = at[start : start + m]
+                answer.append(all_of[spot])
+                if r["part"] == KEPT:
+                    answer.append(main[spot])
+                start += m
+        yield batch_of(ANSWER, [[-1], [None], [rows[0]["bucket"]], [None], [None], *([x] for x in stats)])
+        yield batch_of(ANSWER, [[r["segment"] for r in rows], [r["part"] for r in rows], [r["bucket"] for r in rows], [squeeze(*a) for a in answers], *[[None] * len(rows)] * 5])
+
+
+def context_bucket(n: np.ndarray) -> np.ndarray:
+    """0 for what was never met, else one for each power of two."""
+    return np.minimum(np.where(n > 0, 1 + np.log2(np.maximum(n, 1)).astype(np.int64), 0), CONTEXTS - 1)
+
+
+def estimates(g: Grams, counts: list[np.ndarray], total: int, ends: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """At each token, by order: the estimate, and (from order 2) the context's bucket. counts: of words, then of n-grams by order; ends: training documents."""
+    at = counts[0][g.spot[0]]
+    found, contexts = [at / max(total, 1)], []
+    for k in range(1, ORDER):
+        context = np.empty_like(at)
+        context[1:] = at[:-1]
+        context[g.first] = ends
+        at = counts[k][g.spot[k]]
+        found.append(at / np.maximum(context, 1))
+        contexts.append(context_bucket(context))
+    return found, contexts
 
 
-@dataclass
-class Counted:
-    """A bucket's n-grams (or words): which one each entry is, its segment and document, times, and counts of each."""
-
-    key: np.ndarray
-    kind: np.ndarray
-    times: np.ndarray
-    spot: np.ndarray
-    main: np.ndarray
-    kept: np.ndarray
-    segments: list[tuple[int, int]]
-
-
-def counted(rows: list[dict], kind: str) -> Counted | None:
-    keys, times, spots, parts_of, segments, at = [], [], [], [], [], 0
-    names: dict[bytes, int] = {}
-    for r in rows:
-        if r["kind"] != kind:
-            continue
-        if kind == "pair":
-            pair, t, edges = stretch(r["data"])
-            n = int(edges[2])
-            key, row = pair // n, pair % n
-        else:
-            row, edges = stretch(r["data"])
-            own = zstandard.ZstdDecompressor().decompress(r["words"]).split(b" ")
-            n, t = int(edges[2]), np.ones(len(own), dtype=np.int64)
-            key = np.fromiter((names.setdefault(w, len(names)) for w in own), dtype=np.int64, count=len(own))
-        keys.append(key)
-        times.append(t)
-        spots.append(row + at)
-        parts_of.append(np.searchsorted(edges[:2], row, side="right"))
-        segments.append((r["segment"], n))
-        at += n
-    if not keys:
-        return None
-    key, own = np.unique(np.concatenate(keys), return_inverse=True)
-    times, part = np.concatenate(times), np.concatenate(parts_of)
-    main, kept = (np.bincount(own, weights=times * (part == k), minlength=len(key)).astype(np.int64) for k in (0, 1))
-    return Counted(key, own, times, np.concatenate(spots), main, kept, segments)
-
-
-def context_bucket(count: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(count, 0) + 1).astype(np.int64), CONTEXTS - 1)
+@dataclass(frozen=True)
+class Weights:
+    """By order: the weight of its estimate in each context bucket (one bucket for words)."""
 
+    of: list[np.ndarray]
 
-def level_of(p: np.ndarray) -> np.ndarray:
-    """0 for nothing, else quarter octaves."""
-    return np.where(p > 0, 1 + np.floor(-FINE * np.log2(np.where(p > 0, p, 1))).astype(np.int64), 0)
+    def mix(self, found: list[np.ndarray], contexts: list[np.ndarray], different: int) -> list[np.ndarray]:
+        """q_0 to q_ORDER."""
+        q = [np.full(len(found[0]), 1 / (different + 1))]
+        for k, p in enumerate(found):
+            weight = self.of[k][contexts[k - 1] if k else np.zeros(len(p), dtype=np.int64)]
+            q.append(weight * p + (1 - weight) * q[-1])
+        return q
 
 
-def value_of(level: np.ndarray) -> np.ndarray:
-    return np.where(level > 0, 2.0 ** (-(level - 0.5) / FINE), 0.0)
+@dataclass(frozen=True)
+class Totals:
+    different: int
+    main_different: int
+    total: int
+    main_total: int
 
 
-def pair_levels(key: np.ndarray, main: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context bucket, level of c(h, w) / c(h) and level of c(w) / N, in the main part."""
-    h, w = key // v.classes, key % v.classes
-    return context_bucket(v.main[h]), level_of(main / np.maximum(v.main[h], 1)), level_of(v.main[w] / max(int(v.main.sum()), 1))
+def segment_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[dict, Grams, list[list[np.ndarray]]]]:
+    """Each segment's row, n-grams and counts (lists by order: of all training documents, then of the main part if it is kept out), from rows sorted by segment and bucket."""
+    for rows in together(batches, "segment"):
+        g = grams(rows[0]["data"], rows[0]["words"], bits)
+        answers = [stretch(r["data"]) for r in rows[1:]]
+        step = 2 if rows[0]["part"] == KEPT else 1
+        yield rows[0], g, [[np.concatenate([a[step * k + i] for a in answers]) for k in range(ORDER)] for i in range(step)]
 
 
-def learn(sent: DataFrame, v: Vocabulary, hot: dict[int, tuple[int, int]]) -> Weights:
-    """Expectation-maximisation on the kept-out counts, gathered by level of the estimates: a table bounded by the levels."""
-    shared = sent.sparkSession.sparkContext.broadcast(v)
-    schema = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("c", pa.int32()), ("n", pa.int64())])
+def ends_of(g: Grams, counts: list[np.ndarray]) -> int:
+    """Training documents: each has one end."""
+    return int(counts[0][g.spot[0][g.first[0] + g.size[0] - 1]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in by_bucket(batches):
-            if bucket < 0:
-                continue
-            for kind in ("pair", "word"):
-                if found := counted(rows, kind):
-                    own = np.flatnonzero(found.kept)
-                    if kind == "pair":
-                        a, b, c = pair_levels(found.key[own], found.main[own], shared.value)
-                    else:
-                        b = level_of(found.main[own] / max(int(shared.value.main[-1]), 1))
-                        a, c = np.full(len(own), -1), np.zeros(len(own), dtype=np.int64)
-                    whole, at = np.unique(np.stack([a, b, c], axis=1), axis=0, return_inverse=True) if len(own) else (np.zeros((0, 3), dtype=np.int64), own)
-                    yield batch_of(schema, [*whole.T.astype(np.int32), np.bincount(at.ravel(), weights=found.kept[own], minlength=len(whole)).astype(np.int64)])
-
-    seen = sent.mapInArrow(run, "a int, b int, c int, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n")).collect()
-    table = [(r["a"], r["b"], r["c"], r["n"]) for r in seen]
-    if hot:
-        key = np.asarray(sorted(hot))
-        a, b, c = pair_levels(key, np.asarray([hot[k][0] for k in key.tolist()]), v)
-        table += list(zip(a.tolist(), b.tolist(), c.tolist(), [hot[k][1] for k in key.tolist()], strict=True))
-    x = np.asarray(table, dtype=np.int64).reshape(-1, 4)
-    pair = np.tile([0.0, 0.0, 1.0], (CONTEXTS, 1))
-    last = None
-    for k in range(CONTEXTS):
-        own = x[x[:, 0] == k]
-        if own[:, 3].sum():
-            last = pair[k] = mix(np.stack([value_of(own[:, 1]), value_of(own[:, 2]), np.full(len(own), 1 / v.classes)], axis=1), own[:, 3])
-        elif last is not None:
-            pair[k] = last
-    own = x[x[:, 0] == -1]
-    word = mix(np.stack([value_of(own[:, 1]), np.full(len(own), 1 / (v.main_common_different + 1))], axis=1), own[:, 3]) if own[:, 3].sum() else np.asarray([0.5, 0.5])
-    return Weights(pair, word)
-
-
-def mix(p: np.ndarray, n: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """The weights under which the estimates p (a row for each outcome, with its count n) make the outcomes likeliest."""
-    w = np.full(p.shape[1], 1 / p.shape[1])
-    for _ in range(rounds):
-        share = p * w
-        w = (share / share.sum(axis=1, keepdims=True) * n[:, None]).sum(axis=0) / n.sum()
-        w = np.maximum(w, 1e-6) / np.maximum(w, 1e-6).sum()
-    return w
-
-
-def pair_score(key: np.ndarray, count: np.ndarray, v: Vocabulary, weights: Weights) -> np.ndarray:
-    all_of = v.main + v.kept
-    h, w = key // v.classes, key % v.classes
-    l2, l1, l0 = weights.pair[context_bucket(all_of[h])].T
-    return np.log10(l2 * count / np.maximum(all_of[h], 1) + l1 * all_of[w] / max(v.total, 1) + l0 / v.classes)
-
-
-SUM = pa.schema([("segment", pa.int64()), ("kind", pa.string()), ("data", pa.binary()), ("sums", pa.binary())])
-SUM_DDL = "segment long, kind string, data binary, sums binary"
-
-
-def sums(sent: DataFrame, v: Vocabulary, weights: Weights, hot: dict[int, tuple[int, int]]) -> DataFrame:
-    """For each segment from each bucket: score, base score and known words, summed by document."""
-    shared = sent.sparkSession.sparkContext.broadcast((v, weights, hot))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, weights, hot = shared.value
-        common = int(v.main[-1] + v.kept[-1])
-        hot_keys = np.asarray(sorted(hot), dtype=np.int64)
-        hot_score = pair_score(hot_keys, np.asarray([sum(hot[k]) for k in hot_keys.tolist()], dtype=np.int64), v, weights) if hot else np.zeros(0)
-        for bucket, rows in by_bucket(batches):
-            if bucket < 0:
-                for r in rows:
-                    *_, edges, hot_of, hot_times = stretch(r["data"])
-                    n = int(edges[2])
-                    own = np.bincount(hot_of % n, weights=hot_score[hot_of // n] * hot_times, minlength=n) if len(hot_of) else np.zeros(n)
-                    yield batch_of(SUM, [[r["segment"]], ["doc"], [r["data"]], [np.stack([own, np.frombuffer(r["words"], dtype="<f8"), np.zeros(n)]).tobytes()]])
-                continue
-            for kind in ("pair", "word"):
-                found = counted(rows, kind)
-                if found is None:
-                    continue
-                count = found.main + found.kept
-                if kind == "pair":
-                    values = [pair_score(found.key, count, v, weights)]
-                else:
-                    score = np.log10(weights.word[0] * count / max(common, 1) + weights.word[1] / (v.common_different + 1))
-                    values = [score, np.log10((count + 0.5) / (v.total + 0.5 * (v.different + 1))), (count > 0).astype(float)]
-                at = sum(n for _, n in found.segments)
-                whole = [np.bincount(found.spot, weights=x[found.kind] * found.times, minlength=at) for x in values]
-                start = 0
-                for segment, n in found.segments:
-                    yield batch_of(SUM, [[segment], [kind], [None], [np.stack([x[start : start + n] for x in whole]).tobytes()]])
-                    start += n
-
-    return sent.mapInArrow(run, SUM_DDL)
+def gathered(known: DataFrame, answers: DataFrame, tasks: int) -> DataFrame:
+    """Segments and the counts they asked for, side by side."""
+    asked = known.select("segment", "part", F.lit(-1).alias("bucket"), "data", "words")
+    return asked.unionByName(answers.select("segment", "part", "bucket", "data", "words")).repartition(tasks, "segment").sortWithinPartitions("segment", "bucket")
 
 
-OUT_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+def level_of(p: np.ndarray) -> np.ndarray:
+    """0 for nothing, else one for each half octave."""
+    return np.where(p > 0, 1 + np.floor(-2 * np.log2(np.where(p > 0, p, 1))).astype(np.int64), 0)
+
+
+def bins(batches: Iterator[pa.RecordBatch], bits: int, totals: Totals) -> Iterator[pa.RecordBatch]:
+    """Tokens of the part kept out, by levels of their estimates and by context buckets: how many, and sums of the estimates."""
+    schema = pa.schema([("bin", pa.list_(pa.int32())), ("n", pa.int64()), *((f"p{k}", pa.float64()) for k in range(ORDER))])
+    for _, g, (_, main) in segment_rows(batches, bits):
+        found, contexts = estimates(g, main, totals.main_total, ends_of(g, main))
+        whole, at = np.unique(np.stack([*contexts, *map(level_of, found)], axis=1), axis=0, return_inverse=True)
+        at = at.ravel()
+        sums = [np.bincount(at, weights=p, minlength=len(whole)) for p in found]
+        yield batch_of(schema, [whole.astype(np.int32).tolist(), np.bincount(at, minlength=len(whole)), *sums])
+
+
+def learn(known: DataFrame, answers: DataFrame, bits: int, totals: Totals, tasks: int) -> Weights:
+    """Expectation-maximisation on tokens gathered in bins: a table bounded by levels and buckets, each bin with the mean of its estimates."""
+    rows = gathered(known.filter(F.col("part") == KEPT), answers.filter(F.col("part") == KEPT), tasks)
+    ddl = "bin array<int>, n long, " + ", ".join(f"p{k} double" for k in range(ORDER))
+    seen = rows.mapInArrow(lambda b: bins(b, bits, totals), ddl).groupBy("bin").agg(F.sum("n").alias("n"), *(F.sum(f"p{k}").alias(f"p{k}") for k in range(ORDER))).orderBy("bin").collect()
+    n = np.asarray([r["n"] for r in seen], dtype=float)
+    found = [np.asarray([r[f"p{k}"] for r in seen]) / np.maximum(n, 1) for k in range(ORDER)]
+    contexts = [np.asarray([r["bin"][k] for r in seen], dtype=np.int64) for k in range(ORDER - 1)]
+    return maximised(n, found, contexts, totals.main_different)
+
+
+def maximised(n: np.ndarray, found: list[np.ndarray], contexts: list[np.ndarray], different: int, rounds: int = 60) -> Weights:
+    """The weights under which the outcomes (n times each, with these estimates) are likeliest."""
+    zero = np.zeros(len(n), dtype=np.int64)
+    at = [zero, *contexts]
+    size = [1] + [CONTEXTS] * (ORDER - 1)
+    w = Weights([np.full(s, 0.5) for s in size])
+    for _ in range(rounds if len(n) else 0):
+        q = w.mix(found, contexts, different)
+        reached, new = n, [None] * ORDER
+        for k in reversed(range(ORDER)):
+            weight = w.of[k][at[k]]
+            used = reached * weight * found[k] / q[k + 1]
+            a, b = (np.bincount(at[k], weights=x, minlength=size[k]) for x in (used, reached))
+            new[k] = np.where(b > 0, a / np.where(b > 0, b, 1), w.of[k])
+            reached = reached - used
+        w = Weights([np.clip(x, 1e-6, 1 - 1e-6) for x in new])
+    of = [w.of[0]]
+    for k in range(1, ORDER):
+        own, seen = w.of[k].copy(), np.bincount(at[k], weights=n, minlength=CONTEXTS) > 0
+        for b in range(1, CONTEXTS):
+            own[b] = own[b] if seen[b] else own[b - 1] if seen[:b].any() else own[b]
+        own[0] = 0.0  # nothing is known of what follows
+        of.append(own)
+    return Weights(of)
 
 
-def together(total: int):
-    def run(rows: pa.Table) -> pa.Table:
-        all_sums, local = None, None
-        for kind, data, raw in zip(*(rows.column(c).to_pylist() for c in ("kind", "data", "sums")), strict=True):
-            own = np.frombuffer(raw, dtype="<f8")
-            own = own.reshape(1 if kind == "pair" else 3, -1)
-            all_sums = np.zeros((3, own.shape[1])) if all_sums is None else all_sums
-            all_sums[: len(own)] += own
-            local = data if kind == "doc" else local
-        ids, null, size, known, edges, *_ = stretch(local)
-        n = len(ids)
-        return pa.table(
-            {
-                "doc_id": pa.array(ids, mask=null.astype(bool)), "held_out": np.arange(n) >= edges[1], "n_tokens": size, "n_known": known + np.rint(all_sums[2]).astype(np.int64),
-                "train_tokens": np.full(n, total), "base_score": all_sums[1], "score": all_sums[0],
-            }
-        )
+OUT_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    return run
+
+def scores(batches: Iterator[pa.RecordBatch], bits: int, totals: Totals, weights: Weights) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())])
+    for r, g, (counts, *_) in segment_rows(batches, bits):
+        found, contexts = estimates(g, counts, totals.total, ends_of(g, counts))
+        q = weights.mix(found, contexts, totals.different)[-1]
+        word = counts[0][g.spot[0]]
+        base = np.log10((word + 0.5) / (totals.total + 0.5 * (totals.different + 1)))
+        n = len(g.docs)
+        known = np.add.reduceat((word > 0).astype(np.int64), g.first)
+        held = np.full(n, r["part"] == HELD)
+        yield batch_of(schema, [pa.array(g.docs, mask=g.null.astype(bool)), held, g.size, known, np.full(n, totals.total), np.add.reduceat(base, g.first), np.add.reduceat(np.log10(q), g.first)])
 
 
 @dataclass(frozen=True)
 class Trained:
-    """sent: what the segments send, for sums(); hot: counts of the pairs that are never sent."""
+    """known: the segments; answers: the counts that each of them needs."""
 
-    sent: DataFrame
-    vocabulary: Vocabulary
+    known: DataFrame
+    answers: DataFrame
+    bits: int
+    totals: Totals
     weights: Weights
-    hot: dict[int, tuple[int, int]]
+    tasks: int
 
 
-def train(documents: DataFrame) -> Trained:
+def train(documents: DataFrame, segment: int = SEGMENT, bucket: int = BUCKET) -> Trained:
     rows = rows_of(documents)
-    v = vocabulary(rows)
-    hot = hot_pairs(rows, v)
     partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # As many buckets as the tokens need, or as there are partitions while each still gets a fair number.
-    buckets = max(-(-v.total // BUCKET), min(partitions, -(-v.total // LEAST_BUCKET)), 1)
-    tasks = min(buckets + 1, 4 * partitions)
-    spread = F.when(F.col("bucket") < 0, F.col("segment")).otherwise(F.col("bucket").cast("long"))
-    sent = cut(parts(rows, v, list(hot), buckets).repartition(tasks, spread).sortWithinPartitions("bucket"))
-    return Trained(sent, v, learn(sent, v, hot), hot)
+    about = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * ORDER // 8
+    even = round((about * TOGETHER) ** 0.5)
+    known = table_in_shared_folder(segments(rows, max(segment, even)))
+    n, n_segments = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    asked = n * (ORDER - 1)
+    # As many buckets as the n-grams need, or as there are partitions while each still gets a fair number.
+    buckets = max(-(-asked // max(bucket, even)), min(partitions, -(-asked // LEAST_BUCKET)), 1)
+    bits = min(62, int(asked).bit_length() + COLLIDE)
+    tasks = lambda most: max(min(most, 4 * partitions), 1)
+    dealt = sent(known, bits, buckets).repartition(tasks(buckets), "bucket").sortWithinPartitions("bucket")
+    answers = table_in_shared_folder(dealt.mapInArrow(count, ANSWER_DDL))
+    stats = answers.filter("segment = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("different", "main_different", "total", "main_total"))).first()
+    totals, answers = Totals(*map(int, stats)), answers.filter("segment >= 0")
+    return Trained(known, answers, bits, totals, learn(known, answers, bits, totals, tasks(n_segments)), tasks(n_segments))
 
 
 def score(documents: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    return scored(train(documents))
+
 
-    The order in which a segment's sums arrive decides their last bits.
-    """
-    t = train(documents)
-    return sums(t.sent, t.vocabulary, t.weights, t.hot).groupBy("segment").applyInArrow(together(t.vocabulary.total), OUT_DDL)
+def scored(t: Trained) -> DataFrame:
+    bits, totals, weights = t.bits, t.totals, t.weights
+    return gathered(t.known, t.answers, t.tasks).mapInArrow(lambda b: scores(b, bits, totals, weights), OUT_DDL)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -391,55 +392,94 @@ def test_language_model(spark, docs, none):
     assert ngrams.score(none).count() == 0
 
 
-def test_scores_are_those_of_the_counts(spark, docs, monkeypatch):
-    """The score of each text from counts made the plain way, under the classes and weights that were learned."""
-    monkeypatch.setattr(ngrams, "VOCABULARY", 40)
-    monkeypatch.setattr(ngrams, "HOT", 24)
-    monkeypatch.setattr(ngrams.vocabulary, "__defaults__", (40,))
+def plain_model(order):
+    """Counts of n-grams and of their contexts, and the tokens with what is before them, of the texts of some parts."""
+    texts = [(i, [b""] * (order - 1) + (text or "").encode().lower().split() + [b""]) for i, text, *_ in documents()]
+    part = {i: -1 if i is None else zlib.crc32(str(i).encode()) % 5 for i, _ in texts}
+
+    def counts(parts):
+        found, context = Counter(), Counter()
+        for i, own in texts:
+            if part[i] in parts:
+                for at in range(order - 1, len(own)):
+                    for k in range(1, order + 1):
+                        found[tuple(own[at - k + 1 : at + 1])] += 1
+                        context[tuple(own[at - k + 1 : at])] += 1
+        return found, context
+
+    return texts, part, counts
+
+
+def plain_q(own, at, found, context, weights, different):
+    q = 1 / (different + 1)
+    for k in range(1, ngrams.ORDER + 1):
+        n = context[tuple(own[at - k + 1 : at])]
+        bucket = 0 if k == 1 else min(n.bit_length(), ngrams.CONTEXTS - 1)
+        weight = weights.of[k - 1][bucket]
+        q = weight * found[tuple(own[at - k + 1 : at + 1])] / max(n, 1) + (1 - weight) * q
+    return q
+
+
+@pytest.mark.parametrize("segment,bucket", [(ngrams.SEGMENT, ngrams.BUCKET), (500, 900)])
+def test_scores_are_those_of_the_counts(spark, docs, monkeypatch, segment, bucket):
+    """The score of each text from counts made the plain way, under the weights that were learned."""
+    monkeypatch.setattr(ngrams, "TOGETHER", 0)
+    monkeypatch.setattr(ngrams, "LEAST_BUCKET", bucket)
+    t = ngrams.train(docs, segment, bucket)
+    texts, _, counts = plain_model(ngrams.ORDER)
+    found, context = counts({-1, 0, 2, 3, 4})
+    different = sum(len(k) == 1 for k in found)
+    assert (t.totals.different, t.totals.total) == (different, context[()])
+    want = Counter((i, round(sum(math.log10(plain_q(own, at, found, context, t.weights, different)) for at in range(ngrams.ORDER - 1, len(own))), 4)) for i, own in texts)
+    assert Counter((x["doc_id"], round(x["score"], 4)) for x in ngrams.scored(t).collect()) == want
+
+
+def test_weights_are_those_of_expectation_maximisation_on_every_token(spark, docs):
+    """Gathering tokens in bins moves no weight that matters."""
     t = ngrams.train(docs)
-    v, w = t.vocabulary, t.weights
-    known = {x: i for i, x in enumerate(v.words)}
-    assert 1 < len(known) <= 40 and t.hot
-    texts = [(i, (text or "").encode().lower().split() + [b""]) for i, text, *_ in documents()]
-    part = [-1 if i is None else zlib.crc32(str(i).encode()) % 5 for i, _ in texts]
-    words, pairs, classes = Counter(), Counter(), Counter()
-    for (_, own), f in zip(texts, part):
-        if f != 1:
-            ids = [known.get(x, v.common) for x in own]
-            words.update(own)
-            classes.update(ids)
-            pairs.update(zip([v.common - 1, *ids[:-1]], ids))
-    assert [classes[i] for i in range(v.classes)] == (v.main + v.kept).tolist()
-    assert all(sum(n) == pairs[divmod(k, v.classes)] for k, n in t.hot.items())
-    total = sum(classes.values())
-    want = Counter()
+    texts, part, counts = plain_model(ngrams.ORDER)
+    found, context = counts({-1, 0, 3, 4})
+    rows = []
     for i, own in texts:
-        ids, s = [known.get(x, v.common) for x in own], 0.0
-        for x, h, c in zip(own, [v.common - 1, *ids[:-1]], ids):
-            l2, l1, l0 = w.pair[min(int(math.log2(classes[h] + 1)), ngrams.CONTEXTS - 1)]
-            s += math.log10(l2 * pairs[h, c] / max(classes[h], 1) + l1 * classes[c] / total + l0 / v.classes)
-            if c == v.common:
-                s += math.log10(w.word[0] * words[x] / classes[c] + w.word[1] / (v.common_different + 1))
-        want[(i, round(s, 4))] += 1
-    got = ngrams.sums(t.sent, v, w, t.hot).groupBy("segment").applyInArrow(ngrams.together(v.total), ngrams.OUT_DDL)
-    assert Counter((x["doc_id"], round(x["score"], 4)) for x in got.collect()) == want
-
-
-def test_probabilities_sum_to_one():
-    v = ngrams.Vocabulary([b"a", b"b", b""], np.asarray([5, 3, 2, 7]), np.asarray([1, 1, 1, 2]), 9, 6, 5)
-    weights = ngrams.Weights(np.tile([0.6, 0.3, 0.1], (ngrams.CONTEXTS, 1)), np.asarray([0.8, 0.2]))
-    pairs = {0: [1, 2, 0, 3], 3: [4, 0, 2, 3]}
-    for h, follow in pairs.items():
-        keys = h * v.classes + np.arange(v.classes)
-        count = np.asarray(follow) * 1.0 * (v.main + v.kept)[h] / sum(follow)
-        assert abs((10 ** ngrams.pair_score(keys, count, v, weights)).sum() - 1) < 1e-9
-
-
-def test_mixture_weights_are_found():
-    p = np.asarray([[0.5, 0.1], [0.1, 0.5], [0.0, 0.2]])
-    assert (ngrams.mix(p, np.asarray([90, 5, 0])) > [0.9, 0]).all()
+        if part[i] == ngrams.KEPT_OUT:
+            for at in range(ngrams.ORDER - 1, len(own)):
+                n = [context[tuple(own[at - k + 1 : at])] for k in range(1, ngrams.ORDER + 1)]
+                rows.append([found[tuple(own[at - k + 1 : at + 1])] / max(n[k - 1], 1) for k in range(1, ngrams.ORDER + 1)] + [min(x.bit_length(), ngrams.CONTEXTS - 1) for x in n[1:]])
+    x = np.asarray(rows)
+    exact = ngrams.maximised(np.ones(len(x)), list(x[:, : ngrams.ORDER].T), list(x[:, ngrams.ORDER :].T.astype(int)), sum(len(k) == 1 for k in found))
+    assert t.weights.of[0] == pytest.approx(exact.of[0], abs=0.01)
+    for k in range(1, ngrams.ORDER):
+        often = np.bincount(x[:, ngrams.ORDER + k - 1].astype(int), minlength=ngrams.CONTEXTS) > 50
+        assert often.any() and np.abs(t.weights.of[k] - exact.of[k])[often].max() < 0.02
+
+
+def test_probabilities_sum_to_one(spark, docs):
+    """Over all words and one for what is unknown, after any two words."""
+    t = ngrams.train(docs)
+    texts, _, counts = plain_model(ngrams.ORDER)
+    found, context = counts({-1, 0, 2, 3, 4})
+    words = [k[0] for k in found if len(k) == 1]
+    for i, own in texts[:3]:
+        before = own[len(own) // 2 : len(own) // 2 + ngrams.ORDER - 1]
+        assert sum(plain_q([*before, w], ngrams.ORDER - 1, found, context, t.weights, len(words)) for w in [*words, b"\0unknown"]) == pytest.approx(1)
+
+
+def test_copies_of_training_texts_score_apart(spark):
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(60))) for i in range(400)]
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 1]
+    trained = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 not in (1, 2)]
+    copied = dict(zip(held[::2], trained))
+    rows = [(i, rows[copied[i]][1] if i in copied else text) for i, text in rows]
+    got = {x["doc_id"]: x["score"] for x in ngrams.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(got[i] for i in copied) > max(got[i] for i in held[1::2])
+
+
+def test_arrays_are_squeezed():
     x = np.asarray([3, 5, 5, 900])
-    assert [a.tolist() for a in ngrams.stretch(ngrams.squeeze(x, x[::-1]))] == [x.tolist(), x[::-1].tolist()]
+    for own in (x, x[::-1], -x, np.zeros(0, dtype=np.int64), np.asarray([0, 1 << 62, 7])):
+        assert ngrams.stretch(ngrams.squeeze(own))[0].tolist() == own.tolist()
 
 
 # 10
