@@ -104,7 +104,7 @@ MAIN, KEPT, HELD = 0, 1, 2
 
 
 def segments(rows: DataFrame, most: int = SEGMENT) -> DataFrame:
-    """segment, part, n (tokens), data (ids, null ids, tokens of each document; word number of each token), words (in the order of their hashes)."""
+    """segment, part, n (tokens), data (ids, null ids, tokens of each document; word number of each token), words."""
     schema = pa.schema([("segment", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("data", pa.binary()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,14 +114,10 @@ def segments(rows: DataFrame, most: int = SEGMENT) -> DataFrame:
         def out(part: int) -> pa.RecordBatch:
             nonlocal at
             own, held[part] = held[part], Held()
-            words = list(own.known)
-            order = np.argsort(hashes(words), kind="stable")
-            place = np.empty(len(words), dtype=np.int64)
-            place[order] = np.arange(len(words))
             null = np.asarray([d is None for d in own.docs], dtype=np.int64)
-            data = squeeze(np.asarray([d or 0 for d in own.docs]), null, np.asarray(own.size), place[np.concatenate(own.ids)])
+            data = squeeze(np.asarray([d or 0 for d in own.docs]), null, np.asarray(own.size), np.concatenate(own.ids))
             at += 1
-            return batch_of(schema, [[at], [part], [own.n], [data], [joined([words[i] for i in order.tolist()])]])
+            return batch_of(schema, [[at], [part], [own.n], [data], [joined(list(own.known))]])
 
         for batch in batches:
             for doc, f, text in zip(batch.column("doc_id").to_pylist(), batch.column("fold").to_pylist(), as_bytes(batch, "text"), strict=True):
@@ -136,6 +132,14 @@ def segments(rows: DataFrame, most: int = SEGMENT) -> DataFrame:
     return rows.mapInArrow(run, "segment long, part int, n long, data binary, words binary")
 
 
+class Numbers(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Held:
     """Documents of a segment that is being filled."""
 
@@ -143,14 +147,13 @@ class Held:
         self.docs: list[int | None] = []
         self.size: list[int] = []
         self.ids: list[np.ndarray] = []
-        self.known: dict[bytes, int] = {}
+        self.known = Numbers()
         self.n = 0
 
     def add(self, doc: int | None, own: list[bytes]) -> None:
-        known = self.known
         self.docs.append(doc)
         self.size.append(len(own))
-        self.ids.append(np.fromiter((known.setdefault(w, len(known)) for w in own), dtype=np.int64, count=len(own)))
+        self.ids.append(np.fromiter(map(self.known.__getitem__, own), dtype=np.int64, count=len(own)))
         self.n += len(own)
 
 
@@ -180,6 +183,10 @@ def grams(data: bytes, words: bytes, bits: int) -> Grams:
     docs, null, size, ids = stretch(data)
     own = parted(words)
     h, away = hashes(own), np.uint64(64 - bits)
+    order = np.argsort(h, kind="stable")
+    place = np.empty(len(own), dtype=np.int64)
+    place[order] = np.arange(len(own))
+    own, h, ids = [own[i] for i in order.tolist()], h[order], place[ids]
     first = np.cumsum(size) - size
     keys, times, spot = [], [np.bincount(ids, minlength=len(own))], [ids]
     one = mixed(h)[ids]
@@ -250,8 +257,8 @@ def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket to each segment's counts, and one row of each bucket (segment -1) with its different words and tokens."""
     for rows in together(batches, "bucket"):
         own = [stretch(r["data"]) for r in rows]
-        names: dict[bytes, int] = {}
-        keys = [np.fromiter((names.setdefault(w, len(names)) for w in parted(r["words"])), dtype=np.int64) if x[0][0] else np.zeros(0, dtype=np.int64) for r, x in zip(rows, own, strict=True)]
+        names = Numbers()
+        keys = [np.fromiter(map(names.__getitem__, parted(r["words"])), dtype=np.int64) if x[0][0] else np.zeros(0, dtype=np.int64) for r, x in zip(rows, own, strict=True)]
         answers: list[list[np.ndarray]] = [[] for _ in rows]
         stats = None
         for k in range(ORDER):
