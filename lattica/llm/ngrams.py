@@ -51,7 +51,7 @@ SEGMENT, BUCKET, LEAST_BUCKET = 800_000, 1_500_000, 200_000
 TOGETHER = 32
 COLLIDE = 20
 END = b""
-CONTEXTS = 48
+CONTEXTS, LEVELS = 48, 64
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -346,30 +346,33 @@ def gathered(known: DataFrame, answers: DataFrame, tasks: int) -> DataFrame:
     return asked.unionByName(answers.select("segment", "part", "bucket", "data", "words")).repartition(tasks, "segment").sortWithinPartitions("segment", "bucket")
 
 
+#: Contexts' buckets and estimates' levels, by order.
+BIN = (CONTEXTS,) * (ORDER - 1) + (LEVELS,) * ORDER
+
+
 def level_of(p: np.ndarray) -> np.ndarray:
-    """0 for nothing, else one for each half octave."""
-    return np.where(p > 0, 1 + np.floor(-2 * np.log2(np.where(p > 0, p, 1))).astype(np.int64), 0)
+    """0 for nothing, else one for each power of two, up to LEVELS."""
+    return np.where(p > 0, np.minimum(1 + np.floor(-np.log2(np.where(p > 0, p, 1))).astype(np.int64), LEVELS - 1), 0)
 
 
 def bins(batches: Iterator[pa.RecordBatch], bits: int, totals: Totals) -> Iterator[pa.RecordBatch]:
     """Tokens of the part kept out, by levels of their estimates and by context buckets: how many, and sums of the estimates."""
-    schema = pa.schema([("bin", pa.list_(pa.int32())), ("n", pa.int64()), *((f"p{k}", pa.float64()) for k in range(ORDER))])
+    schema = pa.schema([("bin", pa.int64()), ("n", pa.int64()), *((f"p{k}", pa.float64()) for k in range(ORDER))])
     for _, g, (_, main) in segment_rows(batches, bits):
         found, contexts = estimates(g, main, totals.main_total, ends_of(g, main))
-        whole, at = np.unique(np.stack([*contexts, *map(level_of, found)], axis=1), axis=0, return_inverse=True)
-        at = at.ravel()
+        whole, at = np.unique(np.ravel_multi_index([*contexts, *map(level_of, found)], BIN), return_inverse=True)
         sums = [np.bincount(at, weights=p, minlength=len(whole)) for p in found]
-        yield batch_of(schema, [whole.astype(np.int32).tolist(), np.bincount(at, minlength=len(whole)), *sums])
+        yield batch_of(schema, [whole, np.bincount(at, minlength=len(whole)), *sums])
 
 
 def learn(known: DataFrame, answers: DataFrame, bits: int, totals: Totals, tasks: int) -> Weights:
     """Expectation-maximisation on tokens gathered in bins: a table bounded by levels and buckets, each bin with the mean of its estimates."""
     rows = gathered(known.filter(F.col("part") == KEPT), answers.filter(F.col("part") == KEPT), tasks)
-    ddl = "bin array<int>, n long, " + ", ".join(f"p{k} double" for k in range(ORDER))
-    seen = rows.mapInArrow(lambda b: bins(b, bits, totals), ddl).groupBy("bin").agg(F.sum("n").alias("n"), *(F.sum(f"p{k}").alias(f"p{k}") for k in range(ORDER))).orderBy("bin").collect()
-    n = np.asarray([r["n"] for r in seen], dtype=float)
-    found = [np.asarray([r[f"p{k}"] for r in seen]) / np.maximum(n, 1) for k in range(ORDER)]
-    contexts = [np.asarray([r["bin"][k] for r in seen], dtype=np.int64) for k in range(ORDER - 1)]
+    ddl = "bin long, n long, " + ", ".join(f"p{k} double" for k in range(ORDER))
+    seen = rows.mapInArrow(lambda b: bins(b, bits, totals), ddl).groupBy("bin").agg(F.sum("n").alias("n"), *(F.sum(f"p{k}").alias(f"p{k}") for k in range(ORDER))).orderBy("bin").toArrow()
+    n = seen.column("n").to_numpy().astype(float)
+    found = [seen.column(f"p{k}").to_numpy() / n for k in range(ORDER)]
+    contexts = list(np.unravel_index(seen.column("bin").to_numpy(), BIN)[: ORDER - 1])
     return maximised(n, found, contexts, totals.main_different)
 
 
