@@ -87,9 +87,12 @@ def signs(url: Column) -> Column:
 
 
 def grams(rows: DataFrame) -> DataFrame:
-    """One row for each sign with the two before it (column g)."""
-    last = F.length("signs") - 2
-    return rows.withColumn("at", F.explode(F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")))).withColumn("g", F.substring("signs", F.col("at"), F.lit(3))).drop("at", "signs")
+    """One row for each sign with the two before it (column g). The signs are parted once, so a long url takes time in proportion."""
+    apart = F.split("signs", "")
+    n = F.greatest(F.size(apart) - 2, F.lit(0))
+    three = F.arrays_zip(F.slice(apart, 1, n).alias("a"), F.slice(apart, 2, n).alias("b"), F.slice(apart, 3, n).alias("c"))
+    zipped = rows.withColumn("g", F.explode(F.when(F.length("signs") > 2, three)))
+    return zipped.withColumn("g", F.concat("g.a", "g.b", "g.c")).drop("signs")
 
 
 def model(urls: DataFrame) -> DataFrame:
@@ -146,16 +149,17 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     host, path = parts(F.col("url"))
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("m", matched(F.col("host"), F.col("path"), rules))
     rows = rows.select("page_id", "url", "host", "path", "m.rule", "m.kind")
-    # Each different url is scored once, however many pages have it.
-    different = rows.groupBy("url").agg(F.max("kind").alias("kind")).withColumn("signs", signs(F.col("url"))).withColumn("held", F.substring(F.md5("url"), 1, 1).isin(*HELD_OUT))
+    # Each different url is scored once, however many pages have it; its signs are counted under its MD5, since a row for each sign must not carry a long url.
+    different = rows.groupBy("url").agg(F.max("kind").alias("kind")).withColumn("signs", signs(F.col("url"))).withColumn("id", F.md5("url"))
+    different = different.drop("url").withColumn("held", F.substring("id", 1, 1).isin(*HELD_OUT))
     ratios = cut(model(different.filter("not held")))
-    held = scores(different.filter("held and kind is not null").withColumn("key", F.struct("url", "kind")), ratios, "key")
+    held = scores(different.filter("held and kind is not null").withColumn("key", F.struct("id", "kind")), ratios, "key")
     least = threshold(held.select("score", "key.kind"))
     # A url with a rule needs no score for its verdict.
-    judged = scores(different.filter("kind is null and url is not null"), ratios, "url")
+    judged = scores(different.filter("kind is null and id is not null"), ratios, "id")
     allowed = F.coalesce(F.col("score"), F.lit(0.0)) >= least
     verdict = F.coalesce(F.col("kind"), F.when(allowed, "allow").otherwise("block"))
-    return rows.join(judged, "url", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+    return rows.withColumn("id", F.md5("url")).join(judged, "id", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
 
 def sql(rules: tuple[Rule, ...] = RULES) -> str:
