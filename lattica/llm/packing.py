@@ -107,25 +107,29 @@ def places(ids: list[np.ndarray]) -> np.ndarray:
     draw = np.random.default_rng(20_011)
     projection = draw.normal(size=(HASHED, SPACE))
     projection -= projection.mean(axis=0)
-    vectors = np.zeros((len(ids), HASHED))
-    for i, x in enumerate(ids):
-        vectors[i] = np.bincount((x.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(24), minlength=HASHED)
-    vectors = np.sqrt(vectors)
+    cell = (np.concatenate([*ids, np.zeros(0, dtype="<u4")]).astype(np.uint32) * np.uint32(2654435761) >> np.uint32(24)).astype(np.int64)
+    cell += np.repeat(np.arange(len(ids)) * HASHED, [len(x) for x in ids])
+    vectors = np.sqrt(np.bincount(cell, minlength=len(ids) * HASHED).reshape(len(ids), HASHED))
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     spread = (np.tanh(vectors @ projection) + 1) / 2
     return hilbert(np.minimum((spread * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
+def width_of(codec: Codec) -> str:
+    return "<u2" if max(len(codec.bytes_of) - 1, END) < 1 << 16 else "<u4"
+
+
 def tokenized(documents: DataFrame, path: Callable[[], str] = vocabulary_path) -> DataFrame:
-    """doc_id, place, weight (ids with the end) and ids (unsigned, 16 bits where the vocabulary allows)."""
+    """doc_id, place, weight (ids with the end), ids (unsigned, 16 bits if all the vocabulary's are below 2**16, else 32)."""
     schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("weight", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _codecs.setdefault(p, WordCodec(p)) if (p := path()) not in _codecs else _codecs[p]
-        end = np.asarray([END], dtype="<u2").tobytes()
+        width = width_of(own)
+        end = np.asarray([END], dtype=width).tobytes()
         for whole in batches:
             for batch in slices(whole, "text", AT_ONCE):
-                ids = [np.frombuffer(x, dtype="<u4").astype("<u2") for x in own.encode([x.decode("utf-8", "replace") for x in as_bytes(batch, "text")])]
+                ids = [np.frombuffer(x, dtype="<u4").astype(width) for x in own.encode([x.decode("utf-8", "replace") for x in as_bytes(batch, "text")])]
                 yield batch_of(schema, [batch.column("doc_id"), places(ids), [len(x) + 1 for x in ids], [x.tobytes() + end for x in ids]])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
@@ -159,10 +163,10 @@ def _pieces(starts, length: int):
         at, fine = 0, -1
         for batch in batches:
             out = []
-            for doc, ids, own in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), batch.column("fine").to_pylist(), strict=True):
+            for doc, ids, weight, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "weight", "fine")), strict=True):
                 if own != fine:
                     fine, at = own, int(starts.value[own])
-                ids = np.frombuffer(ids, dtype="<u2").astype("<u4")
+                ids = np.frombuffer(ids, dtype=f"<u{len(ids) // weight}").astype("<u4")
                 start = 0
                 while start < len(ids):
                     n = min(len(ids) - start, length - at % length)
