@@ -63,7 +63,8 @@ def find(rows: DataFrame, targets: int, tolerance: np.ndarray | float, most_roun
 
     rows: key (long) and weight (long, none negative), cheap to read again. tolerance: weight by
     which each bound may be off, as a part of one range's weight; one value for each bound, or one for all.
-    Equal keys are never parted: salt keys that may be heavy.
+    Equal keys are never parted: salt keys that may be heavy. A bound with no key left between its neighbours
+    is as near as it can be; one that is still off after `most_rounds` is an error.
     """
     ends = rows.agg(F.min("key").alias("low"), F.max("key").alias("high"), F.coalesce(F.sum("weight"), F.lit(0)).cast("long").alias("weight"), F.count("*").alias("n")).first()
     total, n = int(ends["weight"]), int(ends["n"])
@@ -82,8 +83,10 @@ def find(rows: DataFrame, targets: int, tolerance: np.ndarray | float, most_roun
         near = np.where(goal - w[left] <= w[right] - goal, left, right)
         done = np.abs(w[near] - goal) <= off
         done |= np.asarray([keys[b] - keys[a] <= 1 for a, b in zip(left, right, strict=True)])
-        if done.all() or rounds >= most_rounds:
+        if done.all():
             break
+        if rounds >= most_rounds:
+            raise RuntimeError(f"{int((~done).sum())} bounds are out of tolerance after {most_rounds} rounds")
         probes: set[int] = set()
         for a, b in {(int(left[i]), int(right[i])) for i in np.flatnonzero(~done)}:
             low, high = int(keys[a]), int(keys[b])
@@ -93,8 +96,6 @@ def find(rows: DataFrame, targets: int, tolerance: np.ndarray | float, most_roun
             # where the goals would be if weight were spread evenly between the two known bounds
             guess = [low + span * (g - int(w[a])) // max(int(w[b] - w[a]), 1) for g in inside]
             probes.update(p for p in [*even, *guess] if low < p < high)
-        if not probes:
-            break
         fresh = np.asarray(sorted(probes), dtype=np.int64)
         below, rows_below = _below(rows, fresh)
         merged = sorted({*zip(at, weight, count, strict=True), *zip(fresh.tolist(), below.tolist(), rows_below.tolist(), strict=True)})
