@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import as_bytes, batch_of, text_bytes
+from .common import as_bytes, batch_of, cut, text_bytes
 
 #: Labelled rows that the trees are fitted to at most; which ones, a hash of the id decides.
 FIT_ROWS = 12_000
@@ -79,10 +79,15 @@ _OUT_DDL = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_li
 
 
 def labelled(documents: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """doc_id, label and text of at most `rows` labelled ids that a hash picks; so few that they are broadcast."""
+    """doc_id, label and text of at most `rows` labelled documents that a hash picks, repeated rows once; so few that their ids are broadcast.
+
+    The bound is on documents, not ids: an id on very many rows gives at most `rows` of them.
+    """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return documents.select("doc_id", text_bytes().alias("text")).join(F.broadcast(picked), "doc_id")
+    texts = documents.select("doc_id", text_bytes().alias("text")).withColumn("digest", F.xxhash64("text"))
+    chosen = texts.select("doc_id", "digest").join(F.broadcast(picked), "doc_id").distinct().orderBy(F.xxhash64("doc_id", "digest"), "doc_id", "digest").limit(rows)
+    return cut(texts.join(F.broadcast(cut(chosen)), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "label", "text"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> gbt.Forest:

@@ -11,6 +11,7 @@ equal scores; other columns are ignored; with no labels of both kinds every scor
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,10 +30,15 @@ FIT_ROWS = 20_000
 #: Entries of the lexicon at most, the strongest first; documents that an entry needs in the sample.
 LEXICON, LEAST_DOCS = 2_000, 5
 PREFIXES = (5, 6, 7, 8)
+#: Letters from which a word stands in the lexicon by its digest, which bounds the lexicon's bytes.
+LONG = 64
 
 _WORD = re.compile(r"[^\W\d_]+")
-_MASKED = re.compile(r"[^\W_]*[0-9@$!*][0-9@$!*\w]*")
+# From the beginning of a run of letters only, so that no run is read again from each of its letters.
+_MASKED = re.compile(r"(?<![^\W_])[^\W_]*[0-9@$!*][0-9@$!*\w]*")
 _SPACED = re.compile(r"(?<!\w)\w(?:[ .\-_]\w){3,}(?!\w)")
+#: Bytes without one of which nothing is masked.
+_SIGNS = np.frombuffer(b"0123456789@$!*", dtype=np.uint8)
 #: Signs that stand for letters, and second-person words of the four languages.
 _FOLD = str.maketrans("013457@$!", "oieastasi")
 _YOU = frozenset("you your yours yourself u ur du dich dir dein deine tu te toi ton ta vous votre usted tú tus".split())
@@ -44,6 +50,11 @@ FEATURES = {
 }
 
 
+def entry(word: str) -> str:
+    """A word (in small letters) as the lexicon has it."""
+    return word if len(word) < LONG else hashlib.sha256(word.encode()).hexdigest() + "-"
+
+
 @dataclass(frozen=True)
 class Model:
     """words, stems: how many times as likely in toxic texts, as a logarithm."""
@@ -76,10 +87,13 @@ class Lookup:
             return self.known[word]
         except KeyError:
             low = word.lower()
-            pair = (self.words.get(low, 0.0), max((self.stems.get(low[:n], 0.0) for n in PREFIXES if len(low) >= n), default=0.0))
-            if len(self.known) >= self.MOST:
-                self.known.clear()
-            return self.known.setdefault(word, pair if any(pair) else None)
+            pair = (self.words.get(entry(low), 0.0), max((self.stems.get(low[:n], 0.0) for n in PREFIXES if len(low) >= n), default=0.0))
+            found = pair if any(pair) else None
+            if len(word) < LONG:
+                if len(self.known) >= self.MOST:
+                    self.known.clear()
+                self.known[word] = found
+            return found
 
     def features(self, raw: bytes) -> list[float]:
         text = raw.decode("utf-8", "replace")
@@ -88,10 +102,10 @@ class Lookup:
         n = max(len(words), 1)
         strong = sum(max(p) >= 3 for _, p in hits)
         near = sum(1 for i, _ in hits if any(w.lower() in _YOU for w in words[max(0, i - 4) : i + 5]))
-        masked = _MASKED.findall(text)
+        of = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=128)
+        masked = _MASKED.findall(text) if of[_SIGNS].any() else []
         hidden = sum(1 for m in masked if (p := self.weight(m.translate(_FOLD))) and max(p) >= 3)
         hidden += sum(1 for m in _SPACED.findall(text) if (p := self.weight(re.sub(r"\W|_", "", m))) and max(p) >= 3)
-        of = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=128)
         up, low = int(of[65:91].sum()), int(of[97:123].sum())
         full, stems = sum(p[0] > 0 for _, p in hits), sum(p[1] > 0 for _, p in hits)
         return [
@@ -107,7 +121,7 @@ def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[str, str, int]] = []
         for text, label in zip(as_bytes(batch, "text"), batch.column("label").to_pylist(), strict=True):
             words = set(map(str.lower, _WORD.findall(text.decode("utf-8", "replace"))))
-            out += [("word", w, label) for w in words if len(w) <= 40]
+            out += [("word", entry(w), label) for w in words]
             out += [("stem", s, label) for s in {w[:n] for w in words for n in PREFIXES if len(w) >= n}]
         if out:
             yield batch_of(schema, zip(*out, strict=True))
