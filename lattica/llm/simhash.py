@@ -10,9 +10,19 @@ task, and gives a star for each of its local components rather than its pairs. A
 dealt out again by another covering family on top of its own key, until the parts are small enough:
 each level fixes half of the bits left, and few bits left hold few different fingerprints.
 
+near_duplicates() takes fingerprints within RADIUS for links and nothing else. keep_one(), the stage of a
+pipeline, links two texts if the sets of their five-word shingles are alike by LEAST (Jaccard) at least
+and their fingerprints, there of word pairs, which move less under an edit, differ in NEAR_BITS at most:
+fingerprints nominate, the sets decide. A wider radius takes more tables; the bits are dealt into two
+parts of half the radius each (of two near fingerprints one part differs in no more), which takes 30
+tables in place of 255. Groups of near fingerprints are found first, by stars. Only texts that are not
+alone in theirs give their sets; each group is compared whole in blocks of BLOCK texts, one of over
+MANY_BLOCKS blocks being dealt by covering tables before, so that no pair is lost and none is emitted.
+
 Defined results: a null, empty or blank text has fingerprint zero and is linked like any other; fewer
 than three words are one shingle; repeated rows are documents of one group; a null id belongs to its
-group but is never its component_id unless the group has no other.
+group but is never its component_id unless the group has no other. keep_one() keeps the smallest id
+of a group, one of rows equal in id and text, and all other columns; texts without words are alike.
 """
 
 from __future__ import annotations
@@ -26,50 +36,63 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch_of, cut, text_bytes
+from .common import as_bytes, batch_of, cut, table_in_shared_folder, text_bytes
 from .components import stars
 
 RADIUS, SHINGLE, SEED, BITS = 3, 3, 42, 64
 #: Different fingerprints of a bucket that one task compares.
 BUCKET = 1000
+#: Of keep_one: words of a fingerprint's shingles and of the sets', the radius, and the sets' likeness.
+NEAR_SHINGLE, NEAR_BITS, NEAR_PARTS, SET_SHINGLE, LEAST = 2, 7, 2, 5, 0.8
+#: Texts of a block of a group, blocks of a group that are compared with each other.
+BLOCK, MANY_BLOCKS = 500, 24
 
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
 
-def fingerprint(text: bytes) -> int:
+def shingles(text: bytes, n: int) -> np.ndarray:
+    """Hashes of a text's shingles of n words in turn; fewer words are one shingle, no words none."""
     words = text.lower().split()  # of ASCII bytes: A to Z, and the six separators
     if not words:
-        return 0
-    n = max(len(words) - SHINGLE + 1, 1)
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE else [b" ".join(words)]
-    values = np.fromiter(map(_hash, shingles), dtype="<u8", count=n)
+        return np.zeros(0, dtype="<u8")
+    joined = map(b" ".join, zip(*(words[k:] for k in range(n)), strict=False)) if len(words) >= n else [b" ".join(words)]
+    return np.fromiter(map(_hash, joined), dtype="<u8", count=max(len(words) - n + 1, 1))
+
+
+def fingerprint(text: bytes, n: int = SHINGLE) -> int:
+    values = shingles(text, n)
     votes = np.zeros(BITS, dtype=np.int64)
-    for k in range(0, n, 1 << 16):
+    for k in range(0, len(values), 1 << 16):
         part = values[k : k + (1 << 16)]
         votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > n, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * votes > len(values), bitorder="little").tobytes(), "little")
 
 
 def signed(values: list[int]) -> np.ndarray:
     return np.asarray(values, dtype=np.uint64).view(np.int64)
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(documents: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """doc_id, digest (of the text) and fp (the fingerprint as a signed long)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch_of(schema, [batch.column("doc_id"), signed([fingerprint(x) for x in as_bytes(batch, "text")])])
+            yield batch_of(schema, [batch.column("doc_id"), batch.column("digest"), signed([fingerprint(x, n) for x in as_bytes(batch, "text")])])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return texts_of(documents).mapInArrow(run, "doc_id long, digest long, fp long")
 
 
-def masks(level: int, radius: int = RADIUS) -> np.ndarray:
-    """The covering family of a level: 2**(radius + 1) - 1 masks of 64 bits."""
-    size = 1 << (radius + 1)
-    given = 1 + np.random.default_rng(level).permutation(BITS) % (size - 1)
-    return np.asarray([sum(1 << i for i in range(BITS) if bin(int(given[i]) & v).count("1") % 2) for v in range(1, size)], dtype=np.uint64)
+def texts_of(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).select("doc_id", F.xxhash64("text").alias("digest"), "text")
+
+
+def masks(level: int, radius: int = RADIUS, parts: int = 1) -> np.ndarray:
+    """The covering family of a level: for each part of the bits 2**(r + 1) - 1 masks of 64 bits, r being the radius over the parts."""
+    size = 1 << (radius // parts + 1)
+    order = np.random.default_rng(level).permutation(BITS)
+    given, part = 1 + order // parts % (size - 1), order % parts
+    return np.asarray([sum(1 << i for i in range(BITS) if part[i] == p and bin(int(given[i]) & v).count("1") % 2) for p in range(parts) for v in range(1, size)], dtype=np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -78,9 +101,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def deal(level: int, radius: int):
+def deal(level: int, radius: int, parts: int = 1):
     """Rows (bucket, fp) to one row for each table of the level's family."""
-    schema, family = pa.schema([("bucket", pa.int64()), ("fp", pa.int64())]), masks(level, radius)
+    schema, family = pa.schema([("bucket", pa.int64()), ("fp", pa.int64())]), masks(level, radius, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,11 +176,11 @@ def compare(radius: int, most: int):
     return run
 
 
-def links(different: DataFrame, radius: int = RADIUS, most: int = BUCKET) -> DataFrame:
+def links(different: DataFrame, radius: int = RADIUS, most: int = BUCKET, parts: int = 1) -> DataFrame:
     """a, b: links among different fingerprints (column fp) whose components are those of all pairs within the radius."""
     rows, found, level = different.select(F.lit(0).cast("long").alias("bucket"), "fp"), None, 0
     while True:
-        dealt = rows.mapInArrow(deal(level, radius), "bucket long, fp long")
+        dealt = rows.mapInArrow(deal(level, radius, parts), "bucket long, fp long")
         if level:
             dealt = dealt.distinct()
         out = cut(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare(radius, most), "a long, b long, bucket long").distinct())
@@ -186,20 +209,125 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return components(documents).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
-    """The document of the smallest id of each group, with all its columns; of rows equal in id and fingerprint, one."""
-    named = components(documents)
-    keepers = named.filter("fp = keeper_fp and doc_id <=> component_id").select("doc_id", "fp").distinct()
-    whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
-    rows = documents.select(whole.alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    at = documents.columns.index("text")
+def sets(documents: DataFrame, chosen: DataFrame) -> DataFrame:
+    """digest, fp and set (sorted hashes of shingles, as bytes) of the texts of chosen (digest, fp, doc_id of one document that has it)."""
+    schema = pa.schema([("digest", pa.int64()), ("fp", pa.int64()), ("set", pa.binary())])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("row").field(at).cast(pa.binary()).to_pylist()
-            own = pa.array(signed([fingerprint(x or b"") for x in texts]))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), own], names=["row", "doc_id", "fp"])
+            yield batch_of(schema, [batch.column("digest"), batch.column("fp"), [np.unique(shingles(x, SET_SHINGLE)).tobytes() for x in as_bytes(batch, "text")]])
+
+    texts = texts_of(documents)
+    same = texts["digest"].eqNullSafe(chosen["digest"]) & texts["doc_id"].eqNullSafe(chosen["doc_id"])
+    rows = texts.join(chosen, same).select(texts["digest"], "fp", "text")
+    return rows.mapInArrow(run, "digest long, fp long, set binary").dropDuplicates(["digest"])
 
-    marked = rows.mapInArrow(add, f"row {rows.schema['row'].dataType.simpleString()}, doc_id long, fp long")
-    same = marked["doc_id"].eqNullSafe(keepers["doc_id"]) & (marked["fp"] == keepers["fp"])
-    return marked.join(keepers, same, "left_semi").dropDuplicates(["doc_id", "fp"]).select("row.*")
+
+def in_blocks(grouped: DataFrame, radius: int, parts: int, block: int, many: int) -> DataFrame:
+    """digest, part, i, j, own: the blocks (of part: i and j) that a text takes part in, and which of the two it is of; from digest, fp and part."""
+    done, level = None, 20
+    while True:
+        sized = grouped.join(grouped.groupBy("part").agg(F.ceil(F.count("*") / block).alias("n")), "part")
+        small = sized.filter(F.col("n") <= many)
+        done = small if done is None else done.unionByName(small)
+        large = cut(sized.filter(F.col("n") > many).select(F.col("part").alias("bucket"), "fp", "digest"))
+        if large.isEmpty():
+            break
+        # Equal fingerprints always fall together: past this level they are compared in as many blocks as there are.
+        if level > 26:
+            many = 1 << 62
+        dealt = large.select("bucket", "fp").distinct()
+        tables = [F.xxhash64(F.lit(level), F.lit(t), "bucket", F.col("fp").bitwiseAND(F.lit(int(m)))) for t, m in enumerate(masks(level, radius, parts).view(np.int64).tolist())]
+        grouped = dealt.select("bucket", "fp", F.explode(F.array(*tables)).alias("part")).join(large, ["bucket", "fp"]).select("digest", "fp", "part")
+        level += 1
+    own = F.pmod(F.xxhash64("part", "digest"), F.col("n"))
+    dealt = done.filter("n > 0").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return dealt.select("digest", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+
+
+def alike(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarity of each of the sets with each of the others; two empty ones are equal."""
+    size = [np.asarray([len(x) for x in y]) for y in (one, two)]
+    value, at = np.unique(np.concatenate([*one, *two]), return_inverse=True)
+    row = np.repeat(np.arange(len(one) + len(two)), np.concatenate(size))
+    first = row < len(one)
+    # Only shingles that both sides have count.
+    both = (np.bincount(at[first], minlength=len(value)) > 0) & (np.bincount(at[~first], minlength=len(value)) > 0)
+    place = np.cumsum(both) - 1
+    own = both[at]
+    row, at, first = row[own], place[at[own]], first[own]
+    common = np.zeros((len(one), len(two)), dtype=np.float32)
+    for start in range(0, int(both.sum()), 4096):
+        here = (at >= start) & (at < start + 4096)
+        a, b = np.zeros((len(one), 4096), dtype=np.float32), np.zeros((len(two), 4096), dtype=np.float32)
+        a[row[here & first], at[here & first] - start] = 1
+        b[row[here & ~first] - len(one), at[here & ~first] - start] = 1
+        common += a @ b.T
+    union = size[0][:, None] + size[1][None, :] - common
+    return np.where(union > 0, common / np.maximum(union, 1), 1.0)
+
+
+def compare_sets(radius: int, least: float):
+    """Rows sorted by part, i, j to the links that hold its texts together: each text with the least of its component there."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def whole(rows: list[dict]) -> list[tuple[int, int]]:
+        left = [r for r in rows if r["own"] == r["i"]]
+        right = [r for r in rows if r["own"] == r["j"]] if rows[0]["i"] != rows[0]["j"] else left
+        if not left or not right or len(rows) < 2:
+            return []
+        fps = [np.asarray([r["fp"] for r in y], dtype=np.int64).view(np.uint64) for y in (left, right)]
+        near = np.bitwise_count(fps[0][:, None] ^ fps[1][None, :]) <= radius
+        near &= alike(*([np.frombuffer(r["set"], dtype="<u8") for r in y] for y in (left, right))) >= least
+        ids = np.asarray([r["digest"] for r in [*left, *right]], dtype=np.int64)
+        a, b = np.nonzero(near)
+        b = b + len(left)
+        root = ids.copy()
+        while True:  # the least that is reached, until nothing changes
+            old = root.copy()
+            np.minimum.at(root, a, root[b])
+            np.minimum.at(root, b, root[a])
+            if (old == root).all():
+                return list({(int(x), int(y)) for x, y in zip(ids, root, strict=True) if x != y})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[dict] = []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for r in batch.to_pylist():
+                if own and any(own[0][k] != r[k] for k in ("part", "i", "j")):
+                    out += whole(own)
+                    own = []
+                own.append(r)
+            if out:
+                yield batch_of(schema, zip(*out, strict=True))
+        if own and (out := whole(own)):
+            yield batch_of(schema, zip(*out, strict=True))
+
+    return run
+
+
+def groups(documents: DataFrame, radius: int = NEAR_BITS, least: float = LEAST, block: int = BLOCK, many: int = MANY_BLOCKS) -> DataFrame:
+    """doc_id, digest and root (of the group of texts that are alike) of every document."""
+    rows = table_in_shared_folder(fingerprints(documents, NEAR_SHINGLE))
+    texts = cut(rows.groupBy("digest").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("doc_id")))
+    classes = texts.groupBy("fp").agg(F.count("*").alias("n"))
+    near = stars(links(classes.select("fp"), radius, BUCKET, NEAR_PARTS))
+    members = near.select(F.col("node").alias("fp"), "root").unionByName(near.select(F.col("root").alias("fp"), "root")).unionByName(classes.filter("n > 1").select("fp", F.col("fp").alias("root")))
+    # A fingerprint of several texts has its group's root here, or else itself.
+    members = members.groupBy("fp").agg(F.min(F.struct((F.col("root") == F.col("fp")).alias("own"), "root"))["root"].alias("part"))
+    touched = cut(texts.join(members, "fp"))
+    known = table_in_shared_folder(sets(documents, touched.select("digest", "fp", "doc_id")))
+    dealt = in_blocks(touched.select("digest", "fp", "part"), radius, NEAR_PARTS, block, many)
+    compared = dealt.join(known, "digest").repartition("part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(compare_sets(radius, least), "a long, b long")
+    return rows.join(stars(compared).withColumnRenamed("node", "digest"), "digest", "left").select("doc_id", "digest", F.coalesce("root", "digest").alias("root"))
+
+
+def keep_one(documents: DataFrame) -> DataFrame:
+    """The document of the smallest id of each group of texts that are alike, with all its columns; of rows equal in id and text, one."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("keeper")
+    keepers = groups(documents).groupBy("root").agg(first).select("keeper.doc_id", "keeper.digest")
+    whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+    rows = documents.select(whole.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_bytes()).alias("digest"))
+    same = rows["doc_id"].eqNullSafe(keepers["doc_id"]) & (rows["digest"] == keepers["digest"])
+    return rows.join(keepers, same, "left_semi").dropDuplicates(["doc_id", "digest"]).select("row.*")

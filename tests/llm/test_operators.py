@@ -148,11 +148,80 @@ def test_near_duplicates(spark, docs, none):
     want = Counter((d[0], f"{fps[d[1]]:016x}", least.get(roots[fps[d[1]]])) for d in rows)
     assert Counter(tuple(x) for x in simhash.near_duplicates(docs).collect()) == want
     assert simhash.near_duplicates(none).count() == 0
+
+
+def plain_hashes(text, n):
+    words = (text or "").encode().lower().split()
+    return [xxhash.xxh64_intdigest(b" ".join(words[k : k + n]), seed=42) for k in range(max(len(words) - n + 1, 1))] if words else []
+
+
+def plain_groups(texts, radius=7, least=0.8):
+    """Root of each different text: five-word shingles alike by 0.8 and fingerprints of word pairs within the radius, every pair compared."""
+    texts = sorted({t or "" for t in texts})
+    fps, sets = [], []
+    for t in texts:
+        h = plain_hashes(t, 2)
+        fps.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+        sets.append(set(plain_hashes(t, 5)))
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if bin(fps[a] ^ fps[b]).count("1") <= radius and (not sets[a] | sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least):
+                root[find(a)] = find(b)
+    return {t: find(i) for i, t in enumerate(texts)}
+
+
+def kept_of(rows):
+    """Ids that stay of (doc_id, text): the smallest of each group; a null only where there is no other."""
+    roots, least = plain_groups(t for _, t in rows), {}
+    for i, t in rows:
+        k = roots[t or ""]
+        least[k] = min(least.get(k, 1 << 60), 1 << 60 if i is None else i)
+    return Counter(i if i < 1 << 60 else None for i in least.values())
+
+
+def test_one_of_near_copies_stays(spark, docs, none):
     kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == len(set(roots.values()))
+    assert kept.columns == docs.columns
+    assert Counter(x["doc_id"] for x in kept.collect()) == kept_of([d[:2] for d in documents()])
     assert simhash.keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("block,many", [(500, 24), (7, 24), (6, 3)])
+def test_large_groups_of_near_copies_lose_no_link(spark, block, many):
+    """Copies of one text with more and more words changed: alike with the text or not, and with some of each other."""
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(500)]
+    base = [r.choice(words) for _ in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 160):
+        own = list(base)
+        for _ in range(r.choice([1, 3, 5, 7, 9])):
+            own[r.randrange(200)] = r.choice(words)
+        rows.append((i, " ".join(own)))
+    rows += [(i, " ".join(r.choice(words) for _ in range(80))) for i in range(160, 200)]
+    got = {x["doc_id"]: x["root"] for x in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string"), block=block, many=many).collect()}
+    want = plain_groups(t for _, t in rows)
+    same = {(got[i], want[t]) for i, t in rows}
+    assert len(same) == len({a for a, _ in same}) == len({b for _, b in same}) and 41 < len(same) < 150
+
+
+def test_covering_tables_in_two_parts_cover_the_wider_radius():
+    r = np.random.default_rng(1)
+    for level in (0, 1, 20):
+        family = simhash.masks(level, 7, 2)
+        assert len(family) == 30
+        for _ in range(2000):
+            bits = sum(1 << int(b) for b in r.choice(64, 7, replace=False))
+            assert (family & np.uint64(bits) == 0).any()
+
+
 def test_every_pair_within_the_radius_shares_a_bucket():
     r = np.random.default_rng(0)
     for level in (0, 1, 2):

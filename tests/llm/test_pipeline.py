@@ -8,7 +8,7 @@ import pytest
 from lattica.llm import quality, toxicity
 
 from .helpers import documents, frame
-from .test_operators import plain_components, plain_fingerprint, plain_removed, plain_statistics
+from .test_operators import kept_of, plain_removed, plain_statistics
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -43,16 +43,7 @@ def test_stages(spark, tmp_path):
     assert Counter(x["doc_id"] for x in two.collect()) == Counter(x["doc_id"] for x in toxicity.judge(one, toxicity.fit(one, labels)).filter("predicted = 0").collect())
 
     three = written(spark, steps["simhash near-duplicates"](spark, two, sf), tmp_path / "3")
-    rows = two.select("doc_id", "text").collect()
-    roots = plain_components({plain_fingerprint(x["text"]) for x in rows})
-    least = {}
-    for x in rows:
-        k = roots[plain_fingerprint(x["text"])]
-        if x["doc_id"] is not None:
-            least[k] = min(least.get(k, 1 << 60), x["doc_id"])
-        else:
-            least.setdefault(k, 1 << 60)
-    assert Counter(x["doc_id"] for x in three.collect()) == Counter(v if v < 1 << 60 else None for v in least.values())
+    assert Counter(x["doc_id"] for x in three.collect()) == kept_of([(x["doc_id"], x["text"]) for x in two.collect()])
 
     four = written(spark, steps["suffix-array repeats"](spark, three, sf), tmp_path / "4")
     rows = [(x["doc_id"] if x["doc_id"] is not None else 1 << 61, x["text"].encode()) for x in three.collect()]
