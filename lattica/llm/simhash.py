@@ -45,7 +45,7 @@ BUCKET = 1000
 #: Of keep_one: words of a fingerprint's shingles and of the sets', the radius, and the sets' likeness.
 NEAR_SHINGLE, NEAR_BITS, NEAR_PARTS, SET_SHINGLE, LEAST = 2, 7, 2, 5, 0.8
 #: Texts of a block of a group, blocks of a group that are compared with each other.
-BLOCK, MANY_BLOCKS = 500, 24
+BLOCK, MANY_BLOCKS = 200, 24
 
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
