@@ -18,8 +18,8 @@ def _order(wkb: Column, first: int, n: int) -> Column:
 
 
 def wkb_kind(wkb: Column) -> Column:
-    """1 point, 2 line, 3 polygon, 4 to 6 their collections, 7 mixed; flags for a reference system or more dimensions don't matter."""
-    return F.conv(_order(wkb, 2, 4), 16, 10).cast("long").bitwiseAND(F.lit(255)).cast("int")
+    """1 point, 2 line, 3 polygon, 4 to 6 their collections, 7 mixed; flags, or thousands, for a reference system or more dimensions don't matter."""
+    return (F.conv(_order(wkb, 2, 4), 16, 10).cast("long").bitwiseAND(F.lit(0xFFFF)) % 1000).cast("int")
 
 
 def wkb_srid(wkb: Column) -> Column:
@@ -28,6 +28,68 @@ def wkb_srid(wkb: Column) -> Column:
     return F.when(flagged, F.conv(_order(wkb, 6, 4), 16, 10).cast("int"))
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _whole(digits: Column) -> Column:
+    return F.conv(digits, 16, 10).cast("long")
+
+
+def _number(wkb: Column, little: Column, first: Column, n: int) -> Column:
+    """Hex digits of n bytes from a place on, most significant byte first."""
+    return _let(F.hex(F.substring(wkb, first, F.lit(n))), lambda x: F.when(little, F.concat(*(F.substring(x, 2 * (n - 1 - i) + 1, 2) for i in range(n)))).otherwise(x))
+
+
+def _real(digits: Column) -> Column:
+    """A double from its 16 hex digits; null for what is no number."""
+
+    def value(x: Column) -> Column:
+        size = F.when(x["power"] == 0, x["part"] * F.pow(F.lit(2.0), F.lit(-1074.0))).otherwise((x["part"] + F.lit(1 << 52)) * F.pow(F.lit(2.0), x["power"] - 1075))
+        return F.when(x["power"] < 0x7FF, F.when(x["minus"], -size).otherwise(size))
+
+    def split(x: Column) -> Column:
+        high = x["high"]
+        return F.struct((F.shiftright(high, 31) == 1).alias("minus"), F.shiftright(high, 20).bitwiseAND(F.lit(0x7FF)).alias("power"), (high.bitwiseAND(F.lit(0xFFFFF)) * F.lit(1 << 32) + x["low"]).alias("part"))
+
+    halves = _let(digits, lambda d: F.struct(_whole(F.substring(d, 1, 8)).alias("high"), _whole(F.substring(d, 9, 8)).alias("low")))
+    return _let(_let(halves, split), value)
+
+
+def wkb_points(wkb: Column) -> Column:
+    """Array of (x, y): of a point, a line, or a polygon's outer ring; null for other kinds. A reference system and more dimensions may be there."""
+
+    def layout(head: Column) -> Column:
+        flag = lambda bit: (head.bitwiseAND(F.lit(bit)) != 0).cast("int")
+        thousands = F.floor(head.bitwiseAND(F.lit(0xFFFF)) / 1000)
+        more = F.greatest(flag(0x80000000) + flag(0x40000000), F.when(thousands == 3, 2).when(thousands > 0, 1).otherwise(0))
+        kind = (head.bitwiseAND(F.lit(0xFFFF)) % 1000).cast("int")
+        return F.struct(kind.alias("kind"), (16 + 8 * more).cast("int").alias("step"), (F.lit(6) + 4 * flag(0x20000000)).alias("start"), (_byte(wkb, 1) == 1).alias("little"))
+
+    def points(h: Column) -> Column:
+        counted = h["start"] + F.when(h["kind"] == 3, 4).otherwise(0)
+        n = F.when(h["kind"] == 1, F.lit(1)).when(h["kind"] <= 3, _whole(_number(wkb, h["little"], counted, 4)).cast("int"))
+        first = F.when(h["kind"] == 1, h["start"]).otherwise(counted + 4)
+
+        def point(i: Column) -> Column:
+            return _let(first + i * h["step"], lambda at: F.struct(*(_real(_number(wkb, h["little"], at + k, 8)).alias(name) for k, name in ((0, "x"), (8, "y")))))
+
+        return _let(n, lambda m: F.when(m > 0, F.transform(F.sequence(F.lit(0), m - 1), point)))
+
+    return _let(_let(_whole(_order(wkb, 2, 4)), layout), points)
+
+
+def wkb_box(wkb: Column) -> Column:
+    """west, south, east, north of what wkb_points reads."""
+
+    def box(p: Column) -> Column:
+        x, y = F.transform(p, lambda q: q["x"]), F.transform(p, lambda q: q["y"])
+        return F.struct(F.array_min(x).alias("west"), F.array_min(y).alias("south"), F.array_max(x).alias("east"), F.array_max(y).alias("north"))
+
+    return _let(wkb_points(wkb), box)
+
+
 def in_box(x: Column, y: Column, west: float, south: float, east: float, north: float) -> Column:
     return x.between(west, east) & y.between(south, north)
 

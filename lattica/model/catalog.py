@@ -285,6 +285,48 @@ def checks_of(table: str, columns: list[Column]) -> list[Check]:
     return found
 
 
+# Declared defaults, by column; `only` where not every table that has the column declares it.
+DEFAULTS = """
+is_active true
+requires_jblr_code false
+is_preferred false
+is_policy_exception false
+is_current true
+metadata_stripped false
+sensitive_value false
+row_version 1
+validation_status 'unreviewed'
+currency_status 'current'
+resolution_status 'unresolved'
+capture_status 'captured'
+presence_value_status 'not_recorded'
+origin_value_status 'not_recorded'
+establishment_value_status 'not_recorded'
+context_value_status 'not_recorded'
+temporality_value_status 'not_recorded'
+catalog_inclusion_value_status 'not_recorded'
+created_at now
+updated_at now
+occurred_at now
+changed_at now
+first_seen_at now only evidence.external_record
+last_seen_at now only evidence.external_record
+assessed_at now only governance.quality_assessment
+"""
+
+
+@cache
+def _defaults() -> dict[str, tuple[str, str | None]]:
+    """Value and table (None: all) by column."""
+    words = [line.split(" ") for line in DEFAULTS.strip().splitlines()]
+    return {w[0]: (w[1], w[3] if len(w) > 2 else None) for w in words}
+
+
+def default_of(table: str, column: str) -> str | None:
+    value, only = _defaults().get(column, (None, None))
+    return value if only in (None, table) else None
+
+
 @cache
 def catalog() -> dict[str, Table]:
     lines = re.sub(r"\n    ", " ", TABLES.strip()).splitlines()
@@ -305,7 +347,7 @@ def catalog() -> dict[str, Table]:
         for word in h[3].split(" "):
             m = re.fullmatch(r"(\w+)(!?)(?::([\w(),]+))?([<=]\d+)?(?:>(\S+))?", word)
             name, never_null, kind, length, target = m.groups()
-            columns.append(Column(name, kind or type_of(name), bool(never_null), int(length[1:]) if length else None, bool(length) and length[0] == "="))
+            columns.append(Column(name, kind or type_of(name), bool(never_null), int(length[1:]) if length else None, bool(length) and length[0] == "=", default_of(h[1], name)))
             target = target_of(name, names) if target is None and not (name in key and name != "resource_id") else target or "-"
             if name in key and name != "resource_id" and target == "-" and len(key) > 1:
                 target = target_of(name, names) or "-"

@@ -7,11 +7,14 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Column:
+    """default: SQL for a value that a load may leave out; `now` is the load's clock."""
+
     name: str
     type: str
     never_null: bool
     length: int | None
     exact: bool
+    default: str | None = None
 
 
 @dataclass(frozen=True)

@@ -37,14 +37,60 @@ def ancestor_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.select("node", F.array_join(F.concat(above, F.array(F.col("node").cast("string"))), "/").alias("path"), F.size(above).alias("depth"))
 
 
+def descendants(edges: DataFrame, start: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """node, distance: what lies below the nodes of start (column node), level by level; nothing else of the forest is touched."""
+    level = cut(start.select("node").distinct())
+    known, found, distance = level, None, 0
+    while distance < most_rounds:
+        distance += 1
+        below = edges.join(level.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node")).distinct()
+        level = cut(below.join(known if found is None else found, "node", "left_anti"))
+        reached = level.withColumn("distance", F.lit(distance))
+        found = reached if found is None else found.unionByName(reached)
+        if level.isEmpty():
+            return found
+    raise RuntimeError(f"still deeper after {most_rounds} levels")
+
+
+def below_roots(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """node: the roots, and what leads to one of them over edges (child, parent).
+
+    Jumps double: after k rounds they span 2**k edges, and all nodes nearer to a root are known. Where
+    each child has one parent there are never more jumps than edges.
+    """
+    jumps, linked = cut(edges.select("child", "parent").distinct()), cut(roots.select("node").distinct())
+    while True:
+        new = jumps.join(linked.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node"))
+        more = cut(linked.unionByName(new).distinct())
+        if more.count() == linked.count():
+            return more
+        linked = more
+        further = jumps.withColumnRenamed("parent", "via").join(jumps.select(F.col("child").alias("via"), "parent"), "via")
+        jumps = cut(further.select("child", "parent").distinct())
+
+
 def heads(rows: DataFrame, key: str, supersedes: str) -> DataFrame:
     """Rows that no other row supersedes."""
     return rows.join(rows.select(F.col(supersedes).alias(key)).dropna(), key, "left_anti")
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """node, cycle_length: nodes that reach themselves, with the shortest way round."""
-    return closure(edges).filter("child = ancestor").select(F.col("child").alias("node"), F.col("distance").alias("cycle_length"))
+    """node, cycle_length: nodes that reach themselves, with the shortest way round.
+
+    Where each child has one parent, jumps double until they are longer than any way: where they end lies
+    on cycles, and the smallest node that a jump passes names the cycle. Else all ways are followed.
+    """
+    edges = cut(edges.select("child", "parent").dropna().distinct())
+    if not edges.groupBy("child").count().filter("count > 1").isEmpty():
+        return closure(edges).filter("child = ancestor").select(F.col("child").alias("node"), F.col("distance").alias("cycle_length"))
+    jumps, n, span = edges.withColumn("least", F.col("parent")), edges.count(), 1
+    while span <= n:
+        onward = jumps.select(F.col("child").alias("via"), "parent", F.col("least").alias("onward"))
+        jumps = cut(jumps.withColumnRenamed("parent", "via").join(onward, "via").select("child", "parent", F.least("least", "onward").alias("least")))
+        span *= 2
+    ends = jumps.select(F.col("parent").alias("child")).distinct()
+    named = jumps.join(ends, "child").select(F.col("child").alias("node"), "least")
+    return named.join(named.groupBy("least").agg(F.count("*").cast("int").alias("cycle_length")), "least").select("node", "cycle_length")
 
 
 def symmetrized(edges: DataFrame, a: str, b: str, kind: str, inverse: dict[str, str]) -> DataFrame:
@@ -61,6 +107,6 @@ def tree_faults(nodes: DataFrame, key: str, parent: str) -> DataFrame:
     edges = keyed.dropna()
     missing = edges.join(keyed.select(F.col("node").alias("parent")), "parent", "left_anti").agg(F.count("*").alias("n")).select(F.lit("missing_parent").alias("fault"), "n")
     roots = keyed.filter("parent is null").select("node").distinct()
-    linked = closure(edges.select(F.col("node").alias("child"), "parent")).join(roots.select(F.col("node").alias("ancestor")), "ancestor", "left_semi").select(F.col("child").alias("node"))
-    loose = keyed.select("node").distinct().join(linked.unionByName(roots), "node", "left_anti").agg(F.count("*").alias("n")).select(F.lit("not_linked").alias("fault"), "n")
+    linked = below_roots(edges.select(F.col("node").alias("child"), "parent"), roots)
+    loose = keyed.select("node").distinct().join(linked, "node", "left_anti").agg(F.count("*").alias("n")).select(F.lit("not_linked").alias("fault"), "n")
     return repeated.unionByName(missing).unionByName(loose)

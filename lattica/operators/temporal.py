@@ -11,11 +11,26 @@ def valid_at(start: Column, end: Column, at: Column) -> Column:
 
 
 def overlapping(rows: DataFrame, entity: str, key: str, start: str, end: str) -> DataFrame:
-    """entity, a, b (keys, a < b) of intervals of one entity that share a moment. Joined by entity, so hashed, not nested."""
-    a = rows.select(F.col(entity).alias("_entity"), F.col(key).alias("_a"), F.col(start).alias("_from"), F.col(end).alias("_to"))
-    b = rows.select(F.col(entity).alias("_entity"), F.col(key).alias("_b"), F.col(start).alias("_from2"), F.col(end).alias("_to2"))
-    meet = (F.col("_from").isNull() | F.col("_to2").isNull() | (F.col("_from") <= F.col("_to2"))) & (F.col("_from2").isNull() | F.col("_to").isNull() | (F.col("_from2") <= F.col("_to")))
-    return a.join(b, "_entity").filter((F.col("_a") < F.col("_b")) & meet).select(F.col("_entity").alias(entity), F.col("_a").alias("a"), F.col("_b").alias("b"))
+    """entity, a, b (keys, a < b) of intervals of one entity that share a moment.
+
+    An entity's intervals are numbered by their starts; those that begin while one lasts are a run of
+    numbers after its own. So only pairs that overlap are formed, however many intervals an entity has.
+    """
+    spans = rows.filter(F.col(entity).isNotNull()).select(F.col(entity).alias("_entity"), F.col(key).alias("_key"), F.col(start).alias("_from"), F.col(end).alias("_to"), F.monotonically_increasing_id().alias("_row"))
+    kind = F.explode(F.array(F.lit(0), F.lit(1)))
+    events = spans.withColumn("_end", kind).withColumn("_at", F.when(F.col("_end") == 1, F.col("_to")).otherwise(F.col("_from")))
+    # A missing start is before all others, a missing end after; what ends when another begins still meets it.
+    order = [F.when(F.col("_at").isNotNull(), 1).otherwise(2 * F.col("_end")), "_at", "_end", "_key", "_to"]
+    begun = F.sum(1 - F.col("_end")).over(Window.partitionBy("_entity").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = events.withColumn("_n", begun)
+    numbered = counted.groupBy("_entity", "_row").agg(
+        *(F.first(c).alias(c) for c in ("_key", "_from", "_to")), F.max(F.when(F.col("_end") == 0, F.col("_n"))).alias("_own"), F.max(F.when(F.col("_end") == 1, F.col("_n"))).alias("_last")
+    )
+    runs = numbered.filter("_last > _own").withColumn("_n", F.explode(F.sequence(F.col("_own") + 1, F.col("_last"))))
+    other = counted.filter("_end = 0").select("_entity", "_n", F.col("_key").alias("_other"), F.col("_to").alias("_other_to"))
+    meet = F.col("_from").isNull() | F.col("_other_to").isNull() | (F.col("_from") <= F.col("_other_to"))
+    pairs = runs.join(other, ["_entity", "_n"]).filter(meet & (F.col("_key") != F.col("_other")))
+    return pairs.select(F.col("_entity").alias(entity), F.least("_key", "_other").alias("a"), F.greatest("_key", "_other").alias("b"))
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, right_at: str, value: str, tie: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import documents as docs_fn
 from .functions.text import code_parts, composed, equal_but_for_case, similarity, trigrams
+from .model.catalog import catalog
 from .model.defs import Reference
 from .operators import graph, reconcile, referential, search, temporal, versions
 from .plans.lineage import shared_folder
@@ -96,6 +97,13 @@ def default_fill(spark, sf):
     return runner.filled(rows, {"lang": F.lit("und"), "is_active": F.lit(True), "validation_status": F.lit("unreviewed")})
 
 
+@query("SELECT doc_id, 'current' AS currency_status, 'unreviewed' AS validation_status, 1::INTEGER AS row_version, '2026-01-02 03:04:05' AS created_at, '2026-01-02 03:04:05' AS updated_at FROM documents")
+def catalog_defaults(spark, sf):
+    """What core.resource declares for columns that a load lacks, by a clock that stands still."""
+    rows = runner.filled(t(spark, sf, "documents").select("doc_id"), runner.defaults_of(catalog()["core.resource"], F.lit("2026-01-02 03:04:05").cast("timestamp")))
+    return rows.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("created_at", "updated_at")})
+
+
 @query("""
 SELECT 'order_status_known' AS rule, 'orders' AS table_name, count(*) FILTER (NOT coalesce(o_orderstatus IN ('O', 'F'), true)) AS violations FROM orders UNION ALL
 SELECT 'order_price_positive', 'orders', count(*) FILTER (NOT coalesce(o_totalprice >= 0, true)) FROM orders UNION ALL
@@ -310,7 +318,7 @@ def join_either(spark, sf):
 
 
 _TRIGRAMS_SQL = """
-WITH n AS (SELECT DISTINCT item_id AS k, lower(left(text, 60)) AS s FROM benchmark),
+WITH n AS (SELECT DISTINCT item_id AS k, lower(text) AS s FROM benchmark),
 w AS (SELECT k, unnest(regexp_split_to_array(s, '[^a-z0-9]+')) AS w FROM n),
 g AS (SELECT DISTINCT k, substring('  ' || w || ' ', i::BIGINT, 3) AS t FROM w, LATERAL (SELECT unnest(range(1, length(w) + 2)) AS i) WHERE w <> ''),
 c AS (SELECT k, count(*) AS n FROM g GROUP BY k)
@@ -321,7 +329,7 @@ c AS (SELECT k, count(*) AS n FROM g GROUP BY k)
 SELECT x.k AS a_id, y.k AS b_id, round(count(*) / (cx.n + cy.n - count(*)), 9) AS similarity FROM g x JOIN g y ON x.t = y.t AND x.k < y.k JOIN c cx ON cx.k = x.k JOIN c cy ON cy.k = y.k
 GROUP BY x.k, y.k, cx.n, cy.n HAVING count(*) / (cx.n + cy.n - count(*)) >= 0.3""")
 def join_trigram(spark, sf):
-    rows = t(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 60).alias("s")).distinct()
+    rows = t(spark, sf, "benchmark").select("item_id", F.col("text").alias("s")).distinct()
     a, b = rows.withColumnRenamed("item_id", "a_id"), rows.withColumnRenamed("item_id", "b_id")
     return search.similar(a, "a_id", "s", b, "b_id", "s", 0.3, "[^a-z0-9]+").filter("a_id < b_id").withColumn("similarity", F.round("similarity", 9))
 
@@ -346,9 +354,9 @@ def win_revision_no(spark, sf):
     return versions.numbered(t(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], [F.asc("o_orderdate"), F.asc("o_orderkey")]).drop("o_orderdate")
 
 
-@query("SELECT conv_id, after_no, before_no FROM (SELECT conv_id, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS after_no, turn AS before_no FROM (SELECT conv_id, turn FROM conversations WHERE (conv_id + turn) % 3 <> 0)) WHERE before_no - after_no > 1")
+@query("SELECT conv_id, after_no, before_no FROM (SELECT conv_id, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS after_no, turn AS before_no FROM conversations) WHERE before_no - after_no > 1")
 def win_gaps(spark, sf):
-    return versions.gaps(t(spark, sf, "conversations").filter("(conv_id + turn) % 3 <> 0").select("conv_id", "turn"), ["conv_id"], "turn")
+    return versions.gaps(t(spark, sf, "conversations").select("conv_id", "turn"), ["conv_id"], "turn")
 
 
 @query("SELECT from_state, event_type AS to_state, count(*) AS n FROM (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id) AS from_state FROM events) GROUP BY ALL")
@@ -382,11 +390,11 @@ def win_islands(spark, sf):
     return temporal.islands(rows, "o_custkey", "f", "e")
 
 
-@query("SELECT event_id, user_id, x FROM (SELECT event_id, user_id, nullif(value, value) AS x, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts END DESC NULLS FIRST, event_id) AS n FROM events) WHERE n <= 2")
+@query("SELECT event_id, user_id, k FROM (SELECT event_id, user_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts END AS k, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts END DESC NULLS FIRST, event_id) AS n FROM events) WHERE n <= 2")
 def sort_desc_nulls(spark, sf):
-    rows = t(spark, sf, "events").withColumn("k", F.when(F.col("event_id") % 5 != 0, F.col("ts"))).withColumn("x", F.lit(None).cast("double"))
+    rows = t(spark, sf, "events").withColumn("k", F.when(F.col("event_id") % 5 != 0, F.col("ts")))
     n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc_nulls_first("k"), "event_id"))
-    return rows.withColumn("n", n).filter("n <= 2").select("event_id", "user_id", "x")
+    return rows.withColumn("n", n).filter("n <= 2").select("event_id", "user_id", "k")
 
 
 @query("SELECT event_id, ts FROM events ORDER BY ts DESC NULLS LAST, event_id DESC LIMIT 20")
@@ -578,7 +586,7 @@ def tree_ancestors(spark, sf):
 
 @query("WITH RECURSIVE d AS (SELECT p_partkey AS node, 1 AS distance FROM part WHERE p_partkey // 2 = 3 UNION ALL SELECT p.p_partkey, d.distance + 1 FROM part p JOIN d ON p.p_partkey // 2 = d.node) SELECT node, distance FROM d")
 def tree_descendants(spark, sf):
-    return graph.closure(_tree(spark, sf)[1]).filter("ancestor = 3").select(F.col("child").alias("node"), "distance")
+    return graph.descendants(_tree(spark, sf)[1], spark.range(3, 4).withColumnRenamed("id", "node"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey - 3 FROM orders WHERE o_orderkey % 4 = 0)")

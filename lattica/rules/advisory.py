@@ -48,3 +48,21 @@ def same_digest(assets: DataFrame) -> DataFrame:
 def open_sequences(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
     """Gaps in numbers that need not be contiguous."""
     return versions.gaps(rows, keys, number)
+
+
+def other_type(subtype: DataFrame, resources: DataFrame, code: str) -> DataFrame:
+    """Rows of a subtype's table whose resource is of another type than the subtype's, or of none."""
+    both = subtype.select("resource_id").join(resources.select("resource_id", "resource_type_code"), "resource_id", "left")
+    return both.filter(~F.col("resource_type_code").eqNullSafe(F.lit(code))).select("resource_id", "resource_type_code")
+
+
+def odd_parents(parents: DataFrame, hybrid: str, position: str, expected: int = 2) -> DataFrame:
+    """Hybrids with another number of parents than expected, or with two in one position."""
+    n = parents.groupBy(hybrid).agg(F.count("*").alias("n_parents"), (F.count(position) - F.count_distinct(position)).alias("n_repeated"))
+    return n.filter((F.col("n_parents") != expected) | (F.col("n_repeated") > 0))
+
+
+def other_domain(rows: DataFrame, key: str, column: str, terms: DataFrame, domain: str) -> DataFrame:
+    """Rows whose term is of another domain than the column's, or unknown. A missing term is no fault."""
+    known = terms.select(F.col("term_key").alias(column), "term_domain")
+    return rows.filter(F.col(column).isNotNull()).join(known, column, "left").filter(~F.col("term_domain").eqNullSafe(F.lit(domain))).select(key, column, "term_domain")

@@ -36,6 +36,12 @@ def rules_of(table: Table) -> dict[str, Column]:
     return rules
 
 
+def defaults_of(table: Table, now: Column | None = None) -> dict[str, Column]:
+    """The defaults that a table declares. now: the clock, so that a load or a test can hold it; the session's by default."""
+    now = F.current_timestamp() if now is None else now
+    return {c.name: (now if c.default == "now" else F.expr(c.default)).cast(c.type) for c in table.columns if c.default}
+
+
 def filled(rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     """Defaults for columns that the rows lack. A null that is there stays a null."""
     return rows.withColumns({name: value for name, value in defaults.items() if name not in rows.columns})
