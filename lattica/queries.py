@@ -662,16 +662,20 @@ def import_idempotent(spark, sf):
     return reconcile.not_yet_imported(events.select("event_id", "import_key"), done, "import_key").select("event_id", "import_key")
 
 
-@query("""
-WITH s AS (SELECT doc_id, text, lang, row_number() OVER (PARTITION BY doc_id ORDER BY copy) AS n FROM (SELECT doc_id, text, lang, 0 AS copy FROM documents WHERE doc_id % 10 <> 3 UNION ALL SELECT doc_id, text, lang, 1 FROM documents WHERE doc_id % 50 = 1)),
-c AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 5)
-SELECT doc_id, CASE WHEN s.doc_id IS NULL THEN 'skipped' WHEN s.lang = 'es' THEN 'quarantined' WHEN s.n > 1 THEN 'duplicate' WHEN c.doc_id IS NULL THEN 'inserted' WHEN sha256(s.text) IS NOT DISTINCT FROM sha256(c.text) THEN 'unchanged' ELSE 'updated' END AS outcome
-FROM s FULL JOIN c USING (doc_id)""")
+@query(r"""
+WITH staged AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS text, lang AS kind, -1 AS turn FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT conv_id, text, role, turn FROM conversations),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY turn NULLS FIRST, kind NULLS FIRST, text NULLS FIRST) AS n FROM staged)
+SELECT doc_id, CASE WHEN s.n IS NULL THEN 'skipped' WHEN s.kind IN ('es', 'system') THEN 'quarantined' WHEN s.n > 1 THEN 'duplicate' WHEN c.text_hash IS NULL THEN 'inserted' WHEN sha256(coalesce(s.text, '')) = c.text_hash THEN 'unchanged' ELSE 'updated' END AS outcome
+FROM s FULL JOIN (SELECT doc_id, sha256(coalesce(text, '')) AS text_hash FROM documents) c USING (doc_id)""")
 def upsert_outcome(spark, sf):
-    docs = t(spark, sf, "documents").select("doc_id", "text", "lang")
-    staged = docs.filter("doc_id % 10 <> 3").withColumn("copy", F.lit(0)).unionByName(docs.filter("doc_id % 50 = 1").withColumn("copy", F.lit(1)))
-    current = docs.filter("doc_id % 10 <> 5").withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
-    return reconcile.outcomes(captured(staged, F.col("text")), captured(current, F.col("text")), "doc_id", "payload_hash", F.col("copy"), F.col("lang") == "es")
+    """Labelled documents with their spaces squeezed, and every turn under its conversation's number, against all documents as they are."""
+    docs = t(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("kind"))
+    labelled = docs.join(t(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    squeezed = labelled.withColumn("text", F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " "))).withColumn("turn", F.lit(-1).cast("long"))
+    turns = t(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), "text", F.col("role").alias("kind"), F.col("turn").cast("long").alias("turn"))
+    staged = squeezed.unionByName(turns)
+    text = F.coalesce("text", F.lit(""))
+    return reconcile.outcomes(captured(staged, text), captured(docs, text), "doc_id", "payload_hash", F.struct("turn", "kind", "text"), F.col("kind").isin("es", "system"))
 
 
 @query("SELECT user_id, event_type, min(ts) AS first_seen_at, max(ts) AS last_seen_at FROM events GROUP BY ALL")
