@@ -300,6 +300,67 @@ def test_distant_matches_count_once_one_is_found(spark):
     assert [(x["a"], x["b"], x["matches"]) for x in got] == [(0, 1, 6)]
 
 
+EDITS = {
+    "crop": lambda x, r: x[40:200, 60:290],
+    "lighter": lambda x, r: np.clip(x * 0.8 + 40, 0, 255),
+    "noise": lambda x, r: np.clip(x + r.normal(0, 6, x.shape), 0, 255),
+    "patch": lambda x, r: np.where((np.arange(240)[:, None] < 110) & (np.arange(320) < 140), 0, x),
+    "three quarters": lambda x, r: media.shrink(media.box(x.astype(np.float32), 1), 0.75),
+    "turned": lambda x, r: np.rot90(x),
+}
+
+
+def test_recall_for_each_kind_of_edit():
+    """Forty pictures and a copy of each by each edit: nine in ten agree with their picture, and no other picture's copy does."""
+    r = np.random.default_rng(9)
+
+    def numbers(image):
+        return np.asarray([n for c in media.corners([np.asarray(image).astype(np.uint8)]) for n in media.packed(c[1:])], dtype=np.int64).reshape(-1, media.EACH)
+
+    def linked(p, q):
+        return media.agreed(*([q], [p]) if len(q) < len(p) else ([p], [q]))[0] >= media.LEAST
+
+    images = [picture(100 + k) for k in range(40)]
+    whole = [numbers(x) for x in images]
+    for name, edit in EDITS.items():
+        copies = [numbers(edit(x, r)) for x in images]
+        assert sum(linked(p, q) for p, q in zip(whole, copies)) >= 36, name
+        assert not any(linked(whole[k], copies[(k + step) % 40]) for k in range(40) for step in (1, 5, 11)), name
+
+
+def test_a_key_of_hundreds_of_images(spark):
+    """Three hundred images share one corner, at places of their own; the copies among them are linked and nothing else."""
+    r = np.random.default_rng(12)
+    common, rows = r.bytes(16), []
+    for k in range(300):
+        if k % 3 < 2:
+            own = [(r.integers(20, 900, 2).tolist(), r.bytes(16)) for _ in range(6)]
+            if k % 3 == 0:
+                before = own
+        else:  # a copy of the image two before
+            own = before
+        at = r.integers(20, 900, 2).tolist()
+        rows.append((k, [n for (x, y), d in [*own, (at, common)] for n in media.packed((x, y, 1.0, 0.0, d))]))
+    got = media.links(spark.createDataFrame(rows, "class_id long, corners array<long>")).collect()
+    assert sorted((x["a"], x["b"]) for x in got) == [(k, k + 2) for k in range(0, 300, 3)]
+
+
+def test_distant_meetings_need_two_that_agree(spark):
+    """Corners CLOSE + 2 bits apart under a shared key: copies are found by two that agree, unlike places by none."""
+    r = np.random.default_rng(15)
+    kept = set().union(*[{b for b in range(128) if m[b // 64] >> (b % 64) & 1} for m in media.masks(0)[:1]])
+    free = [b for b in range(128) if b not in kept]
+    one = [r.integers(0, 2, 128) for _ in range(6)]
+    two = [d ^ np.isin(np.arange(128), r.choice(free, media.CLOSE + 2, replace=False)) for d in one]
+    words = [[int(sum(int(b) << i for i, b in enumerate(d[h : h + 64]))) for h in (0, 64)] for d in one + two]
+    bits = [np.asarray([w - (1 << 64) if w >> 63 else w for w in x], dtype="<i8").tobytes() for x in words]
+    places, other = r.integers(20, 400, (6, 2)).tolist(), (r.permutation(6)[:, None] * 150 + r.integers(0, 40, (6, 2))).tolist()
+    rows = [(k, [n for (x, y), d in zip(at, ds) for n in media.packed((x, y, 1.0, 0.0, d))]) for k, at, ds in ((0, places, bits[:6]), (1, places, bits[6:]), (2, other, bits[6:]))]
+    got = media.links(spark.createDataFrame(rows[:2], "class_id long, corners array<long>")).collect()
+    assert [(x["a"], x["b"], x["matches"]) for x in got] == [(0, 1, 6)]
+    assert media.links(spark.createDataFrame([rows[0], rows[2]], "class_id long, corners array<long>")).count() == 0
+
+
 def test_maps_are_read():
     assert media.read_pgm(media.write_pgm(picture(1))).shape == (240, 320)
     assert media.read_pgm(b"P5 # note\n 2 1 255\nab").tolist() == [[97, 98]]
