@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, ngrams, packing, quality, repeats, sharding, simhash, toxicity, urls
+from . import audit, bpe, media, ngrams, packing, quality, repeats, sharding, simhash, spelling, toxicity, urls, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,7 +54,19 @@ def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.copies(media.page_images(table(spark, sf_dir, "pages")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_trees, op5_toxicity, op6_bpe_round_trip, op2_histogram_shards, op8_hilbert_packing, op3_simhash_covering, op10_suffix_array_repeats, op7_url_model, op9_deleted_interpolation, op4_image_copies)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_trees, op5_toxicity, op6_bpe_round_trip, op2_histogram_shards, op8_hilbert_packing, op3_simhash_covering, op10_suffix_array_repeats, op7_url_model, op9_deleted_interpolation, op4_image_copies, op11_spelling_variants, op12_warc_archives, op13_filter_audit)}
 #: Every string of 50 bytes of every document, by its smallest document; then the bytes that are left.
 _REPEATS_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
@@ -67,4 +79,6 @@ gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS
 kept AS (SELECT gaps.r, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS h, sum(b - a) AS n_removed, count(*) AS n_spans FROM gaps JOIN d ON gaps.r = d.r GROUP BY gaps.r)
 SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256 FROM d LEFT JOIN kept ON d.r = kept.r"""
 
-ORACLE_SQL: dict[str, str] = {"op7_url_model": urls.sql(), "op10_suffix_array_repeats": _REPEATS_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op7_url_model": urls.sql(), "op10_suffix_array_repeats": _REPEATS_SQL, "op11_spelling_variants": spelling.SQL, "op12_warc_archives": warc.SQL, "op13_filter_audit": audit.SQL,
+}
