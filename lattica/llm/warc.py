@@ -57,6 +57,8 @@ DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST, DONE, PENDING = "manifest", "DONE", "pending"
 _FILE_COLUMNS = "range int, number int, pending string, name string, records long, bytes long, digest string"
+#: Tasks that rename or read files, at most.
+MOST_TASKS = 20_000
 _KEY_BITS, _TIE_BITS = 42, 20
 _READ = 1 << 18
 
@@ -214,6 +216,11 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(_FILE_COLUMNS).parquet(f"{folder}/{MANIFEST}")
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """The manifest's rows, a task for each up to MOST_TASKS: their number is set, since by their few bytes all would be given to one."""
+    return files.repartition(max(1, min(files.count(), MOST_TASKS)))
+
+
 def commit(spark: SparkSession, folder: str) -> None:
     """Gives the listed files their names, then sets the mark; files that were renamed before are left as they are."""
     files = manifest(spark, folder)
@@ -228,7 +235,7 @@ def commit(spark: SparkSession, folder: str) -> None:
                     raise ValueError(f"{name} has not the size that the manifest says")
             yield batch.select(["name"])
 
-    files.select("pending", "name", "bytes").repartition("name").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+    dealt(files.select("pending", "name", "bytes")).mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
     system, top = opened(folder)
     with system.open_output_stream(f"{top}/{DONE}") as out:
         out.write(b"")
@@ -290,7 +297,7 @@ def records(spark: SparkSession, folder: str, payloads: bool = False) -> DataFra
                     raise ValueError(f"{name} is not the file that the manifest lists")
 
     kinds = "file string, url string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    return manifest(spark, folder).select("name", "digest", "records").repartition("name").mapInArrow(run, kinds)
+    return dealt(manifest(spark, folder).select("name", "digest", "records")).mapInArrow(run, kinds)
 
 
 def archived(pages: DataFrame) -> DataFrame:
