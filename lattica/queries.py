@@ -12,7 +12,7 @@ from .functions import documents as docs_fn
 from .functions.text import code_parts, composed, equal_but_for_case, similarity, trigrams
 from .model.catalog import catalog
 from .model.defs import Reference
-from .operators import graph, reconcile, referential, search, temporal, versions
+from .operators import graph, ranking, reconcile, referential, search, temporal, versions
 from .plans.lineage import shared_folder
 from .rules import keys, runner, templates
 from .sources.tables import captured, driver_table as t
@@ -285,6 +285,16 @@ def join_overlap(spark, sf):
     return temporal.overlapping(_spans(spark, sf), "o_custkey", "o_orderkey", "valid_from", "valid_to")
 
 
+@query(f"""
+WITH s AS ({_SPANS}), e AS (SELECT event_id, user_id, ts - to_days((8200 + event_id % 2400)::INTEGER) AS moment FROM events)
+SELECT o_orderkey, event_id FROM s JOIN e ON user_id = o_custkey WHERE (valid_from IS NULL OR valid_from <= moment) AND (valid_to IS NULL OR moment <= valid_to)""")
+def join_valid_moments(spark, sf):
+    """The orders that were valid at the moment of each event of their customer, moments being spread over the years of the orders."""
+    back = F.make_dt_interval((F.lit(8200) + F.col("event_id") % 2400).cast("int"))
+    moments = t(spark, sf, "events").select("event_id", "user_id", (F.col("ts") - back).alias("moment"))
+    return temporal.covering(_spans(spark, sf), "o_custkey", "valid_from", "valid_to", moments, "user_id", "moment").select("span.o_orderkey", "point.event_id")
+
+
 @query("""
 WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), c AS (SELECT event_id AS c_id, user_id, ts AS c_ts, value FROM events WHERE event_type = 'click'),
 r AS (SELECT p.event_id, p.user_id, p.ts, c.value, c.c_ts, row_number() OVER (PARTITION BY p.event_id ORDER BY c_ts DESC NULLS LAST, c_id DESC NULLS LAST) AS n FROM p LEFT JOIN c ON p.user_id = c.user_id AND c.c_ts <= p.ts)
@@ -329,9 +339,8 @@ c AS (SELECT k, count(*) AS n FROM g GROUP BY k)
 SELECT x.k AS a_id, y.k AS b_id, round(count(*) / (cx.n + cy.n - count(*)), 9) AS similarity FROM g x JOIN g y ON x.t = y.t AND x.k < y.k JOIN c cx ON cx.k = x.k JOIN c cy ON cy.k = y.k
 GROUP BY x.k, y.k, cx.n, cy.n HAVING count(*) / (cx.n + cy.n - count(*)) >= 0.3""")
 def join_trigram(spark, sf):
-    rows = t(spark, sf, "benchmark").select("item_id", F.col("text").alias("s")).distinct()
-    a, b = rows.withColumnRenamed("item_id", "a_id"), rows.withColumnRenamed("item_id", "b_id")
-    return search.similar(a, "a_id", "s", b, "b_id", "s", 0.3, "[^a-z0-9]+").filter("a_id < b_id").withColumn("similarity", F.round("similarity", 9))
+    rows = t(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return search.similar(rows, "id", "text", least=0.3, separators="[^a-z0-9]+").withColumn("similarity", F.round("similarity", 9))
 
 
 @query("SELECT vec_id, label FROM embeddings WHERE embedding[1] BETWEEN -0.1 AND 0.1 AND embedding[2] BETWEEN 0.0 AND 0.2")
@@ -354,9 +363,11 @@ def win_revision_no(spark, sf):
     return versions.numbered(t(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], [F.asc("o_orderdate"), F.asc("o_orderkey")]).drop("o_orderdate")
 
 
-@query("SELECT conv_id, after_no, before_no FROM (SELECT conv_id, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS after_no, turn AS before_no FROM conversations) WHERE before_no - after_no > 1")
+@query("SELECT conv_id, after_no, before_no FROM (SELECT conv_id, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS after_no, turn AS before_no FROM conversations) WHERE before_no - after_no > 1 UNION ALL SELECT o_custkey, after_no, before_no FROM (SELECT o_custkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS after_no, o_orderkey AS before_no FROM orders) WHERE before_no - after_no > 1")
 def win_gaps(spark, sf):
-    return versions.gaps(t(spark, sf, "conversations").select("conv_id", "turn"), ["conv_id"], "turn")
+    """Turns that miss in a conversation (none should), and keys of orders between two of a customer's."""
+    turns = versions.gaps(t(spark, sf, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn")), ["conv_id"], "turn")
+    return turns.unionByName(versions.gaps(t(spark, sf, "orders").select(F.col("o_custkey").alias("conv_id"), F.col("o_orderkey").alias("turn")), ["conv_id"], "turn"))
 
 
 @query("SELECT from_state, event_type AS to_state, count(*) AS n FROM (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id) AS from_state FROM events) GROUP BY ALL")
@@ -408,11 +419,16 @@ def range_scan(spark, sf):
     return t(spark, sf, "orders").filter(F.col("o_orderdate").between(low, high)).select("o_orderkey", "o_orderdate")
 
 
-@query("SELECT n_nationkey, row_number() OVER (ORDER BY nullif(n_regionkey, 2) NULLS LAST, n_name)::INTEGER AS place FROM nation")
+@query("SELECT n_nationkey, row_number() OVER (ORDER BY nullif(n_regionkey, 2) NULLS LAST, n_name) AS place FROM nation")
 def sort_vocab(spark, sf):
-    """A vocabulary is small by nature: one task may order it."""
-    order = Window.orderBy(F.asc_nulls_last(F.nullif("n_regionkey", F.lit(2))), "n_name")
-    return t(spark, sf, "nation").select("n_nationkey", F.row_number().over(order).alias("place"))
+    """A place in one order over all rows; no task has them all."""
+    region = F.nullif(F.col("n_regionkey"), F.lit(2))
+    return ranking.numbered(t(spark, sf, "nation").select("n_nationkey", "n_regionkey", "n_name"), [], [region.isNull(), region, F.col("n_name")], "place").select("n_nationkey", "place")
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_brand, p_name NULLS LAST, p_partkey) AS place FROM part")
+def sort_catalogue(spark, sf):
+    return ranking.numbered(t(spark, sf, "part").select("p_partkey", "p_brand", "p_name"), [], [F.col("p_brand"), F.col("p_name").isNull(), F.col("p_name"), F.col("p_partkey")], "place").select("p_partkey", "place")
 
 
 # Aggregates.
@@ -555,6 +571,37 @@ def json_diff(spark, sf):
     return rows.filter(docs_fn.changed(F.col("old"), F.col("props"))).select("event_id", *k)
 
 
+_FIELDS_SQL = r"""
+WITH v AS (SELECT user_id, event_id, event_type AS e, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id) AS n FROM events),
+l AS (SELECT user_id, n, unnest(list_concat([{'path': '/type', 'value': '"' || e || '"'}, {'path': '/detail/k', 'value': k::VARCHAR}, {'path': '/x~1y~2z~0', 'value': (event_id % 4)::VARCHAR}],
+  CASE WHEN k % 2 = 0 THEN [{'path': '/detail/even/half', 'value': (k // 2)::VARCHAR}] ELSE [] END, CASE k % 3 WHEN 0 THEN [{'path': '/tags', 'value': '[]'}] WHEN 1 THEN [{'path': '/tags#0', 'value': '1'}] ELSE [{'path': '/tags#0', 'value': '1'}, {'path': '/tags#1', 'value': '2'}] END), recursive := true) FROM v),
+c AS (SELECT coalesce(b.user_id, a.user_id) AS user_id, coalesce(b.n, a.n + 1) AS revision_no, coalesce(b.path, a.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS change_kind, a.value AS old_value, b.value AS new_value
+  FROM l a FULL JOIN l b ON a.user_id = b.user_id AND a.n + 1 = b.n AND a.path = b.path WHERE a.value IS DISTINCT FROM b.value)
+"""
+
+
+def _documents_of_users(spark, sf):
+    """Every event as the next version of its user's document, with nested members, lists and a key of odd signs."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    detail = F.struct(k.alias("k"), F.when(k % 2 == 0, F.struct(F.floor(k / 2).cast("long").alias("half"))).alias("even"))
+    tags = F.slice(F.array(F.lit(1), F.lit(2)), F.lit(1), (k % 3).cast("int"))
+    document = F.to_json(F.struct(F.col("event_type").alias("type"), detail.alias("detail"), tags.alias("tags"), (F.col("event_id") % 4).alias("x/y#z~")))
+    return t(spark, sf, "events").select("user_id", "ts", "event_id", document.alias("document"))
+
+
+@query(_FIELDS_SQL + "SELECT c.* FROM c WHERE EXISTS (SELECT 1 FROM v WHERE v.user_id = c.user_id AND v.n = c.revision_no)")
+def json_changes(spark, sf):
+    return docs_fn.history(_documents_of_users(spark, sf), "user_id", [F.col("ts"), F.col("event_id")], "document")
+
+
+@query(_FIELDS_SQL + r"""
+SELECT user_id, '{"detail":{' || CASE WHEN k % 2 = 0 THEN '"even":{"half":' || k // 2 || '},' ELSE '' END || '"k":' || k || '},"tags":' || CASE k % 3 WHEN 0 THEN '[]' WHEN 1 THEN '[1]' ELSE '[1,2]' END || ',"type":"' || e || '","x/y#z~":' || event_id % 4 || '}' AS document
+FROM v WHERE n = (SELECT max(n) FROM v w WHERE w.user_id = v.user_id)""")
+def json_replayed(spark, sf):
+    """The changes of all versions, played back: each user's document as it is stored last."""
+    return docs_fn.replayed(docs_fn.history(_documents_of_users(spark, sf), "user_id", [F.col("ts"), F.col("event_id")], "document"), "user_id")
+
+
 @query("SELECT doc_id, sha256(text) AS payload_hash FROM documents")
 def content_hash(spark, sf):
     return captured(t(spark, sf, "documents").select("doc_id", "text"), F.col("text")).drop("text")
@@ -663,19 +710,22 @@ def import_idempotent(spark, sf):
 
 
 @query(r"""
-WITH staged AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS text, lang AS kind, -1 AS turn FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT conv_id, text, role, turn FROM conversations),
-s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY turn NULLS FIRST, kind NULLS FIRST, text NULLS FIRST) AS n FROM staged)
-SELECT doc_id, CASE WHEN s.n IS NULL THEN 'skipped' WHEN s.kind IN ('es', 'system') THEN 'quarantined' WHEN s.n > 1 THEN 'duplicate' WHEN c.text_hash IS NULL THEN 'inserted' WHEN sha256(coalesce(s.text, '')) = c.text_hash THEN 'unchanged' ELSE 'updated' END AS outcome
-FROM s FULL JOIN (SELECT doc_id, sha256(coalesce(text, '')) AS text_hash FROM documents) c USING (doc_id)""")
+WITH staged AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS text, lang AS kind, -1 AS turn FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT CASE WHEN conv_id % 13 = 0 THEN NULL ELSE conv_id END, text, role, turn FROM conversations),
+g AS (SELECT *, CASE WHEN doc_id IS NULL OR length(text) < 40 THEN 'failed' WHEN kind IN ('es', 'system') THEN 'quarantined' END AS bad FROM staged),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, bad ORDER BY turn NULLS FIRST, kind NULLS FIRST, text NULLS FIRST) AS n FROM g),
+c AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_hash FROM documents)
+SELECT s.doc_id, CASE WHEN bad IS NOT NULL THEN bad WHEN s.n > 1 THEN 'duplicate' WHEN c.text_hash IS NULL THEN 'inserted' WHEN sha256(coalesce(s.text, '')) = c.text_hash THEN 'unchanged' ELSE 'updated' END AS outcome FROM s LEFT JOIN c ON s.doc_id = c.doc_id
+UNION ALL SELECT doc_id, 'skipped' FROM c WHERE doc_id NOT IN (SELECT doc_id FROM staged WHERE doc_id IS NOT NULL)""")
 def upsert_outcome(spark, sf):
-    """Labelled documents with their spaces squeezed, and every turn under its conversation's number, against all documents as they are."""
+    """Labelled documents with their spaces squeezed, and every turn under its conversation's number, against all documents as they are; short texts count as unreadable."""
     docs = t(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("kind"))
     labelled = docs.join(t(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
     squeezed = labelled.withColumn("text", F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " "))).withColumn("turn", F.lit(-1).cast("long"))
-    turns = t(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), "text", F.col("role").alias("kind"), F.col("turn").cast("long").alias("turn"))
+    own = F.when(F.col("conv_id") % 13 != 0, F.col("conv_id"))
+    turns = t(spark, sf, "conversations").select(own.alias("doc_id"), "text", F.col("role").alias("kind"), F.col("turn").cast("long").alias("turn"))
     staged = squeezed.unionByName(turns)
     text = F.coalesce("text", F.lit(""))
-    return reconcile.outcomes(captured(staged, text), captured(docs, text), "doc_id", "payload_hash", F.struct("turn", "kind", "text"), F.col("kind").isin("es", "system"))
+    return reconcile.outcomes(captured(staged, text), captured(docs, text), "doc_id", "payload_hash", F.struct("turn", "kind", "text"), F.col("kind").isin("es", "system"), F.length("text") < 40)
 
 
 @query("SELECT user_id, event_type, min(ts) AS first_seen_at, max(ts) AS last_seen_at FROM events GROUP BY ALL")
