@@ -1,7 +1,11 @@
-"""Geometry in well-known binary, read with built-in functions."""
+"""Geometry in well-known binary: kind, reference system and single parts by built-in functions; geometry of several parts, and whether two share a point, by NumPy over Arrow batches."""
 
 from __future__ import annotations
 
+import struct
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,3 +101,161 @@ def in_box(x: Column, y: Column, west: float, south: float, east: float, north:
 def boxes_meet(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column, Column, Column]) -> Column:
     """Boxes (west, south, east, north) that share a point."""
     return (a[0] <= b[2]) & (b[0] <= a[2]) & (a[1] <= b[3]) & (b[1] <= a[3])
+
+
+# Geometry of several parts.
+
+_SIDES = ("west", "south", "east", "north")
+_BOX = ", ".join(f"{s}: double" for s in _SIDES)
+#: kind and srid of the whole, its box, and its parts, each a point (kind 1), a line (2) or a polygon (3) with its box and its rings, the outer one first; points and lines have one.
+PART = f"struct<kind: int, {_BOX}, rings: array<struct<xs: array<double>, ys: array<double>>>>"
+SHAPE = f"struct<kind: int, srid: int, {_BOX}, parts: array<{PART}>>"
+_SIDES_PA = [(s, pa.float64()) for s in _SIDES]
+_RING_PA = pa.struct([("xs", pa.list_(pa.float64())), ("ys", pa.list_(pa.float64()))])
+_PART_PA = pa.struct([("kind", pa.int32()), *_SIDES_PA, ("rings", pa.list_(_RING_PA))])
+_SHAPE_PA = pa.struct([("kind", pa.int32()), ("srid", pa.int32()), *_SIDES_PA, ("parts", pa.list_(_PART_PA))])
+
+
+def _box(points: np.ndarray) -> dict:
+    return dict(zip(_SIDES, [*points.min(axis=0).tolist(), *points.max(axis=0).tolist()], strict=True)) if len(points) else dict.fromkeys(_SIDES)
+
+
+class _Walk:
+    """A cursor over one geometry; each nested part has its own byte order, kind and flags, and begins where the one before ends."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.parts = data, 0, []
+
+    def whole(self, order: str) -> int:
+        self.at += 4
+        return struct.unpack_from(order + "I", self.data, self.at - 4)[0]
+
+    def points(self, order: str, n: int, size: int) -> np.ndarray:
+        out = np.frombuffer(self.data, dtype=order + "f8", count=n * size, offset=self.at).reshape(n, size)[:, :2]
+        self.at += 8 * n * size
+        return out
+
+    def geometry(self) -> tuple[int, int | None]:
+        order = "<" if self.data[self.at] == 1 else ">"
+        self.at += 1
+        head = self.whole(order)
+        thousands = (head & 0xFFFF) // 1000
+        size = 2 + max(bool(head & 0x80000000) + bool(head & 0x40000000), 2 if thousands == 3 else int(thousands > 0))
+        kind = (head & 0xFFFF) % 1000
+        srid = self.whole(order) if head & 0x20000000 else None
+        if kind == 1:
+            rings = [self.points(order, 1, size)]
+        elif kind == 2:
+            rings = [self.points(order, self.whole(order), size)]
+        elif kind == 3:
+            rings = [self.points(order, self.whole(order), size) for _ in range(self.whole(order))]
+        elif 4 <= kind <= 7:
+            for _ in range(self.whole(order)):
+                self.geometry()
+            return kind, srid
+        else:
+            raise ValueError(f"kind {kind}")
+        rings = [xy[~np.isnan(xy).any(axis=1)] for xy in rings]  # an empty point has no numbers
+        if rings and len(rings[0]):
+            self.parts.append((kind, [xy for xy in rings if len(xy)]))
+        return kind, srid
+
+
+def shape_of(data: bytes | None) -> dict | None:
+    """A geometry's shape; None for what is no geometry. Empty parts are left out; bytes after the end are not looked at."""
+    if data is None:
+        return None
+    walk = _Walk(data)
+    try:
+        kind, srid = walk.geometry()
+    except (struct.error, ValueError, IndexError, RecursionError):
+        return None
+    parts = [{"kind": k, "rings": [{"xs": xy[:, 0].tolist(), "ys": xy[:, 1].tolist()} for xy in rings]} | _box(np.concatenate(rings)) for k, rings in walk.parts]
+    points = np.concatenate([xy for _, rings in walk.parts for xy in rings]) if parts else np.zeros((0, 2))
+    return {"kind": kind, "srid": srid, "parts": parts} | _box(points)
+
+
+def wkb_shape(wkb: Column) -> Column:
+    """The shape of a geometry of any kind from 1 to 7, nested parts in either byte order; null for what is no geometry."""
+
+    @F.arrow_udf(SHAPE)
+    def shape(column: pa.Array) -> pa.Array:
+        return pa.array([shape_of(x) for x in column.to_pylist()], type=_SHAPE_PA)
+
+    return shape(wkb)
+
+
+def wkb_of(kind: Column, parts: Column) -> Column:
+    """Well-known binary of a geometry of kind 1 to 6 from its parts: each a list of pieces (rings of a polygon, else one), each a list of numbers x, y, x, y. Null where either is."""
+
+    def single(kind: int, pieces: list) -> bytes:
+        out = struct.pack("<BI", 1, kind)
+        if kind == 3:
+            out += struct.pack("<I", len(pieces))
+        for p in pieces:
+            out += (struct.pack("<I", len(p) // 2) if kind > 1 else b"") + np.asarray(p, dtype="<f8").tobytes()
+        return out
+
+    @F.arrow_udf("binary")
+    def written(kinds: pa.Array, parts: pa.Array) -> pa.Array:
+        def one(kind: int | None, of: list | None) -> bytes | None:
+            if kind is None or of is None:
+                return None
+            return single(kind, of[0]) if kind <= 3 else struct.pack("<BII", 1, kind, len(of)) + b"".join(single(kind - 3, p) for p in of)
+
+        return pa.array([one(k, p) for k, p in zip(kinds.to_pylist(), parts.to_pylist(), strict=True)], type=pa.binary())
+
+    return written(kind, parts)
+
+
+def _segments(part: dict) -> np.ndarray:
+    """Rows x, y, x, y of a part's sides; a point, or a line of one, is a side without length, and rings are closed."""
+    out = []
+    for ring in part["rings"]:
+        xy = np.column_stack([ring["xs"], ring["ys"]])
+        if part["kind"] == 3:
+            xy = np.vstack([xy, xy[:1]])
+        out.append(np.hstack([xy[:-1], xy[1:]]) if len(xy) > 1 else np.hstack([xy, xy]))
+    return np.vstack(out)
+
+
+def _sides_touch(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether a side of the one and a side of the other share a point; a block of sides at a time."""
+
+    def turn(p, q, r):
+        return np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
+
+    for start in range(0, len(a), 512):
+        p, q = (a[start : start + 512, None, k : k + 2] for k in (0, 2))
+        for other in range(0, len(b), 512):
+            r, s = (b[None, other : other + 512, k : k + 2] for k in (0, 2))
+            cross = (turn(p, q, r) * turn(p, q, s) <= 0) & (turn(r, s, p) * turn(r, s, q) <= 0)
+            # Sides on one line cross by this test wherever they are; their boxes tell.
+            near = np.all((np.minimum(p, q) <= np.maximum(r, s)) & (np.minimum(r, s) <= np.maximum(p, q)), axis=-1)
+            if (cross & near).any():
+                return True
+    return False
+
+
+def _inside(x: float, y: float, part: dict) -> bool:
+    """Whether a point lies within a polygon: a ray from it crosses the sides of its rings an odd number of times."""
+    s = _segments(part)
+    s = s[(s[:, 1] > y) != (s[:, 3] > y)]
+    return bool(len(s)) and int((x < s[:, 0] + (y - s[:, 1]) * (s[:, 2] - s[:, 0]) / (s[:, 3] - s[:, 1])).sum()) % 2 == 1
+
+
+def meet(a: dict, b: dict) -> bool:
+    """Whether two parts share a point: sides that touch, or one that lies wholly within the other."""
+    if _sides_touch(_segments(a), _segments(b)):
+        return True
+    return any(other["kind"] == 3 and _inside(one["rings"][0]["xs"][0], one["rings"][0]["ys"][0], other) for one, other in ((a, b), (b, a)))
+
+
+def parts_meet(a: Column, b: Column) -> Column:
+    """Whether two parts of shapes share a point; edges belong to a polygon, holes don't. Null where either is."""
+
+    @F.arrow_udf("boolean")
+    def shared(one: pa.Array, two: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else meet(x, y) for x, y in zip(one.to_pylist(), two.to_pylist(), strict=True)], type=pa.bool_())
+
+    return shared(a, b)

@@ -45,12 +45,15 @@ def covering(rows: DataFrame, entity: str, start: str, end: str, points: DataFra
     An entity's points are numbered in time; those in an interval are a run of numbers, so nothing is formed but
     what is returned. Points without a moment or an entity lie nowhere; intervals that end before they start hold none.
     """
-    spans = cut(rows.select(F.col(entity).alias("_entity"), F.col(start).alias("_from"), F.col(end).alias("_to"), F.struct(*rows.columns).alias("span")).filter("_entity is not null").withColumn("_row", F.monotonically_increasing_id()))
-    known = points.select(F.col(by).alias("_entity"), F.col(at).alias("_at"), F.struct(*points.columns).alias("point")).filter("_entity is not null and _at is not null")
+    whole = lambda side, names: F.struct(*(F.col(f"_{side}{i}").alias(n) for i, n in enumerate(names))).alias(side)
+    flat = lambda side, names: [F.col(f"`{n}`").alias(f"_{side}{i}") for i, n in enumerate(names)]
+    spans = rows.select(F.col(entity).alias("_entity"), F.col(start).alias("_from"), F.col(end).alias("_to"), *flat("span", rows.columns)).filter("_entity is not null")
+    spans = cut(spans.withColumn("_row", F.monotonically_increasing_id()))
+    known = points.select(F.col(by).alias("_entity"), F.col(at).alias("_at"), *flat("point", points.columns)).filter("_entity is not null and _at is not null")
     numbers = cut(numbered(known, ["_entity"], [F.col("_at")], "_n"))
-    limits = counted(spans.drop("span"), numbers).filter("_high > _low").select("_row", "_entity", "_low", "_high")
-    runs = spread(limits.join(spans.select("_row", "span"), "_row"), F.col("_low") + 1, F.col("_high"), "_n")
-    return runs.select("_entity", "_n", "span").join(numbers.select("_entity", "_n", "point"), ["_entity", "_n"]).select("span", "point")
+    limits = counted(spans.select("_entity", "_row", "_from", "_to"), numbers).filter("_high > _low").select("_row", "_low", "_high")
+    runs = spread(limits.join(spans.drop("_from", "_to"), "_row").drop("_row"), F.col("_low") + 1, F.col("_high"), "_n").drop("_low", "_high")
+    return runs.join(numbers.drop("_at"), ["_entity", "_n"]).select(whole("span", rows.columns), whole("point", points.columns))
 
 
 def overlapping(rows: DataFrame, entity: str, key: str, start: str, end: str) -> DataFrame:

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import documents as docs_fn
+from .functions import documents as docs_fn, geo
 from .functions.text import code_parts, composed, equal_but_for_case, similarity, trigrams
 from .model.catalog import catalog
 from .model.defs import Reference
-from .operators import graph, ranking, reconcile, referential, search, temporal, versions
+from .operators import boxes, graph, ranking, reconcile, referential, search, temporal, textindex, trees, versions
 from .plans.lineage import shared_folder
 from .rules import keys, runner, templates
 from .sources.tables import captured, driver_table as t
@@ -350,6 +351,45 @@ def bbox_range(spark, sf):
     return search.points_in_boxes(points, "x", "y", F.broadcast(boxes), 0.1).select("vec_id", "label")
 
 
+_BOXES = "SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, (abs(embedding[3]) / (CASE WHEN vec_id % 50 = 0 THEN 1 ELSE 20 END))::DOUBLE AS r FROM embeddings"
+
+
+def _places(spark, sf):
+    """Points with a reach: mostly small, some wide."""
+    e = lambda i: F.col("embedding")[i].cast("double")
+    return t(spark, sf, "embeddings").select("vec_id", e(0).alias("x"), e(1).alias("y"), (F.abs(F.col("embedding")[2]) / F.when(F.col("vec_id") % 50 == 0, 1).otherwise(20)).cast("double").alias("r"), e(3).alias("x2"), e(4).alias("y2"))
+
+
+@query(f"WITH b AS ({_BOXES}) SELECT a.vec_id AS a_id, b.vec_id AS b_id FROM b a JOIN b ON a.vec_id < b.vec_id AND a.x - a.r <= b.x + b.r AND b.x - b.r <= a.x + a.r AND a.y - a.r <= b.y + b.r AND b.y - b.r <= a.y + a.r")
+def boxes_intersect(spark, sf):
+    p = _places(spark, sf).select("vec_id", *(f.alias(n) for n, f in (("west", F.col("x") - F.col("r")), ("south", F.col("y") - F.col("r")), ("east", F.col("x") + F.col("r")), ("north", F.col("y") + F.col("r")))))
+    return boxes.meeting(p, p).select(F.col("a.vec_id").alias("a_id"), F.col("b.vec_id").alias("b_id")).filter("a_id < b_id")
+
+
+@query("""
+WITH d AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, (abs(embedding[3]) / (CASE WHEN vec_id % 50 = 0 THEN 1 ELSE 20 END))::DOUBLE AS r FROM embeddings UNION ALL SELECT vec_id, embedding[4]::DOUBLE, embedding[5]::DOUBLE, (abs(embedding[3]) / (CASE WHEN vec_id % 50 = 0 THEN 1 ELSE 20 END))::DOUBLE FROM embeddings)
+SELECT DISTINCT a.vec_id AS a_id, b.vec_id AS b_id FROM d a JOIN d b ON a.vec_id < b.vec_id AND abs(a.x - b.x) + abs(a.y - b.y) <= a.r + b.r""")
+def geometries_intersect(spark, sf):
+    """Pairs of geometries of two squares on their corners, written as binary, read again and compared exactly."""
+
+    def diamond(x: str, y: str):
+        x, y, r = F.col(x), F.col(y), F.col("r")
+        return F.array(F.array(x - r, y, x, y + r, x + r, y, x, y - r, x - r, y))
+
+    rows = _places(spark, sf).select("vec_id", geo.wkb_of(F.lit(6), F.array(diamond("x", "y"), diamond("x2", "y2"))).alias("wkb"))
+    shaped = rows.select("vec_id", geo.wkb_shape(F.col("wkb")).alias("shape"))
+    return boxes.geometries_meeting(shaped, None, "vec_id", "shape").select(F.col("a").alias("a_id"), F.col("b").alias("b_id"))
+
+
+@query("SELECT label, 4 AS kind, count(*)::INTEGER AS n_points, min(embedding[1])::DOUBLE AS west, min(embedding[2])::DOUBLE AS south, max(embedding[1])::DOUBLE AS east, max(embedding[2])::DOUBLE AS north FROM embeddings GROUP BY label")
+def geometry_boxes(spark, sf):
+    """The points of a label as one geometry of many parts, and what is read from it."""
+    parts = F.collect_list(F.array(F.array(F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")))).alias("parts")
+    rows = t(spark, sf, "embeddings").groupBy("label").agg(parts).select("label", geo.wkb_of(F.lit(4), F.col("parts")).alias("wkb"))
+    read = rows.select("label", geo.wkb_kind(F.col("wkb")).alias("kind"), geo.wkb_shape(F.col("wkb")).alias("s"))
+    return read.select("label", "kind", F.size("s.parts").alias("n_points"), "s.west", "s.south", "s.east", "s.north")
+
+
 # Windows and order.
 
 
@@ -546,6 +586,18 @@ def search_like(spark, sf):
     return t(spark, sf, "documents").filter(F.col("text").ilike("%license%") | F.col("text").like("The %")).select("doc_id")
 
 
+_PATTERNS = ["%license%", "The %", "%@%.com%", "%\\%%", "%onthe%ingly%", "%qzxj%"]
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS pattern, doc_id FROM documents WHERE text LIKE '{p}' ESCAPE '\\'" for i, p in enumerate(_PATTERNS)))
+def search_index(spark, sf):
+    """Patterns looked up in an index of the whole texts."""
+    folder = f"{shared_folder(spark.sparkContext)}/lattica-index-{uuid.uuid4().hex}"
+    textindex.build(t(spark, sf, "documents"), "doc_id", "text", folder)
+    found = [textindex.like(spark, folder, p).select(F.lit(i).alias("pattern"), F.col("id").alias("doc_id")) for i, p in enumerate(_PATTERNS)]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("SELECT p_partkey, concat_ws(' ', nullif(trim(p_brand), ''), nullif(trim(CASE WHEN p_size % 2 = 0 THEN p_type END), ''), nullif(trim(p_size::VARCHAR), '')) AS composed FROM part")
 def name_compose(spark, sf):
     return t(spark, sf, "part").select("p_partkey", composed(F.col("p_brand"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")), F.col("p_size").cast("string")).alias("composed"))
@@ -633,7 +685,16 @@ def tree_ancestors(spark, sf):
 
 @query("WITH RECURSIVE d AS (SELECT p_partkey AS node, 1 AS distance FROM part WHERE p_partkey // 2 = 3 UNION ALL SELECT p.p_partkey, d.distance + 1 FROM part p JOIN d ON p.p_partkey // 2 = d.node) SELECT node, distance FROM d")
 def tree_descendants(spark, sf):
-    return graph.descendants(_tree(spark, sf)[1], spark.range(3, 4).withColumnRenamed("id", "node"))
+    nodes, edges = _tree(spark, sf)
+    return trees.below(trees.labelled(edges, nodes), spark.range(3, 4).withColumnRenamed("id", "node")).select("node", "distance")
+
+
+@query("""
+WITH RECURSIVE w AS (SELECT p_partkey AS node, NULL::BIGINT AS parent, lpad(p_partkey::VARCHAR, 12, '0') AS path, 0 AS depth FROM part WHERE p_partkey // 2 <= 0 UNION ALL SELECT p.p_partkey, w.node, w.path || '/' || lpad(p.p_partkey::VARCHAR, 12, '0'), w.depth + 1 FROM part p JOIN w ON p.p_partkey // 2 = w.node AND w.node > 0)
+SELECT node, parent, row_number() OVER (ORDER BY path) AS pre, row_number() OVER (ORDER BY path || '~') AS post, (SELECT count(*) FROM w x WHERE x.path = w.path OR x.path LIKE w.path || '/%') AS size, depth FROM w""")
+def tree_labels(spark, sf):
+    nodes, edges = _tree(spark, sf)
+    return trees.labelled(edges, nodes)
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey - 3 FROM orders WHERE o_orderkey % 4 = 0)")
