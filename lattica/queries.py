@@ -743,6 +743,31 @@ def tree_cycles(spark, sf):
     return graph.on_cycles(edges)
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS a, (p_partkey * p_partkey + p_size) % 1009 AS b FROM part UNION SELECT p_partkey, p_partkey // 2 FROM part WHERE p_size % 4 = 0),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a""")
+def graph_components(spark, sf):
+    """Parts that lead to others in two ways: which of them lead back to each other."""
+    part = t(spark, sf, "part").select("p_partkey", "p_size")
+    one = part.select(F.col("p_partkey").alias("child"), ((F.col("p_partkey") * F.col("p_partkey") + F.col("p_size")) % 1009).alias("parent"))
+    two = part.filter("p_size % 4 = 0").select(F.col("p_partkey").alias("child"), F.floor(F.col("p_partkey") / 2).cast("long").alias("parent"))
+    return graph.strong_components(one.unionByName(two))
+
+
+_BLENDS_SQL = "SELECT DISTINCT l_suppkey AS s, l_suppkey // 3 AS o, 0.75::DOUBLE AS p FROM lineitem WHERE l_suppkey // 3 > 0 UNION ALL SELECT DISTINCT l_suppkey, l_suppkey // 5, 0.125::DOUBLE FROM lineitem WHERE l_suppkey // 5 > 0"
+
+
+@query(f"""
+WITH RECURSIVE e AS ({_BLENDS_SQL}), w(sample, node, share) AS (SELECT s, s, 1.0::DOUBLE FROM (SELECT s FROM e UNION SELECT o FROM e) UNION ALL SELECT sample, o, share * p FROM w JOIN e ON s = node)
+SELECT sample, node AS source, round(sum(share), 9) AS share FROM w WHERE node NOT IN (SELECT s FROM e) GROUP BY ALL""")
+def lineage_shares(spark, sf):
+    """What part of each sample comes from each source, some being lost on the way."""
+    lines = t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("sample")).distinct()
+    kinds = F.explode(F.array(*(F.struct(F.floor(F.col("sample") / n).cast("long").alias("origin"), F.lit(p).alias("proportion")) for n, p in ((3, 0.75), (5, 0.125))))).alias("k")
+    return graph.shares(lines.select("sample", kinds).select("sample", "k.*").filter("origin > 0")).withColumn("share", F.round("share", 9))
+
+
 @query("SELECT DISTINCT r_name, n_name, c_custkey, o_orderkey FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE r_regionkey = 2 AND o_orderstatus = 'F'")
 def impact_set(spark, sf):
     places = t(spark, sf, "region").filter("r_regionkey = 2").join(t(spark, sf, "nation"), F.col("n_regionkey") == F.col("r_regionkey"))
