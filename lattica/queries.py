@@ -16,6 +16,7 @@ from .model.defs import Reference
 from .operators import boxes, graph, ranking, reconcile, referential, search, temporal, textindex, trees, versions
 from .plans.lineage import shared_folder
 from .rules import keys, runner, templates
+from .sources import stored
 from .sources.tables import captured, driver_table as t
 from .streaming import ledger
 
@@ -820,6 +821,45 @@ def first_last_seen(spark, sf):
     return reconcile.merged_sightings(rows, ["user_id", "event_type"], "first_seen_at", "last_seen_at")
 
 
+@query("SELECT user_id, event_type, min(ts) AS first_seen_at, max(ts) AS last_seen_at, arg_max(value, (ts, value)) AS value FROM events GROUP BY ALL")
+def external_records(spark, sf):
+    """Events in four batches that are not in the order of time, merged into a stored table; the last batch comes twice."""
+    folder = f"{shared_folder(spark.sparkContext)}/lattica-records-{uuid.uuid4().hex}"
+    rows = t(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").alias("first_seen_at"), F.col("ts").alias("last_seen_at"), "value")
+    how = {"first_seen_at": "min", "last_seen_at": "max", "value": "last"}
+    for k in (2, 0, 3, 1, 1):
+        batch = rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == k)
+        once = batch.groupBy("user_id", "event_type").agg(F.min("first_seen_at").alias("first_seen_at"), F.max(F.struct("last_seen_at", "value")).alias("l")).select("user_id", "event_type", "first_seen_at", "l.*")
+        stored.merge(once, folder, ["user_id", "event_type"], how, "last_seen_at", 8)
+    return stored.read(spark, folder, rows.drop("event_id").schema).drop("bucket")
+
+
+@query("""
+WITH n AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 97 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 101 <> 0 UNION ALL SELECT -1 - p_partkey, p_name, p_size FROM part WHERE p_partkey % 89 = 0)
+SELECT coalesce(n.p_partkey, o.p_partkey) AS p_partkey, CASE WHEN o.p_partkey IS NULL THEN 'added' WHEN n.p_partkey IS NULL THEN 'removed' ELSE 'changed' END AS change, o.p_size AS old_size, n.p_size AS new_size
+FROM part o FULL JOIN n ON o.p_partkey = n.p_partkey WHERE o.p_partkey IS NULL OR n.p_partkey IS NULL OR o.p_size IS DISTINCT FROM n.p_size""")
+def snapshot_difference(spark, sf):
+    """Two snapshots of the parts, some of them changed, gone or new in the second."""
+    folder = f"{shared_folder(spark.sparkContext)}/lattica-snapshots-{uuid.uuid4().hex}"
+    old = t(spark, sf, "part").select("p_partkey", "p_name", "p_size")
+    key = F.col("p_partkey")
+    new = old.filter(key % 101 != 0).withColumn("p_size", F.when(key % 97 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")))
+    new = new.unionByName(old.filter(key % 89 == 0).withColumn("p_partkey", -1 - key))
+    versions = [stored.write_version(d, folder, ["p_partkey"]) for d in (old, new)]
+    return stored.difference(spark, folder, old.schema, ["p_partkey"], *versions).select("p_partkey", "change", F.col("old.p_size").alias("old_size"), F.col("new.p_size").alias("new_size"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, count(*) AS n_lines, max(l_quantity) AS most FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
+def layout_join(spark, sf):
+    """Orders and their lines laid out by their key: the join and the groups need no exchange."""
+    name = f"lattica_{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark.sparkContext)}/{name}"
+    orders = stored.write_bucketed(t(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), f"{name}_orders", f"{folder}/orders", ["o_orderkey"], 8)
+    lines = stored.write_bucketed(t(spark, sf, "lineitem").select("l_orderkey", "l_quantity"), f"{name}_lines", f"{folder}/lines", ["l_orderkey"], 8)
+    both = orders.hint("merge").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return both.groupBy("o_orderkey", "o_orderstatus").agg(F.count("*").alias("n_lines"), F.max("l_quantity").alias("most"))
+
+
 # Questions that the model is shaped to answer.
 
 
@@ -865,3 +905,30 @@ def stream_ledger(spark, sf):
 
     ledger.ledger(counted, write, f"{folder}-checkpoint").awaitTermination()
     return spark.read.parquet(folder).groupBy("event_type", "day").agg(F.sum("n").alias("n"))
+
+
+def _in_files(spark, sf):
+    """The events in eight files that don't follow time, as a stream of one file a batch."""
+    source = t(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
+    folder = f"{shared_folder(spark.sparkContext)}/lattica-stream-{uuid.uuid4().hex}"
+    source.repartition(8, F.xxhash64("event_id")).write.parquet(f"{folder}/in")
+    return folder, ledger.records(spark, f"{folder}/in", source.schema, files=1)
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_once(spark, sf):
+    """Keys of events as a stream, each once whichever batch brings it first."""
+    folder, stream = _in_files(spark, sf)
+    keys = ledger.once(stream.withColumn("at", F.col("ts").cast("timestamp")), ["user_id", "event_type"], "at", "60 days").select("user_id", "event_type")
+    ledger.ledger(keys, ledger.updates(f"{folder}/out"), f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("user_id", "event_type")
+
+
+@query("SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, min(ts) AS first_seen_at, max(ts) AS last_seen_at, count(*) AS n FROM events GROUP BY ALL")
+def stream_sightings(spark, sf):
+    """First and last event of a user's days, kept as state over batches that are not in order."""
+    folder, stream = _in_files(spark, sf)
+    seen = ledger.sightings(stream.withColumn("at", F.col("ts").cast("timestamp")), ["user_id"], "at", "60 days", "1 day")
+    seen = seen.select("user_id", F.date_format("window.start", "yyyy-MM-dd").alias("day"), *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_seen_at", "last_seen_at")), "n")
+    ledger.ledger(seen, ledger.updates(f"{folder}/out"), f"{folder}/state", "update").awaitTermination()
+    return ledger.newest(spark, f"{folder}/out", seen.schema, ["user_id", "day"])

@@ -50,6 +50,13 @@ def open_sequences(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
     return versions.gaps(rows, keys, number)
 
 
+def changed_after_close(runs: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Closed runs that were revised later than they were closed, with the first such revision; what is closed should stay as it is."""
+    closed = runs.filter("run_status = 'closed'").select("resource_id", "closed_at")
+    later = revisions.select(F.col("target_resource_id").alias("resource_id"), "revision_no", "changed_at").join(closed, "resource_id").filter("changed_at > closed_at")
+    return later.groupBy("resource_id").agg(F.min("revision_no").alias("revision_no"), F.count("*").alias("n"))
+
+
 def other_type(subtype: DataFrame, resources: DataFrame, code: str) -> DataFrame:
     """Rows of a subtype's table whose resource is of another type than the subtype's, or of none."""
     both = subtype.select("resource_id").join(resources.select("resource_id", "resource_type_code"), "resource_id", "left")
