@@ -38,7 +38,7 @@ class Ranges:
         return np.concatenate([[0], getattr(self, what)]).astype(np.int64)
 
 
-def _below(rows: DataFrame, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def below(rows: DataFrame, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Exact weight and rows with keys below each probe (sorted)."""
     shared = rows.sparkSession.sparkContext.broadcast(probes)
     schema = pa.schema([("at", pa.int32()), ("weight", pa.int64()), ("n", pa.int64())])
@@ -97,8 +97,8 @@ def find(rows: DataFrame, targets: int, tolerance: np.ndarray | float, most_roun
             guess = [low + span * (g - int(w[a])) // max(int(w[b] - w[a]), 1) for g in inside]
             probes.update(p for p in [*even, *guess] if low < p < high)
         fresh = np.asarray(sorted(probes), dtype=np.int64)
-        below, rows_below = _below(rows, fresh)
-        merged = sorted({*zip(at, weight, count, strict=True), *zip(fresh.tolist(), below.tolist(), rows_below.tolist(), strict=True)})
+        weight_below, rows_below = below(rows, fresh)
+        merged = sorted({*zip(at, weight, count, strict=True), *zip(fresh.tolist(), weight_below.tolist(), rows_below.tolist(), strict=True)})
         at, weight, count = (list(x) for x in zip(*merged, strict=True))
         rounds += 1
     return Ranges(np.asarray([keys[i] for i in near], dtype=np.int64), w[near], c[near], total, n, rounds)

@@ -101,6 +101,22 @@ def test_shards_are_even_when_a_third_of_the_rows_is_one_row(spark):
     assert len(sizes) == 40 and max(sizes) - min(sizes) < 0.03 * sum(sizes) / 40
 
 
+def test_small_groups_of_equal_texts_stay_in_one_shard(spark):
+    """Six copies of each text: whole groups in one shard, sizes within the cost that is allowed, slots without gaps."""
+    rows = [(i * 6 + k, f"text {i} " * 3, "en", "s", 9) for i in range(9000) for k in range(6)]
+    for own in (rows, rows + [(10**6 + i, "hot text", "en", "s", 9) for i in range(30_000)]):
+        got = sharding.shard_documents(frame(spark, own).repartition(4)).collect()
+        where, sizes, slots = {}, Counter(), {}
+        for x in got:
+            where.setdefault(x["text_crc32"], set()).add(x["shard"])
+            sizes[x["shard"]] += x["size"]
+            slots.setdefault(x["shard"], []).append(x["slot"])
+        hot = zlib.crc32(b"hot text")
+        assert all(len(s) == 1 for crc, s in where.items() if crc != hot) and (hot not in where or len(where[hot]) > 5)
+        assert len(sizes) == 40 and max(sizes.values()) - min(sizes.values()) < 0.03 * sum(sizes.values()) / 40
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_bounds_split_exact_weights(spark):
     r = np.random.default_rng(3)
     key, weight = np.floor(2.0 ** r.uniform(0, 60, 5000)).astype(np.int64), r.integers(1, 100, 5000)
