@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from lattica.llm import bpe, gbt, media, ngrams, packing, quality, repeats, sharding, simhash, toxicity, urls
+from lattica.llm import audit, bpe, gbt, media, ngrams, packing, quality, repeats, sharding, simhash, spelling, toxicity, urls, warc
 
 from .helpers import frame
 
@@ -43,6 +43,15 @@ def test_documents(long, run):
     timed(run(long), 60 if run is bpe.round_trip else 20)
 
 
+def test_words_archives_and_filters(spark, long):
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    timed(spelling.variants(long))
+    assert timed(audit.interactions(long, labels)) == 600
+    pages = long.selectExpr("doc_id as page_id", "'u' as url", "text as html")
+    start = time.perf_counter()
+    assert timed(warc.archived(pages)) == len(TEXTS) and time.perf_counter() - start < 20
+
+
 def test_labelled_long_words(spark, long):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(len(TEXTS))], "doc_id long, quality int, toxic int")
     start = time.perf_counter()
