@@ -66,4 +66,6 @@ def geometries_meeting(left: DataFrame, right: DataFrame | None, key: str, shape
     one, *two = (cut(d.select(F.col(key).alias("key"), F.explode(f"{shape}.parts").alias("part")).select("key", "part", *(F.col(f"part.{s}").alias(s) for s in SIDES))) for d in (left, right) if d is not None)
     near = meeting(one, two[0] if two else one).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.col("a.part").alias("one"), F.col("b.part").alias("two"))
     near = near if two else near.filter("a < b")
+    # The exact test takes far longer than its bytes tell: a set number of tasks, so that few bytes aren't given to one.
+    near = near.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
     return near.filter(parts_meet(F.col("one"), F.col("two"))).select("a", "b").distinct()
