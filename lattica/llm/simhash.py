@@ -11,13 +11,20 @@ dealt out again by another covering family on top of its own key, until the part
 each level fixes half of the bits left, and few bits left hold few different fingerprints.
 
 near_duplicates() takes fingerprints within RADIUS for links and nothing else. keep_one(), the stage of a
-pipeline, links two texts if the sets of their five-word shingles are alike by LEAST (Jaccard) at least
-and their fingerprints, there of word pairs, which move less under an edit, differ in NEAR_BITS at most:
-fingerprints nominate, the sets decide. A wider radius takes more tables; the bits are dealt into two
-parts of half the radius each (of two near fingerprints one part differs in no more), which takes 30
-tables in place of 255. Groups of near fingerprints are found first, by stars. Only texts that are not
-alone in theirs give their sets; each group is compared whole in blocks of BLOCK texts, one of over
-MANY_BLOCKS blocks being dealt by covering tables before, so that no pair is lost and none is emitted.
+pipeline, links two texts if the sets of their five-word shingles are alike by LEAST (Jaccard) at least;
+fingerprints nominate, the sets decide. A text has FAMILY fingerprints there, of word pairs, which move
+less under an edit; those of one kind within NEAR_BITS nominate, and so does what links them. A wider
+radius takes more tables; the bits are dealt into two parts of half the radius each (of two near
+fingerprints one part differs in no more), which takes 30 tables in place of 255 for each kind.
+
+Groups of near fingerprints are found first, by stars; a group that lies within a small one of an earlier
+kind is not looked at again. Only texts that are not alone in theirs give their sets. A group of more
+than AROUND blocks is compared with one of its texts, its pivot: what is alike with it is linked to it,
+and stays to be compared only if it may be alike with a text that isn't (distances by Jaccard obey the
+triangle inequality), so a million copies of one text take one pass. What is left is compared whole in
+blocks of BLOCK texts, a group of over MANY_BLOCKS blocks being dealt by covering tables before, so that
+no pair of texts alike by LEAST whose fingerprints of some kind are within NEAR_BITS is lost and none is
+emitted. Texts are told apart by 128 bits.
 
 Defined results: a null, empty or blank text has fingerprint zero and is linked like any other; fewer
 than three words are one shingle; repeated rows are documents of one group; a null id belongs to its
@@ -28,24 +35,27 @@ of a group, one of rows equal in id and text, and all other columns; texts witho
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch_of, cut, table_in_shared_folder, text_bytes
+from .common import as_bytes, batch_of, cut, slices, table_in_shared_folder, text_bytes
 from .components import stars
 
 RADIUS, SHINGLE, SEED, BITS = 3, 3, 42, 64
 #: Different fingerprints of a bucket that one task compares.
 BUCKET = 1000
-#: Of keep_one: words of a fingerprint's shingles and of the sets', the radius, and the sets' likeness.
-NEAR_SHINGLE, NEAR_BITS, NEAR_PARTS, SET_SHINGLE, LEAST = 2, 7, 2, 5, 0.8
-#: Texts of a block of a group, blocks of a group that are compared with each other.
-BLOCK, MANY_BLOCKS = 200, 24
+#: Of keep_one: fingerprints of a text, words of their shingles and of the sets', the radius, and the sets' likeness.
+FAMILY, NEAR_SHINGLE, NEAR_BITS, NEAR_PARTS, SET_SHINGLE, LEAST = 3, 2, 7, 2, 5, 0.8
+#: Texts of a block of a group, blocks of a group that are compared with each other, those that it has at most without a pivot, and pivots in turn.
+BLOCK, MANY_BLOCKS, AROUND, PIVOTS = 200, 24, 2, 3
+#: Bytes of sets that are compared with a pivot at once.
+AT_ONCE = 16 << 20
+_FPS = [f"fp{k}" for k in range(FAMILY)]
 
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
@@ -60,7 +70,11 @@ def shingles(text: bytes, n: int) -> np.ndarray:
 
 
 def fingerprint(text: bytes, n: int = SHINGLE) -> int:
-    values = shingles(text, n)
+    return majority(shingles(text, n))
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits that over half of the values have."""
     votes = np.zeros(BITS, dtype=np.int64)
     for k in range(0, len(values), 1 << 16):
         part = values[k : k + (1 << 16)]
@@ -87,6 +101,30 @@ def texts_of(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).select("doc_id", F.xxhash64("text").alias("digest"), "text")
 
 
+def family(text: bytes) -> list[int]:
+    """FAMILY fingerprints of the text's word pairs: of their hashes, and of those mixed anew."""
+    values = shingles(text, NEAR_SHINGLE)
+    return [majority(mixed(values ^ np.uint64(k)) if k else values) for k in range(FAMILY)]
+
+
+def families(documents: DataFrame) -> DataFrame:
+    """doc_id, digest and other (128 bits of the text) and the fingerprints of its family."""
+    names = ["doc_id", "digest", "other", *_FPS]
+    schema = pa.schema([(c, pa.int64()) for c in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = zip(*map(family, as_bytes(batch, "text")), strict=True) if batch.num_rows else [[]] * FAMILY
+            yield batch_of(schema, [*(batch.column(c) for c in names[:3]), *(signed(list(x)) for x in fps)])
+
+    return told(texts_of(documents)).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def told(texts: DataFrame) -> DataFrame:
+    """With other: 64 more bits of the text than digest has."""
+    return texts.withColumn("other", F.xxhash64(F.lit(1), "text"))
+
+
 def masks(level: int, radius: int = RADIUS, parts: int = 1) -> np.ndarray:
     """The covering family of a level: for each part of the bits 2**(r + 1) - 1 masks of 64 bits, r being the radius over the parts."""
     size = 1 << (radius // parts + 1)
@@ -177,8 +215,9 @@ def compare(radius: int, most: int):
 
 
 def links(different: DataFrame, radius: int = RADIUS, most: int = BUCKET, parts: int = 1) -> DataFrame:
-    """a, b: links among different fingerprints (column fp) whose components are those of all pairs within the radius."""
-    rows, found, level = different.select(F.lit(0).cast("long").alias("bucket"), "fp"), None, 0
+    """a, b: links among different fingerprints (column fp; of one bucket, where they have one) whose components are those of all pairs within the radius."""
+    kind = F.col("bucket") if "bucket" in different.columns else F.lit(0)
+    rows, found, level = different.select(kind.cast("long").alias("bucket"), "fp"), None, 0
     while True:
         dealt = rows.mapInArrow(deal(level, radius, parts), "bucket long, fp long")
         if level:
@@ -210,27 +249,26 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def sets(documents: DataFrame, chosen: DataFrame) -> DataFrame:
-    """digest, fp and set (sorted hashes of shingles, as bytes) of the texts of chosen (digest, fp, doc_id of one document that has it)."""
-    schema = pa.schema([("digest", pa.int64()), ("fp", pa.int64()), ("set", pa.binary())])
+    """node and set (sorted hashes of shingles, as bytes) of the texts of chosen (node, digest, other, doc_id of one document that has it)."""
+    schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch_of(schema, [batch.column("digest"), batch.column("fp"), [np.unique(shingles(x, SET_SHINGLE)).tobytes() for x in as_bytes(batch, "text")]])
+            yield batch_of(schema, [batch.column("node"), [np.unique(shingles(x, SET_SHINGLE)).tobytes() for x in as_bytes(batch, "text")]])
 
-    texts = texts_of(documents)
-    same = texts["digest"].eqNullSafe(chosen["digest"]) & texts["doc_id"].eqNullSafe(chosen["doc_id"])
-    rows = texts.join(chosen, same).select(texts["digest"], "fp", "text")
-    return rows.mapInArrow(run, "digest long, fp long, set binary").dropDuplicates(["digest"])
+    texts = told(texts_of(documents))
+    same = (texts["digest"] == chosen["digest"]) & (texts["other"] == chosen["other"]) & texts["doc_id"].eqNullSafe(chosen["doc_id"])
+    return texts.join(chosen, same).select("node", "text").mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
 
 
 def in_blocks(grouped: DataFrame, radius: int, parts: int, block: int, many: int) -> DataFrame:
-    """digest, part, i, j, own: the blocks (of part: i and j) that a text takes part in, and which of the two it is of; from digest, fp and part."""
+    """node, part, i, j, own: the blocks (of part: i and j) that a text takes part in, and which of the two it is of; from node, fp and part."""
     done, level = None, 20
     while True:
         sized = grouped.join(grouped.groupBy("part").agg(F.ceil(F.count("*") / block).alias("n")), "part")
         small = sized.filter(F.col("n") <= many)
         done = small if done is None else done.unionByName(small)
-        large = cut(sized.filter(F.col("n") > many).select(F.col("part").alias("bucket"), "fp", "digest"))
+        large = cut(sized.filter(F.col("n") > many).select(F.col("part").alias("bucket"), "fp", "node"))
         if large.isEmpty():
             break
         # Equal fingerprints always fall together: past this level they are compared in as many blocks as there are.
@@ -238,11 +276,11 @@ def in_blocks(grouped: DataFrame, radius: int, parts: int, block: int, many: int
             many = 1 << 62
         dealt = large.select("bucket", "fp").distinct()
         tables = [F.xxhash64(F.lit(level), F.lit(t), "bucket", F.col("fp").bitwiseAND(F.lit(int(m)))) for t, m in enumerate(masks(level, radius, parts).view(np.int64).tolist())]
-        grouped = dealt.select("bucket", "fp", F.explode(F.array(*tables)).alias("part")).join(large, ["bucket", "fp"]).select("digest", "fp", "part")
+        grouped = dealt.select("bucket", "fp", F.explode(F.array(*tables)).alias("part")).join(large, ["bucket", "fp"]).select("node", "fp", "part")
         level += 1
-    own = F.pmod(F.xxhash64("part", "digest"), F.col("n"))
+    own = F.pmod(F.xxhash64("part", "node"), F.col("n"))
     dealt = done.filter("n > 0").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    return dealt.select("digest", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    return dealt.select("node", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
 
 
 def alike(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
@@ -267,7 +305,7 @@ def alike(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return np.where(union > 0, common / np.maximum(union, 1), 1.0)
 
 
-def compare_sets(radius: int, least: float):
+def compare_sets(least: float):
     """Rows sorted by part, i, j to the links that hold its texts together: each text with the least of its component there."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -276,10 +314,8 @@ def compare_sets(radius: int, least: float):
         right = [r for r in rows if r["own"] == r["j"]] if rows[0]["i"] != rows[0]["j"] else left
         if not left or not right or len(rows) < 2:
             return []
-        fps = [np.asarray([r["fp"] for r in y], dtype=np.int64).view(np.uint64) for y in (left, right)]
-        near = np.bitwise_count(fps[0][:, None] ^ fps[1][None, :]) <= radius
-        near &= alike(*([np.frombuffer(r["set"], dtype="<u8") for r in y] for y in (left, right))) >= least
-        ids = np.asarray([r["digest"] for r in [*left, *right]], dtype=np.int64)
+        near = alike(*([np.frombuffer(r["set"], dtype="<u8") for r in y] for y in (left, right))) >= least
+        ids = np.asarray([r["node"] for r in [*left, *right]], dtype=np.int64)
         a, b = np.nonzero(near)
         b = b + len(left)
         root = ids.copy()
@@ -307,27 +343,92 @@ def compare_sets(radius: int, least: float):
     return run
 
 
-def groups(documents: DataFrame, radius: int = NEAR_BITS, least: float = LEAST, block: int = BLOCK, many: int = MANY_BLOCKS) -> DataFrame:
-    """doc_id, digest and root (of the group of texts that are alike) of every document."""
-    rows = table_in_shared_folder(fingerprints(documents, NEAR_SHINGLE))
-    texts = cut(rows.groupBy("digest").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("doc_id")))
-    classes = texts.groupBy("fp").agg(F.count("*").alias("n"))
-    near = stars(links(classes.select("fp"), radius, BUCKET, NEAR_PARTS))
+def likeness():
+    """Rows sorted by part, salt, the pivot first, to part, node and like: how alike with the pivot each other text is."""
+    schema = pa.schema([("part", pa.int64()), ("node", pa.int64()), ("like", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pivot = None, np.zeros(0, dtype="<u8")
+        for whole in batches:
+            for batch in slices(whole, "set", AT_ONCE):
+                salted = np.stack([batch.column(c).to_numpy() for c in ("part", "salt")])
+                start = np.flatnonzero(np.concatenate([[True], (salted[:, 1:] != salted[:, :-1]).any(axis=0)]))
+                for s, e in zip(start, np.append(start[1:], batch.num_rows), strict=True):
+                    own = [np.frombuffer(x, dtype="<u8") for x in batch.column("set").slice(s, e - s).to_pylist()]
+                    if key != (key := tuple(salted[:, s].tolist())):
+                        pivot, own, s = own[0], own[1:], s + 1
+                    if own:
+                        yield batch_of(schema, [*(batch.column(c).slice(s, e - s) for c in ("part", "node")), alike([pivot], own)[0]])
+
+    return run
+
+
+def around_pivots(parts: DataFrame, known: DataFrame, least: float, block: int, most: int, rounds: int = PIVOTS) -> tuple[DataFrame, list[DataFrame]]:
+    """parts (node, fp, part) of which those over `most` texts keep only what links to their pivots leave open, and these links (a, b)."""
+    small, found = [], []
+    for turn in range(rounds):
+        sized = parts.groupBy("part").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node"))["node"].alias("pivot"))
+        marked = cut(parts.join(sized, "part"))
+        small.append(marked.filter(F.col("n") <= most).select("node", "fp", "part"))
+        large = marked.filter(F.col("n") > most)
+        if large.isEmpty():
+            parts = None
+            break
+        salts = F.ceil(F.col("n") / block)
+        pivots = large.filter("node = pivot").select("part", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "node", F.lit(0).alias("place"))
+        others = large.filter("node != pivot").select("part", F.pmod(F.xxhash64("node", "part"), salts).alias("salt"), "node", F.lit(1).alias("place"))
+        rows = pivots.unionByName(others).join(known, "node").select("part", "salt", "place", "node", "set")
+        like = rows.repartition("part", "salt").sortWithinPartitions("part", "salt", "place").mapInArrow(likeness(), "part long, node long, like double")
+        like = cut(large.filter("node != pivot").join(like, ["part", "node"]))
+        found.append(like.filter(F.col("like") >= least).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        # A text that is alike with the pivot can be alike with one that isn't only if the two are no further apart than 1 - least.
+        closest = like.filter(F.col("like") < least).groupBy("part").agg(F.max("like").alias("closest"))
+        parts = like.join(closest, "part").filter(F.col("like") <= F.col("closest") + (1 - least + 1e-9)).select("node", "fp", "part")
+    left = [*small, parts] if parts is not None else small
+    return reduce(DataFrame.unionByName, left), found
+
+
+def nominated(texts: DataFrame, radius: int, small: int) -> DataFrame:
+    """node, fp, part: the groups of near fingerprints of each kind, but for those that lie within one of an earlier kind of at most `small` texts."""
+    kinds = texts.select("node", F.posexplode(F.array(*_FPS)).alias("k", "fp"))
+    classes = cut(kinds.groupBy("k", "fp").agg(F.count("*").alias("n")))
+    near = stars(links(classes.select(F.col("k").alias("bucket"), "fp"), radius, BUCKET, NEAR_PARTS))
     members = near.select(F.col("node").alias("fp"), "root").unionByName(near.select(F.col("root").alias("fp"), "root")).unionByName(classes.filter("n > 1").select("fp", F.col("fp").alias("root")))
     # A fingerprint of several texts has its group's root here, or else itself.
-    members = members.groupBy("fp").agg(F.min(F.struct((F.col("root") == F.col("fp")).alias("own"), "root"))["root"].alias("part"))
-    touched = cut(texts.join(members, "fp"))
-    known = table_in_shared_folder(sets(documents, touched.select("digest", "fp", "doc_id")))
-    dealt = in_blocks(touched.select("digest", "fp", "part"), radius, NEAR_PARTS, block, many)
-    compared = dealt.join(known, "digest").repartition("part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(compare_sets(radius, least), "a long, b long")
-    return rows.join(stars(compared).withColumnRenamed("node", "digest"), "digest", "left").select("doc_id", "digest", F.coalesce("root", "digest").alias("root"))
+    members = members.groupBy("fp").agg(F.min(F.struct((F.col("root") == F.col("fp")).alias("own"), "root"))["root"].alias("root"))
+    parts = kinds.join(members, "fp").select("node", "k", "fp", F.xxhash64("k", "root").alias("part"))
+    parts = cut(parts.join(parts.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1"), "part"))
+    earlier = [F.max(F.when((F.col("k") == j) & (F.col("n") <= small), F.col("part"))).alias(f"p{j}") for j in range(FAMILY - 1)]
+    inside = F.lit(False)
+    for j in range(FAMILY - 1):
+        inside |= (F.max("k") > j) & (F.count(f"p{j}") == F.count("*")) & F.coalesce(F.min(f"p{j}") == F.max(f"p{j}"), F.lit(False))
+    again = parts.join(parts.groupBy("node").agg(*earlier), "node").groupBy("part").agg(inside.alias("inside")).filter("inside").select("part")
+    return parts.join(again, "part", "left_anti").select("node", "fp", "part")
+
+
+def groups(documents: DataFrame, radius: int = NEAR_BITS, least: float = LEAST, block: int = BLOCK, many: int = MANY_BLOCKS) -> DataFrame:
+    """doc_id, digest, other and root (of the group of texts that are alike) of every document."""
+    rows = table_in_shared_folder(families(documents))
+    texts = rows.groupBy("digest", "other").agg(*(F.min(c).alias(c) for c in (*_FPS, "doc_id")))
+    # A text's number is its digest, unless another text of the same digest has it.
+    first = F.col("other") == F.min("other").over(Window.partitionBy("digest"))
+    texts = cut(texts.withColumn("node", F.when(first, F.col("digest")).otherwise(F.xxhash64("digest", "other"))))
+    parts = cut(nominated(texts, radius, AROUND * block))
+    touched = texts.join(parts.select("node").distinct(), "node", "left_semi")
+    known = table_in_shared_folder(sets(documents, touched.select("node", "digest", "other", "doc_id")))
+    parts, found = around_pivots(parts, known, least, block, AROUND * block)
+    dealt = in_blocks(parts, radius, NEAR_PARTS, block, many)
+    compared = dealt.join(known, "node").repartition("part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(compare_sets(least), "a long, b long")
+    named = texts.join(stars(reduce(DataFrame.unionByName, found, compared)), "node", "left")
+    return rows.select("doc_id", "digest", "other").join(named.select("digest", "other", F.coalesce("root", "node").alias("root")), ["digest", "other"])
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """The document of the smallest id of each group of texts that are alike, with all its columns; of rows equal in id and text, one."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("keeper")
-    keepers = groups(documents).groupBy("root").agg(first).select("keeper.doc_id", "keeper.digest")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "other")).alias("keeper")
+    keepers = groups(documents).groupBy("root").agg(first).select("keeper.doc_id", "keeper.digest", "keeper.other")
     whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
-    rows = documents.select(whole.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_bytes()).alias("digest"))
-    same = rows["doc_id"].eqNullSafe(keepers["doc_id"]) & (rows["digest"] == keepers["digest"])
-    return rows.join(keepers, same, "left_semi").dropDuplicates(["doc_id", "digest"]).select("row.*")
+    rows = documents.select(whole.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    rows = told(rows.withColumn("digest", F.xxhash64("text"))).drop("text")
+    same = rows["doc_id"].eqNullSafe(keepers["doc_id"]) & (rows["digest"] == keepers["digest"]) & (rows["other"] == keepers["other"])
+    return rows.join(keepers, same, "left_semi").dropDuplicates(["doc_id", "digest", "other"]).select("row.*")

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lattica.llm import bpe, gbt, media, ngrams, packing, quality, repeats, sharding, simhash, splitters, toxicity, urls
 
@@ -171,14 +172,10 @@ def plain_hashes(text, n):
     return [xxhash.xxh64_intdigest(b" ".join(words[k : k + n]), seed=42) for k in range(max(len(words) - n + 1, 1))] if words else []
 
 
-def plain_groups(texts, radius=7, least=0.8):
-    """Root of each different text: five-word shingles alike by 0.8 and fingerprints of word pairs within the radius, every pair compared."""
+def plain_groups(texts, least=0.8):
+    """Root of each different text: five-word shingles alike by 0.8, every pair compared, whatever the fingerprints are."""
     texts = sorted({t or "" for t in texts})
-    fps, sets = [], []
-    for t in texts:
-        h = plain_hashes(t, 2)
-        fps.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
-        sets.append(set(plain_hashes(t, 5)))
+    sets = [set(plain_hashes(t, 5)) for t in texts]
     root = list(range(len(texts)))
 
     def find(x):
@@ -188,7 +185,7 @@ def plain_groups(texts, radius=7, least=0.8):
 
     for a in range(len(texts)):
         for b in range(a):
-            if bin(fps[a] ^ fps[b]).count("1") <= radius and (not sets[a] | sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least):
+            if not sets[a] | sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least:
                 root[find(a)] = find(b)
     return {t: find(i) for i, t in enumerate(texts)}
 
@@ -228,6 +225,63 @@ def test_large_groups_of_near_copies_lose_no_link(spark, block, many):
     assert len(same) == len({a for a, _ in same}) == len({b for _, b in same}) and 41 < len(same) < 150
 
 
+def partition_of(roots):
+    own = {}
+    for i, r in roots.items():
+        own.setdefault(r, set()).add(i)
+    return sorted(map(sorted, own.values()))
+
+
+def test_texts_of_one_fingerprint_take_one_pass(spark):
+    """5,000 copies of a template with a word changed: one group by pivots, and no block of them is compared with another."""
+    r = random.Random(3)
+    base = [f"w{r.randrange(400)}" for _ in range(300)]
+    rows = []
+    for i in range(5000):
+        own = list(base)
+        own[100] = f"id{i}"
+        rows.append((i, " ".join(own)))
+    rows += [(i, " ".join(f"v{r.randrange(400)}" for _ in range(60))) for i in range(5000, 5020)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = partition_of({x["doc_id"]: x["root"] for x in simhash.groups(docs).collect()})
+    assert got == [list(range(5000)), *([i] for i in range(5000, 5020))]
+
+    known = simhash.sets(docs, docs.select(F.col("doc_id").alias("node"), F.xxhash64(F.col("text").cast("binary")).alias("digest"), F.xxhash64(F.lit(1), F.col("text").cast("binary")).alias("other"), "doc_id")).cache()
+    parts = docs.filter("doc_id < 5000").select(F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("fp"), F.lit(1).cast("long").alias("part"))
+    left, found = simhash.around_pivots(parts, known, 0.8, 200, 400)
+    assert left.count() == 0 and [x.count() for x in found] == [4999]
+
+
+def test_pivots_leave_what_may_be_alike_with_others(spark):
+    """A chain of texts, each alike with the next and not with the one after some more: whatever the pivot is, no link is lost."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 100])) for i in range(70)]
+    want = partition_of({i: plain_groups([t for _, t in rows])[t] for i, t in rows})
+    assert want == [list(range(70))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = simhash.sets(docs, docs.select(F.col("doc_id").alias("node"), F.xxhash64(F.col("text").cast("binary")).alias("digest"), F.xxhash64(F.lit(1), F.col("text").cast("binary")).alias("other"), "doc_id")).cache()
+    parts = docs.select(F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("fp"), F.lit(1).cast("long").alias("part"))
+    left, found = simhash.around_pivots(parts, known, 0.8, 5, 10)
+    stays = {x["node"] for x in left.collect()}
+    links = [(x["a"], x["b"]) for f in found for x in f.collect()]
+    links += [(a, a + 1) for a in range(69) if {a, a + 1} <= stays]
+    root = list(range(70))
+    for _ in range(70):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert set(root) == {0} and links
+
+
+def test_texts_of_equal_digests_are_told_apart(spark, monkeypatch):
+    """Were all digests equal, the other 64 bits tell texts apart."""
+    monkeypatch.setattr(simhash, "texts_of", lambda d: d.select("doc_id", F.lit(5).cast("long").alias("digest"), F.col("text").cast("binary").alias("text")))
+    r = random.Random(9)
+    texts = [" ".join(f"w{r.randrange(300)}" for _ in range(60)) for _ in range(12)]
+    rows = list(enumerate([*texts, texts[0], texts[5] + " tail"]))
+    got = simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert partition_of({x["doc_id"]: x["root"] for x in got}) == sorted([[0, 12], [5, 13], *([i] for i in range(1, 12) if i != 5)])
+
+
 def test_covering_tables_in_two_parts_cover_the_wider_radius():
     r = np.random.default_rng(1)
     for level in (0, 1, 20):
