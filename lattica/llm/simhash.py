@@ -22,9 +22,10 @@ kind is not looked at again. Only texts that are not alone in theirs give their
 than AROUND blocks is compared with one of its texts, its pivot: what is alike with it is linked to it,
 and stays to be compared only if it may be alike with a text that isn't (distances by Jaccard obey the
 triangle inequality), so a million copies of one text take one pass. What is left is compared whole in
-blocks of BLOCK texts, a group of over MANY_BLOCKS blocks being dealt by covering tables before, so that
-no pair of texts alike by LEAST whose fingerprints of some kind are within NEAR_BITS is lost and none is
-emitted. Texts are told apart by 128 bits.
+blocks of BLOCK texts; a group of over MANY_BLOCKS blocks is dealt by covering tables before, if that at
+least halves what there is to compare. So no pair of texts alike by LEAST whose fingerprints of some kind
+are within NEAR_BITS is lost, none is emitted, and dealing never makes work grow. Texts are told apart by
+128 bits.
 
 Defined results: a null, empty or blank text has fingerprint zero and is linked like any other; fewer
 than three words are one shingle; repeated rows are documents of one group; a null id belongs to its
@@ -262,21 +263,26 @@ def sets(documents: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def in_blocks(grouped: DataFrame, radius: int, parts: int, block: int, many: int) -> DataFrame:
-    """node, part, i, j, own: the blocks (of part: i and j) that a text takes part in, and which of the two it is of; from node, fp and part."""
+    """node, part, i, j, own: the blocks (of part: i and j) that a text takes part in, and which of the two it is of; from node, fp and part.
+
+    A part of over `many` blocks is dealt by covering tables where that at least halves the rows that comparing takes, and is compared whole otherwise.
+    """
+    blocks = lambda n: F.ceil(n / block)
     done, level = None, 20
     while True:
-        sized = grouped.join(grouped.groupBy("part").agg(F.ceil(F.count("*") / block).alias("n")), "part")
-        small = sized.filter(F.col("n") <= many)
+        sized = grouped.join(grouped.groupBy("part").agg(blocks(F.count("*")).alias("n")), "part")
+        small = sized.filter(F.col("n") <= many).select("node", "part", "n")
         done = small if done is None else done.unionByName(small)
-        large = cut(sized.filter(F.col("n") > many).select(F.col("part").alias("bucket"), "fp", "node"))
+        large = cut(sized.filter(F.col("n") > many).select(F.col("part").alias("bucket"), "fp", "node", "n"))
         if large.isEmpty():
             break
-        # Equal fingerprints always fall together: past this level they are compared in as many blocks as there are.
-        if level > 26:
-            many = 1 << 62
-        dealt = large.select("bucket", "fp").distinct()
         tables = [F.xxhash64(F.lit(level), F.lit(t), "bucket", F.col("fp").bitwiseAND(F.lit(int(m)))) for t, m in enumerate(masks(level, radius, parts).view(np.int64).tolist())]
-        grouped = dealt.select("bucket", "fp", F.explode(F.array(*tables)).alias("part")).join(large, ["bucket", "fp"]).select("node", "fp", "part")
+        dealt = large.groupBy("bucket", "fp").agg(F.count("*").alias("m"), F.first("n").alias("n")).withColumn("part", F.explode(F.array(*tables)))
+        taken = dealt.groupBy("bucket", "n", "part").agg(F.sum("m").alias("m")).groupBy("bucket", "n").agg(F.sum("m").alias("m"), F.sum(F.col("m") * blocks(F.col("m"))).alias("rows"))
+        # m has each text once for each table.
+        worth = cut(taken.filter(2 * F.col("rows") <= F.col("m") / len(tables) * F.col("n")).select("bucket"))
+        done = done.unionByName(large.join(worth, "bucket", "left_anti").select("node", F.col("bucket").alias("part"), "n"))
+        grouped = dealt.join(worth, "bucket", "left_semi").select("bucket", "fp", "part").join(large, ["bucket", "fp"]).select("node", "fp", "part")
         level += 1
     own = F.pmod(F.xxhash64("part", "node"), F.col("n"))
     dealt = done.filter("n > 0").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))

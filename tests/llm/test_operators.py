@@ -225,6 +225,26 @@ def test_large_groups_of_near_copies_lose_no_link(spark, block, many):
     assert len(same) == len({a for a, _ in same}) == len({b for _, b in same}) and 41 < len(same) < 150
 
 
+def test_large_groups_are_dealt_only_where_that_leaves_less(spark):
+    """2,000 scattered fingerprints are dealt and lose no pair within 7 bits; 60 texts of one fingerprint are compared whole."""
+    r = random.Random(4)
+    fps = [r.getrandbits(64) for _ in range(1000)]
+    fps += [x ^ sum(1 << b for b in r.sample(range(64), 7)) for x in fps]
+    rows = [(i, int(x), 1) for i, x in enumerate(simhash.signed(fps).tolist())] + [(2000 + i, 5, 2) for i in range(60)]
+    dealt = simhash.in_blocks(spark.createDataFrame(rows, "node long, fp long, part long"), 7, 2, 4, 3).collect()
+    at = {}
+    for x in dealt:
+        at.setdefault(x["node"], {})[x["part"], x["i"], x["j"]] = x["own"]
+
+    def meet(a, b):
+        return any({at[a][k], at[b][k]} == set(k[1:]) for k in at[a].keys() & at[b].keys())
+
+    assert all(meet(i, i + 1000) for i in range(1000))
+    assert all(meet(a, b) for a in range(2000, 2060) for b in range(2000, a))
+    assert sum(x["node"] < 2000 for x in dealt) <= 2000 * 500 // 2
+    assert {(x["part"]) for x in dealt if x["node"] >= 2000} == {2} and sum(x["node"] >= 2000 for x in dealt) == 60 * 15
+
+
 def partition_of(roots):
     own = {}
     for i, r in roots.items():
