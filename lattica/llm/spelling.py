@@ -57,8 +57,11 @@ def words_of(doc_id: int | None, text: str) -> Counter:
     if doc_id is not None:
         start = crc32(b"%d:" % doc_id)
         sums = ((w, crc32(w if w.isascii() else w.decode("latin-1").encode(), start)) for w in own)
-        for word, h in [x for x in sums if not x[1] % CHANGED]:
-            at, n = h % len(word), own.pop(word)
+        hit = [(w, h % len(w), own[w]) for w, h in sums if not h % CHANGED]
+        # All leave before any comes back changed: what a run becomes may be another run, and is not changed again.
+        for word, _, _ in hit:
+            del own[word]
+        for word, at, n in hit:
             if len(word) > LONG:
                 own[word[:at] + word[at + 1 :]] += n
     return own

@@ -117,3 +117,13 @@ def test_very_long_words(spark):
     long = "".join(chr(97 + i * i % 23) for i in range(100_000))
     rows = [(i, " ".join([long] * 4 + [long[:500] + long[501:]] + ["z" * 60_000, "z" * 59_999 + "q"])) for i in range(100, 103)]
     assert found(spelling.variants(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
+
+
+def test_a_changed_run_that_becomes_another_changed_run(spark):
+    def hit(doc_id, run):
+        return zlib.crc32(f"{doc_id}:{run}".encode()) % 97 == 0
+
+    doc_id = next(i for i in range(1_000_000) if hit(i, "a" * 9) and hit(i, "a" * 8))
+    rows = [(doc_id, " ".join(["a" * 9] * 3 + ["a" * 8] * 4 + ["a" * 7] * 5))]
+    assert spelling.words_of(*rows[0]) == {b"a" * 8: 3, b"a" * 7: 9}
+    assert found(spelling.variants(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
