@@ -95,8 +95,11 @@ def closed_by_next(rows: DataFrame, entity: str, start: str, tie: str) -> DataFr
 
 
 def islands(rows: DataFrame, entity: str, start: str, end: str) -> DataFrame:
-    """entity, island_start, island_end, n_rows: intervals of an entity that overlap or touch, as one."""
-    w = Window.partitionBy(entity).orderBy(start, end)
+    """entity, island_start, island_end, n_rows: intervals of an entity that overlap or touch, as one.
+
+    Intervals without a start come last and belong to the entity's last island; where no end is known yet, an island of its own begins.
+    """
+    w = Window.partitionBy(entity).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0)
     marked = rows.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -62,6 +62,11 @@ def test_intervals_with_open_ends(spark):
     assert rows(temporal.islands(closed, "e", "f", "t"), "island_start", "island_end", "n_rows") == [(1, 10, 3), (12, 13, 1)]
 
 
+def test_islands_keep_intervals_without_a_start_for_last(spark):
+    some = spark.createDataFrame([(1, None, None), (1, 1, 3), (1, None, None), (1, 2, 9), (1, 12, 13), (2, None, None), (2, None, None)], "e int, f int, t int")
+    assert rows(temporal.islands(some, "e", "f", "t"), "e", "island_start", "island_end", "n_rows") == [(1, 1, 9, 2), (1, 12, 13, 3), (2, None, None, 1), (2, None, None, 1)]
+
+
 def test_as_of_takes_the_latest_at_or_before(spark):
     left = spark.createDataFrame([(1, 5), (1, 1), (2, 5)], "e int, at int")
     right = spark.createDataFrame([(1, 5, 0, "x"), (1, 5, 1, "y"), (1, 6, 2, "z")], "e int, r_at int, k int, v string")
