@@ -225,11 +225,17 @@ def strong_components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     none = own.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
     members = cut(reduce(DataFrame.unionByName, found, none))
-    alone = reduce(DataFrame.unionByName, loops).distinct().join(members.select("node"), "node", "left_anti")
-    members = cut(members.unionByName(alone.select("node", F.col("node").alias("component"))))
-    for chains in reversed(stack):  # a chain belongs to a component where both its ends do
+
+    def with_loops(members: DataFrame, own: DataFrame) -> DataFrame:
+        alone = own.distinct().join(members.select("node"), "node", "left_anti")
+        return cut(members.unionByName(alone.select("node", F.col("node").alias("component"))))
+
+    # A node that leads to itself is a component only if none holds it once later rounds' chains are back: it may lie on one.
+    for chains, own_loops in zip(reversed(stack), reversed(loops[1:]), strict=True):  # a chain belongs to a component where both its ends do
+        members = with_loops(members, own_loops)
         ends = chains.join(members.select(F.col("node").alias("head"), "component"), "head").join(members.select(F.col("node").alias("tail"), F.col("component").alias("_tail")), "tail").filter("component = _tail")
         members = cut(members.unionByName(ends.select("node", "component")))
+    members = with_loops(members, loops[0])
     least = members.groupBy("component").agg(F.min("node").alias("least"))
     return members.join(least, "component").select("node", F.col("least").alias("component"))
 

@@ -47,6 +47,14 @@ def test_components_by_colours(spark, monkeypatch, edges):
     assert found(spark, edges) == components(edges)
 
 
+@pytest.mark.parametrize("small", [0, 4])
+def test_loops_on_chains_of_larger_components(spark, monkeypatch, small):
+    """Nodes that lead to themselves, at once or over a chain, and lie on a ring too: one row each."""
+    monkeypatch.setattr(graph, "SMALL", small)
+    edges = [(1, 2), (2, 3), (3, 1), (1, 4), (4, 5), (5, 1), (2, 2), (4, 4), (5, 6), (6, 5), (7, 7), (3, 8), (8, 3), (8, 9), (9, 8)]
+    assert found(spark, edges) == components(edges)
+
+
 def test_a_long_ring_takes_log_rounds(spark, monkeypatch):
     monkeypatch.setattr(graph, "SMALL", 0)
     rounds, real = [], graph.cut
