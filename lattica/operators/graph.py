@@ -31,14 +31,30 @@ def closure(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"paths still grow after {most_rounds} rounds")
 
 
+#: Rounds of doubling after which paths are looked at for rings.
+DEEP = 10
+
+
 def ancestor_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, path (root first, the node last, joined by '/'), depth, for a forest."""
-    up = closure(edges).filter("child != ancestor")
-    steps = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor")))
-    paths = up.groupBy(F.col("child").alias("node")).agg(steps.alias("steps"))
-    found = nodes.join(paths, "node", "left")
-    above = F.transform(F.coalesce("steps", F.array()), lambda s: s["ancestor"].cast("string"))
-    return found.select("node", F.array_join(F.concat(above, F.array(F.col("node").cast("string"))), "/").alias("path"), F.size(above).alias("depth"))
+    """node, path (root first, the node last, joined by '/'), depth, for a forest.
+
+    A node has the way up to one above it, and takes on that one's way: each round doubles it, with one row for a node. Nodes that no root is above (of rings) get no row.
+    """
+    links = edges.select("child", "parent").dropna().filter("child != parent").distinct()
+    known = nodes.select("node").unionByName(links.select(F.col("child").alias("node"))).unionByName(links.select(F.col("parent").alias("node"))).dropna().distinct()
+    going = known.join(links.withColumnRenamed("child", "node").hint("merge"), "node", "left")
+    # The way starts below the node's own name: `way` has those above it from `above` on, which leads it.
+    up = cut(going.select("node", F.col("parent").alias("above"), F.when(F.col("parent").isNull(), F.array().cast(f"array<{going.schema['node'].dataType.simpleString()}>")).otherwise(F.array("parent")).alias("way")))
+    rounds = 0
+    while not (moving := up.filter("above is not null")).isEmpty():
+        if rounds == DEEP:  # ways along rings would double for ever
+            up = cut(up.join(below_roots(links, up.filter("above is null").select("node")), "node", "left_semi"))
+            moving = up.filter("above is not null")
+        ahead = up.select(F.col("node").alias("above"), F.col("above").alias("_above"), F.col("way").alias("_way"))
+        up = cut(up.filter("above is null").unionByName(moving.join(ahead.hint("merge"), "above").select("node", F.col("_above").alias("above"), F.concat("_way", "way").alias("way"))))
+        rounds += 1
+    own = F.array(F.col("node").cast("string"))
+    return nodes.join(up.hint("merge"), "node").select("node", F.array_join(F.concat(F.transform("way", lambda x: x.cast("string")), own), "/").alias("path"), F.size("way").alias("depth"))
 
 
 def descendants(edges: DataFrame, start: DataFrame, most_rounds: int = 10_000) -> DataFrame:

@@ -123,3 +123,9 @@ def test_whole_texts_meet_by_their_rarest_trigrams(spark):
     g = df.distinct().select("k", F.lit(0).alias("h"), trigrams(F.col("s")).alias("g"))
     counts = g.select(F.explode("g").alias("t")).groupBy("t").agg(F.count("*").alias("rows"))
     assert search.rarest(g, counts, 0.3).filter("t = 'omm'").isEmpty()
+
+
+def test_paths_of_trees_beside_a_ring(spark):
+    edges = spark.createDataFrame([(2, 1), (3, 1), (4, 2), (11, 12), (12, 11), (13, 11)], "child long, parent long")
+    paths = graph.ancestor_paths(edges, spark.createDataFrame([(n,) for n in (1, 2, 3, 4, 5, 13)], "node long"))
+    assert rows(paths, "node", "path", "depth") == [(1, "1", 0), (2, "1/2", 1), (3, "1/3", 1), (4, "1/2/4", 2), (5, "5", 0)]
