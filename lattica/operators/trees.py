@@ -4,6 +4,9 @@ A tour goes down and up every edge once. Each step knows the next one: down to a
 from there down to the next sibling, else up to the parent. The steps that are left from each one to the end are
 counted by doubling: after k rounds a step knows what lies 2**k further on, so a chain takes no more rounds than
 a bush of as many nodes. From these counts come the numbers of a node in pre- and post-order, and its depth.
+
+Joins are sorted: a side that passes for small as it is shuffled, compressed, can be too large for the driver
+once it is to be broadcast.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from .ranking import numbered
-from .temporal import covering
+from .temporal import spread
 
 
 def labelled(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -31,7 +34,7 @@ def labelled(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     sibling = placed.select(F.col("parent").alias("above"), (F.col("place") - 1).alias("before"), F.col("child").alias("next_child"))
     same = placed["parent"].eqNullSafe(sibling["above"]) & (placed["place"] == sibling["before"])
     first = placed.filter("place = 1 and parent is not null").select(F.col("parent").alias("owner"), F.col("child").alias("first_child"))
-    around = placed.join(sibling, same, "left").join(first, placed["child"] == first["owner"], "left").select("child", "parent", "next_child", "first_child")
+    around = placed.join(sibling.hint("merge"), same, "left").join(first.hint("merge"), placed["child"] == first["owner"], "left").select("child", "parent", "next_child", "first_child")
     # Steps are named by their node and a sign: 0 down to it, 1 up from it.
     step = lambda sign, c: F.when(c.isNotNull(), F.struct(F.lit(sign).alias("up"), c.alias("node")))
     down = around.select(step(0, F.col("child")).alias("step"), F.coalesce(step(0, F.col("first_child")), step(1, F.col("child"))).alias("next"))
@@ -42,7 +45,7 @@ def labelled(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     for _ in range(rounds):
         # What has reached the end is only looked up; the rest jumps.
         ahead = tour.select(F.col("step").alias("next"), F.col("next").alias("_next"), F.col("steps").alias("_steps"), F.col("downs").alias("_downs"))
-        jumped = tour.filter("next is not null").join(ahead, "next").select("step", F.col("_next").alias("next"), (F.col("steps") + F.col("_steps")).alias("steps"), (F.col("downs") + F.col("_downs")).alias("downs"))
+        jumped = tour.filter("next is not null").join(ahead.hint("merge"), "next").select("step", F.col("_next").alias("next"), (F.col("steps") + F.col("_steps")).alias("steps"), (F.col("downs") + F.col("_downs")).alias("downs"))
         tour = cut(tour.filter("next is null").unionByName(jumped))
         if tour.filter("next is not null").isEmpty():
             break
@@ -55,14 +58,14 @@ def labelled(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     # Before a step down, `pre - 1` steps went down; those that went up are what is left of all steps before it.
     depth = (pre - 1) - (2 * F.lit(total) - F.col("steps0") - (pre - 1))
     numbers = per.select("node", pre.cast("long").alias("pre"), post.cast("long").alias("post"), size.alias("size"), depth.cast("int").alias("depth"))
-    return numbers.join(up.select(F.col("child").alias("node"), "parent"), "node").select("node", "parent", "pre", "post", "size", "depth")
+    return numbers.join(up.select(F.col("child").alias("node"), "parent").hint("merge"), "node").select("node", "parent", "pre", "post", "size", "depth")
 
 
 def below(labels: DataFrame, start: DataFrame) -> DataFrame:
-    """start, node, distance: what lies below each node of start (column node), by comparing numbers."""
-    tops = start.select("node").distinct().join(labels, "node").filter("size > 1").select(F.lit(0).alias("one"), F.col("node").alias("start"), "depth", (F.col("pre") + 1).alias("low"), (F.col("pre") + F.col("size") - 1).alias("high"))
-    points = labels.select(F.lit(0).alias("one"), "node", "depth", "pre")
-    return covering(tops, "one", "low", "high", points, "one", "pre").select("span.start", "point.node", (F.col("point.depth") - F.col("span.depth")).alias("distance"))
+    """start, node, distance: what lies below each node of start (column node): the numbers after its own, which have no gaps."""
+    tops = start.select("node").distinct().join(labels, "node").filter("size > 1").select(F.col("node").alias("start"), F.col("depth").alias("_depth"), F.col("pre").alias("_pre"), "size")
+    runs = spread(tops, F.col("_pre") + 1, F.col("_pre") + F.col("size") - 1, "pre").select("start", "_depth", "pre")
+    return runs.join(labels.select("node", "depth", "pre").hint("merge"), "pre").select("start", "node", (F.col("depth") - F.col("_depth")).alias("distance"))
 
 
 def is_above(a_pre, a_size, b_pre):
