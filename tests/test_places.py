@@ -159,3 +159,17 @@ def test_a_long_chain_takes_log_rounds(spark, monkeypatch):
     labels = trees.labelled(spark.range(1, n).select(F.col("id").alias("child"), (F.col("id") - 1).alias("parent")), spark.range(n).withColumnRenamed("id", "node"))
     assert labels.filter("pre != node + 1 or depth != node or size != 3000 - node or post != 3000 - node").isEmpty() and labels.count() == n
     assert len(rounds) <= 18
+
+
+def test_labels_send_no_table_to_all(spark, monkeypatch):
+    plans, real = [], trees.cut
+
+    def cut(x):  # a join is changed while it runs, so its plan is looked at afterwards
+        out = real(x)
+        plans.append(x._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(trees, "cut", cut)
+    labels = trees.labelled(spark.createDataFrame([(2, 1), (3, 1), (4, 2)], "child long, parent long"), spark.createDataFrame([(n,) for n in (1, 2, 3, 4)], "node long"))
+    assert labels.count() == 4 and len(plans) > 3
+    assert not any("BroadcastHashJoin" in p for p in plans[3:])
