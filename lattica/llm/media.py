@@ -19,13 +19,9 @@ Two descriptors that differ in d bits share a key with probability 1 - (1 - (1 -
 corners is enough: four pairs at 10 bits bring two copies together with 0.91. Beyond it two are needed:
 twenty pairs at 15 bits bring them together with 0.90, twenty at 20 bits with 0.41.
 
-No key is cut. A descriptor that more than FEW images have is a part of its own, and stands for them in
-the tables by its smallest and largest image. A key of more than ROWS descriptors is dealt again by
-FURTHER_BITS more of their bits, in several tables. Where that leaves more candidates than FEW for each
-descriptor, or too many descriptors, they are a part too. In a part every image is matched with the smallest and the largest image of the part; if that does not hold all
-of it together, its images are dealt again by two such parts that they share, then three, up to LEAST,
-where all that are not yet in one component are compared. What shares one such part and no other key
-at all is not compared beyond the two.
+No key is cut. All descriptors of a key are compared with each other, those of several tables in the first
+that they meet in; a key of more than ROWS descriptors is dealt into blocks, and each two blocks are a key of
+their own. So what a key costs grows with the square of its descriptors, in many tasks, each of bounded memory.
 
 Images with equal bytes are one class from the start; the number of links counts the links found.
 
@@ -54,9 +50,9 @@ TESTS, REACH, TURNS = 128, 8, 36
 #: Area of the image for each corner kept on a scale.
 AREA = 750
 TABLES, KEY_BITS, NEAR, CLOSE, LEAST, CHANCE = 4, 24, 20, 10, 4, 40
-#: Descriptors of a key that one task compares whole, and candidates for each of them; bits and levels that larger keys are dealt again by.
-ROWS, FEW, FURTHER_BITS, LEVELS = 2000, 32, 12, 3
-#: Kinds of parts: those of each first table, and those of one descriptor.
+#: Descriptors of a key that one task compares whole; comparisons held at once, and pairs given out at once.
+ROWS, COMPARED, GIVEN = 2000, 1 << 20, 1 << 18
+#: Numbers that the lowest bits of a key tell its table by.
 KINDS = 8
 #: Corners of an image at most.
 MOST = 1 << 12
@@ -213,21 +209,32 @@ def features(images: DataFrame) -> DataFrame:
 
 
 def masks(level: int) -> list[list[int]]:
-    """The bits of each table of a level, as two numbers of 64 bits."""
+    """The bits of each table, as two numbers of 64 bits."""
     draw = np.random.default_rng(24 + level)
-    chosen = [draw.choice(TESTS, FURTHER_BITS if level else KEY_BITS, replace=False).tolist() for _ in range(TABLES)]
+    chosen = [draw.choice(TESTS, KEY_BITS, replace=False).tolist() for _ in range(TABLES)]
     return [[sum(1 << (b % 64) for b in c if b // 64 == w) for w in range(2)] for c in chosen]
 
 
-def deal(rows: DataFrame, level: int) -> DataFrame:
-    """key, class_id, d0, d1, at to one row for each table; the lowest bits of a key are its first table."""
+def deal(rows: DataFrame) -> DataFrame:
+    """class_id, d0, d1, at to one row for each table, with its key."""
     keys = []
-    for t, table in enumerate(masks(level)):
+    for t, table in enumerate(masks(0)):
         kept = [F.col(d).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for d, m in zip(("d0", "d1"), table, strict=True)]
-        first = F.col("key").bitwiseAND(F.lit(KINDS - 1)) if level else F.lit(t)
-        keys.append(F.xxhash64(F.lit(level), F.lit(t), "key", *kept).bitwiseAND(F.lit(-KINDS)).bitwiseOR(first))
-    dealt = rows.select(F.explode(F.array(*keys)).alias("key"), "class_id", "d0", "d1", "at")
-    return dealt.distinct() if level else dealt
+        keys.append(F.xxhash64(F.lit(t), *kept).bitwiseAND(F.lit(-KINDS)).bitwiseOR(F.lit(t)))
+    return rows.select(F.explode(F.array(*keys)).alias("key"), F.lit(0).alias("side"), "class_id", "d0", "d1", "at")
+
+
+def in_blocks(rows: DataFrame, most: int) -> DataFrame:
+    """Rows of large keys (key, class_id, d0, d1, at) as rows of each two blocks of their key: any two meet in one cell.
+
+    side: 0 where a block is compared with itself, else 1 and 2, and rows of one side are not compared.
+    """
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") * 2 / most).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("class_id", "d0", "d1", "at"), F.col("blocks")).cast("int")
+    cells = rows.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).bitwiseAND(F.lit(-KINDS)).bitwiseOR(F.col("key").bitwiseAND(F.lit(KINDS - 1)))
+    side = F.when(F.col("own") < F.col("other"), 1).when(F.col("own") > F.col("other"), 2).otherwise(0)
+    return cells.select(cell.alias("key"), side.alias("side"), "class_id", "d0", "d1", "at")
 
 
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -259,49 +266,62 @@ def found_batch(**columns: np.ndarray) -> pa.RecordBatch:
     return batch_of(_FOUND, [columns.get(c, pa.nulls(n, pa.int64())) for c in _FOUND.names])
 
 
-def compare(most: int, few: int):
-    """Sorted rows (key, class_id, d0, d1, at) to candidates (a < b), votes of distant pairs (a < b, key: the cell, d0 and d1: the places), the classes of crowded parts (a, key) and the rows of keys over `most` (a, key, d0, d1, at)."""
+def compare(most: int | None):
+    """Sorted rows (key, side, class_id, d0, d1, at) to candidates (a < b), votes of distant pairs (a < b, key: the cell, d0 and d1: the places) and the rows of keys over `most` (a, key, d0, d1, at)."""
+    tables = np.asarray(masks(0), dtype=np.uint64).view(np.int64)
 
     def rest(rows: np.ndarray) -> pa.RecordBatch:
-        return found_batch(a=rows[1], key=rows[0], d0=rows[2], d1=rows[3], at=rows[4])
+        return found_batch(a=rows[2], key=rows[0], d0=rows[3], d1=rows[4], at=rows[5])
+
+    def near(rows: np.ndarray) -> Iterator[np.ndarray]:
+        """Pairs of a key's rows within NEAR."""
+        n, side = rows.shape[1], rows[1]
+        step = max(1, COMPARED // n)
+        for at in range(0, n, step):
+            some = rows[:, at : at + step]
+            close = sum(differing(some[d][:, None], rows[d][None, :]) for d in (3, 4)) <= NEAR
+            close &= np.arange(at, at + some.shape[1])[:, None] < np.arange(n)
+            close &= (some[1][:, None] != side) | (side == 0)
+            yield np.stack(np.nonzero(close)) + [[at], [0]]
+
+    def given(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        i, j = np.where(rows[2, i] < rows[2, j], i, j), np.where(rows[2, i] < rows[2, j], j, i)
+        fresh, table = rows[2, i] != rows[2, j], rows[0, i] & (KINDS - 1)
+        for t, m in enumerate(tables):  # what met in an earlier table was compared there
+            fresh &= (t >= table) | (((rows[3, i] ^ rows[3, j]) & m[0] | (rows[4, i] ^ rows[4, j]) & m[1]) != 0)
+        i, j = i[fresh], j[fresh]
+        close = differing(rows[3, i], rows[3, j]) + differing(rows[4, i], rows[4, j]) <= CLOSE
+        a, b = np.unique(rows[2][np.stack([i, j])[:, close]], axis=1)
+        yield found_batch(a=a, b=b)
+        i, j = i[~close], j[~close]
+        for g, (times, turn, dx, dy) in enumerate(votes(rows[5, i], rows[5, j])):
+            cell = (dy & ((1 << 24) - 1)) << 36 | (dx & ((1 << 24) - 1)) << 12 | turn << 6 | (times + 8) << 1 | g
+            yield found_batch(a=rows[2, i], b=rows[2, j], key=cell, d0=rows[5, i], d1=rows[5, j])
 
     def whole(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
         size = np.diff(np.append(start, rows.shape[1]))
-        found, crowd = [], []
         two = start[size == 2]
-        near = differing(rows[2, two], rows[2, two + 1]) + differing(rows[3, two], rows[3, two + 1]) <= NEAR
-        found.append(np.stack([two, two + 1])[:, near])
+        two = two[(rows[1, two] != rows[1, two + 1]) | (rows[1, two] == 0)]
+        two = two[differing(rows[3, two], rows[3, two + 1]) + differing(rows[4, two], rows[4, two + 1]) <= NEAR]
+        found, held = [np.stack([two, two + 1])], len(two)
         for s, n in zip(start[size > 2], size[size > 2], strict=True):
-            if n > most:
+            if most is not None and n > most:
                 yield rest(rows[:, s : s + n])
                 continue
-            d = rows[2:4, s : s + n]
-            near = sum(differing(x[:, None], x[None, :]) for x in d) <= NEAR
-            pairs = np.stack(np.nonzero(np.triu(near, 1)))
-            if pairs.shape[1] <= few * n:
+            for pairs in near(rows[:, s : s + n]):
                 found.append(pairs + s)
-            else:
-                own = np.unique(rows[1, s : s + n])
-                crowd.append(np.stack([own, np.full(len(own), rows[0, s])]))
-        i, j = np.concatenate(found, axis=1)
-        i, j = np.where(rows[1, i] < rows[1, j], i, j), np.where(rows[1, i] < rows[1, j], j, i)
-        i, j = (x[rows[1, i] != rows[1, j]] for x in (i, j))
-        close = differing(rows[2, i], rows[2, j]) + differing(rows[3, i], rows[3, j]) <= CLOSE
-        a, b = np.unique(rows[1][np.stack([i, j])[:, close]], axis=1)
-        yield found_batch(a=a, b=b)
-        i, j = i[~close], j[~close]
-        for g, (times, turn, dx, dy) in enumerate(votes(rows[4, i], rows[4, j])):
-            cell = (dy & ((1 << 24) - 1)) << 36 | (dx & ((1 << 24) - 1)) << 12 | turn << 6 | (times + 8) << 1 | g
-            yield found_batch(a=rows[1, i], b=rows[1, j], key=cell, d0=rows[4, i], d1=rows[4, j])
-        if crowd:
-            a, key = np.concatenate(crowd, axis=1)
-            yield found_batch(a=a, key=key)
+                held += pairs.shape[1]
+                if held > GIVEN:
+                    yield from given(rows, *np.concatenate(found, axis=1))
+                    found, held = [], 0
+        if held:
+            yield from given(rows, *np.concatenate(found, axis=1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, large = np.zeros((5, 0), dtype=np.int64), None
+        held, large = np.zeros((6, 0), dtype=np.int64), None
         for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy() for c in ("key", "class_id", "d0", "d1", "at")])
+            rows = np.stack([batch.column(c).to_numpy() for c in ("key", "side", "class_id", "d0", "d1", "at")])
             if large is not None:  # the rest of a key that is known to be too large
                 n = int(np.searchsorted(rows[0], large, side="right"))
                 if n:
@@ -314,7 +334,7 @@ def compare(most: int, few: int):
             if tail:
                 yield from whole(held[:, :tail])
             held = held[:, tail:]
-            if held.shape[1] > most:
+            if most is not None and held.shape[1] > most:
                 yield rest(held)
                 large, held = held[0, 0], held[:, :0]
         if held.shape[1]:
@@ -323,33 +343,19 @@ def compare(most: int, few: int):
     return run
 
 
-def candidates(classes: DataFrame, most: int, few: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a < b) of classes, and the crowded parts (part, class_id)."""
+def candidates(classes: DataFrame, most: int) -> DataFrame:
+    """Pairs (a < b) of classes."""
     i = F.explode(F.when(F.size("corners") > 0, F.sequence(F.lit(0), F.floor(F.size("corners") / EACH).cast("int") - 1)).otherwise(F.array().cast("array<int>")))
     rows = classes.select("class_id", "corners", i.alias("i"))
-    rows = rows.select(F.lit(0).cast("long").alias("key"), "class_id", F.element_at("corners", F.col("i") * EACH + 1).alias("d0"), F.element_at("corners", F.col("i") * EACH + 2).alias("d1"), F.element_at("corners", F.col("i") * EACH + 3).alias("at"))
-    same = rows.groupBy("d0", "d1").agg(F.count_distinct("class_id").alias("n"), F.min("class_id").alias("low"), F.max("class_id").alias("high"))
-    common = cut(same.filter(F.col("n") > few))
-    part = F.xxhash64("d0", "d1").bitwiseAND(F.lit(-KINDS)).bitwiseOR(F.lit(TABLES))
-    crowded = rows.join(common, ["d0", "d1"]).select(part.alias("part"), "class_id")
-    stand = rows.join(common, ["d0", "d1"]).filter(F.col("class_id").isin(F.col("low"), F.col("high"))).select("key", "class_id", "d0", "d1", "at")
-    rows = rows.join(common, ["d0", "d1"], "left_anti").select("key", "class_id", "d0", "d1", "at").unionByName(stand)
-    meetings, level = None, 0
-    while True:
-        sorted_rows = deal(rows, level).repartition("key").sortWithinPartitions("key")
-        out = cut(sorted_rows.mapInArrow(compare(most, few), _FOUND_DDL))
-        new, crowd = out.filter("b is not null").select("a", "b", "key", "d0", "d1"), out.filter("b is null and d0 is null").select(F.col("key").alias("part"), F.col("a").alias("class_id"))
-        rows = out.filter("b is null and d0 is not null").select("key", F.col("a").alias("class_id"), "d0", "d1", "at")
-        level += 1
-        last = level == LEVELS
-        if last:
-            crowd = crowd.unionByName(rows.select(F.col("key").alias("part"), "class_id"))
-        meetings, crowded = new if meetings is None else meetings.unionByName(new), crowded.unionByName(crowd)
-        if last or rows.isEmpty():
-            # A candidate's key is null; a cell counts where two corners of each image vote for it.
-            agree = meetings.groupBy("a", "b", "key").agg(*[f(d).alias(f.__name__ + d) for d in ("d0", "d1") for f in (F.min, F.max)])
-            pairs = agree.filter("key is null or (mind0 < maxd0 and mind1 < maxd1)").select("a", "b").distinct()
-            return pairs, cut(crowded.distinct())
+    rows = rows.select("class_id", F.element_at("corners", F.col("i") * EACH + 1).alias("d0"), F.element_at("corners", F.col("i") * EACH + 2).alias("d1"), F.element_at("corners", F.col("i") * EACH + 3).alias("at"))
+    compared = lambda dealt, size: cut(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(compare(size), _FOUND_DDL))
+    out = compared(deal(rows), most)
+    meetings, large = out.filter("b is not null").select("a", "b", "key", "d0", "d1"), out.filter("b is null").select("key", F.col("a").alias("class_id"), "d0", "d1", "at")
+    if not large.isEmpty():
+        meetings = meetings.unionByName(compared(in_blocks(large, most), None).select("a", "b", "key", "d0", "d1"))
+    # A candidate's key is null; a cell counts where two corners of each image vote for it.
+    agree = meetings.groupBy("a", "b", "key").agg(*[f(d).alias(f.__name__ + d) for d in ("d0", "d1") for f in (F.min, F.max)])
+    return agree.filter("key is null or (mind0 < maxd0 and mind1 < maxd1)").select("a", "b").distinct()
 
 
 def agreed(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
@@ -395,46 +401,12 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "turned", "p", "q").mapInArrow(run, "a long, b long, matches long")
 
 
-def every_pair(rows: DataFrame) -> DataFrame:
-    other = rows.select("part", F.col("class_id").alias("b"))
-    return rows.select("part", F.col("class_id").alias("a")).join(other, "part").filter("a < b").select("a", "b").distinct()
-
-
-def crowded_links(found: DataFrame, items: DataFrame, classes: DataFrame, few: int) -> DataFrame:
-    """found, and the links that hold crowded parts (part, class_id) together."""
-    rows = items.withColumn("last", F.col("part"))
-    for level in range(1, LEAST + 1):
-        ends = rows.groupBy("part").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"))
-        star = rows.join(ends, "part").select(F.explode(F.array("low", "high")).alias("other"), "class_id").filter("other != class_id")
-        star = star.select(F.least("other", "class_id").alias("a"), F.greatest("other", "class_id").alias("b")).distinct()
-        found = cut(found.unionByName(verified(star.join(found, ["a", "b"], "left_anti"), classes)))
-        roots = stars(found.select("a", "b")).withColumnRenamed("node", "class_id")
-        rows = rows.join(roots, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
-        apart = rows.groupBy("part").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("part")
-        rows = cut(rows.join(apart, "part", "left_semi"))
-        if rows.isEmpty():
-            return found
-        if level == 1:
-            items = rows.select("part", "class_id")
-        if level < LEAST:  # by one more part of the same table
-            more = items.select("class_id", F.col("part").alias("next"))
-            same = F.col("last").bitwiseAND(F.lit(KINDS - 1)) == F.col("next").bitwiseAND(F.lit(KINDS - 1))
-            rows = rows.join(more, "class_id").filter(same & (F.col("next") > F.col("last")))
-            rows = cut(rows.select(F.xxhash64("part", "next").alias("part"), "class_id", F.col("next").alias("last")))
-            size = rows.groupBy("part").agg(F.count("*").alias("n"))
-            small = every_pair(rows.join(size.filter(F.col("n") <= few), "part", "left_semi"))
-            rows = rows.join(size.filter(F.col("n") > few), "part", "left_semi")
-        else:
-            small = every_pair(rows)
-        found = cut(found.unionByName(verified(small.join(found, ["a", "b"], "left_anti"), classes)))
-    return found
-
-
-def links(classes: DataFrame, most: int = ROWS, few: int = FEW) -> DataFrame:
-    """a, b (classes, a < b), matches: the most matches of the two that agree on turn, scale and shift."""
-    pairs, crowded = candidates(classes, most, few)
-    found = cut(verified(pairs, classes))
-    return found if crowded.isEmpty() else crowded_links(found, crowded, classes, few)
+def links(classes: DataFrame, most: int = ROWS, few: int | None = None) -> DataFrame:
+    """a, b (classes, a < b), matches: the most matches of the two that agree on turn, scale and shift.
+
+    most: descriptors of a key that one task compares whole; larger keys are compared in blocks. few: of no use any more, nothing is left out however many meet.
+    """
+    return cut(verified(candidates(classes, most), classes))
 
 
 def copies(images: DataFrame) -> DataFrame:

@@ -379,6 +379,21 @@ def test_copies_under_crowded_keys_are_linked(spark, few):
     assert [(x["a"], x["b"], x["matches"]) for x in media.links(classes, few=few).collect()] == [(5, 6, 6)]
 
 
+@pytest.mark.parametrize("most", [2000, 20])
+def test_every_link_of_a_crowded_key_is_given(spark, most):
+    """Forty copies under the same keys: all their links are given, once, not only those that hold them together."""
+    r = np.random.default_rng(21)
+    bits, same = [r.bytes(16) for _ in range(6)], r.integers(20, 900, (6, 2))
+    rows = [(k, [n for (x, y), d in zip((same + k % 3).tolist(), bits) for n in media.packed((x, y, 1.0, 0.0, d))]) for k in range(40)]
+    corners = {k: np.asarray(c).reshape(-1, media.EACH) for k, c in rows}
+    pairs = [(a, b) for a in corners for b in corners if a < b]
+    most_of = media.agreed([corners[a] for a, _ in pairs], [corners[b] for _, b in pairs])
+    want = [(*p, int(n)) for p, n in zip(pairs, most_of) if n >= media.LEAST]
+    assert len(want) == 780
+    got = media.links(spark.createDataFrame(rows, "class_id long, corners array<long>"), most=most).collect()
+    assert sorted((x["a"], x["b"], x["matches"]) for x in got) == want
+
+
 def test_distant_matches_count_once_one_is_found(spark):
     """One equal corner brings two images together; the other matches differ in NEAR bits and share no key."""
     r = np.random.default_rng(6)
