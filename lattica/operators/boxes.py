@@ -3,7 +3,7 @@
 A box belongs to the level whose cells are just larger than it, and lies in four of them at most, whatever its
 size. Two boxes that meet share a cell of the coarser one's level; so a box is also looked for on the coarser
 levels that the other side has boxes on: four rows for each at most. A pair is given by one cell only, that of the
-corner where both begin.
+corner where both begin. A cell of very many pairs is dealt into parts.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from ..plans.lineage import cut
 SIDES = ("west", "south", "east", "north")
 #: Levels of halving from the whole extent down.
 LEVELS = 24
+#: Pairs of a cell that one part is to test.
+PAIRS = 5_000_000
 
 
 def _cells(level: Column, extent: tuple[float, float, float], box: str) -> Column:
@@ -45,20 +47,39 @@ def meeting(left: DataFrame, right: DataFrame) -> DataFrame:
     own = F.when(wide > 0, F.least(F.floor(F.log2(F.lit(extent[2]) / wide)), F.lit(LEVELS))).otherwise(LEVELS).cast("int")
     a, b = (d.withColumn("own", F.greatest(own, F.lit(0))) for d in (a, b))
     levels = [sorted(r["own"] for r in d.select("own").distinct().collect()) for d in (a, b)]  # LEVELS + 1 numbers at most
-    some = sorted({*levels[0], *levels[1]})
-
-    def dealt(d: DataFrame, others: list[int], name: str) -> DataFrame:
-        asked = F.lit(others) if others else F.array().cast("array<int>")
-        at = F.explode(F.array_distinct(F.concat(F.array("own"), F.filter(asked, lambda x: x < F.col("own")))))
-        cells = d.select("row", "own", at.alias("level")).withColumn("cell", F.explode(_cells(F.col("level"), extent, "row")))
-        return cells.select("level", "cell", F.col("own").alias(f"own_{name}"), F.col("row").alias(name))
-
-    pairs = dealt(a, [x for x in some if x in levels[1]], "a").join(dealt(b, [x for x in some if x in levels[0]], "b"), ["level", "cell"])
     step = F.lit(extent[2]) / F.pow(F.lit(2.0), F.col("level"))
     corner = [F.floor((F.greatest(F.col(f"a.{s}"), F.col(f"b.{s}")) - F.lit(at)) / step) for s, at in (("west", extent[0]), ("south", extent[1]))]
-    coarse = F.col("level") == F.least("own_a", "own_b")
     meet = boxes_meet(tuple(F.col(f"a.{s}") for s in SIDES), tuple(F.col(f"b.{s}") for s in SIDES))
-    return pairs.filter(coarse & meet & (F.col("cell.x") == corner[0]) & (F.col("cell.y") == corner[1])).select("a", "b")
+
+    def at_levels(d: DataFrame, level: Column) -> DataFrame:
+        cells = d.select("row", level.alias("level")).withColumn("cell", F.explode(_cells(F.col("level"), extent, "row")))
+        return cells.select("level", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "row")
+
+    # Only the coarser box's own cells are looked in, so finer ones that are looked for there don't meet each other.
+    coarse = ((a, "a", b, "b", levels[0], F.col("level") <= F.col("own")), (b, "b", a, "a", levels[1], F.col("level") < F.col("own")))
+    pairs = []
+    for one, first, two, second, asked, finer in coarse:
+        own = at_levels(one, F.col("own"))
+        sought = F.explode(F.filter(F.lit(asked) if asked else F.array().cast("array<int>"), lambda x, y=finer: x <= F.col("own")))
+        others = at_levels(two.select("row", "own", sought.alias("level")).filter(finer), F.col("level"))
+        pairs.append(_in_parts(own, others, first, second).filter(meet & (F.col("x") == corner[0]) & (F.col("y") == corner[1])).select("a", "b"))
+    return pairs[0].unionByName(pairs[1])
+
+
+def _in_parts(own: DataFrame, others: DataFrame, first: str, second: str) -> DataFrame:
+    """The rows (row) joined by their cell, under the names first and second. A cell of more than PAIRS pairs is dealt into parts: each of its larger side's rows lies in one, the smaller side's in all."""
+    cell = ["level", "x", "y"]
+    n = own.groupBy(*cell).agg(F.count("*").alias("n_own")).join(others.groupBy(*cell).agg(F.count("*").alias("n_others")), cell)
+    parts = F.least(F.ceil(F.col("n_own") * F.col("n_others") / PAIRS), F.greatest("n_own", "n_others")).cast("int")
+    heavy = cut(n.select(*cell, parts.alias("parts"), (F.col("n_own") > F.col("n_others")).alias("own_larger")).filter("parts > 1"))
+
+    def dealt(d: DataFrame, larger: Column, name: str) -> DataFrame:
+        some = d.join(heavy, cell, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        whole = F.array(F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+        part = F.when(F.col("parts") == 1, F.array(F.lit(0))).when(larger, whole).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+        return some.withColumn("part", F.explode(part)).select(*cell, "part", F.col("row").alias(name))
+
+    return dealt(own, F.col("own_larger"), first).join(dealt(others, ~F.col("own_larger"), second), [*cell, "part"])
 
 
 def geometries_meeting(left: DataFrame, right: DataFrame | None, key: str, shape: str) -> DataFrame:

@@ -173,3 +173,14 @@ def test_labels_send_no_table_to_all(spark, monkeypatch):
     labels = trees.labelled(spark.createDataFrame([(2, 1), (3, 1), (4, 2)], "child long, parent long"), spark.createDataFrame([(n,) for n in (1, 2, 3, 4)], "node long"))
     assert labels.count() == 4 and len(plans) > 3
     assert not any("BroadcastHashJoin" in p for p in plans[3:])
+
+
+def test_small_boxes_do_not_meet_where_wide_ones_are_looked_for(spark, monkeypatch):
+    """Four thousand small boxes apart from each other and one over them all: pairs are as many as boxes, not their square; cells dealt into parts give the same."""
+    small = spark.range(4000).select("id", (F.col("id") % 200).cast("double").alias("west"), F.floor(F.col("id") / 200).cast("double").alias("south"))
+    small = small.select("id", "west", "south", (F.col("west") + 0.5).alias("east"), (F.col("south") + 0.5).alias("north"))
+    rows = small.unionByName(spark.createDataFrame([(-1, -1.0, -1.0, 250.0, 250.0)], small.schema))
+    for pairs in (boxes.PAIRS, 1000):
+        monkeypatch.setattr(boxes, "PAIRS", pairs)
+        got = boxes.meeting(rows, rows).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+        assert got.agg(F.count("*"), F.count_distinct("a", "b"), F.count_if(F.col("a") == F.col("b")), F.count_if(F.col("a") < F.col("b"))).first() == (12_001, 12_001, 4001, 4000)
