@@ -854,8 +854,10 @@ def layout_join(spark, sf):
     """Orders and their lines laid out by their key: the join and the groups need no exchange."""
     name = f"lattica_{uuid.uuid4().hex}"
     folder = f"{shared_folder(spark.sparkContext)}/{name}"
-    orders = stored.write_bucketed(t(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), f"{name}_orders", f"{folder}/orders", ["o_orderkey"], 8)
-    lines = stored.write_bucketed(t(spark, sf, "lineitem").select("l_orderkey", "l_quantity"), f"{name}_lines", f"{folder}/lines", ["l_orderkey"], 8)
+    orders, lines = t(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), t(spark, sf, "lineitem").select("l_orderkey", "l_quantity")
+    buckets = stored.buckets_for(orders, lines)
+    orders = stored.write_bucketed(orders, f"{name}_orders", f"{folder}/orders", ["o_orderkey"], buckets)
+    lines = stored.write_bucketed(lines, f"{name}_lines", f"{folder}/lines", ["l_orderkey"], buckets)
     both = orders.hint("merge").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     return both.groupBy("o_orderkey", "o_orderstatus").agg(F.count("*").alias("n_lines"), F.max("l_quantity").alias("most"))
 

@@ -27,6 +27,9 @@ from ..plans.lineage import cut
 BUCKETS = 64
 _MANIFEST = "bucket int, write string, n long, digest string"
 
+#: Rows of a bucketed table's bucket.
+BUCKET_ROWS = 1_000_000
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -142,3 +145,8 @@ def write_bucketed(rows: DataFrame, name: str, folder: str, keys: Sequence[str],
     """A table of the session's catalogue, its files in the folder, bucketed and sorted by its keys: joins and groups by them with another such table of as many buckets need no exchange."""
     rows.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", folder).mode("overwrite").saveAsTable(name)
     return rows.sparkSession.table(name)
+
+
+def buckets_for(*tables: DataFrame, least: int = 8) -> int:
+    """Buckets for tables that are to be joined: about BUCKET_ROWS rows of all of them in each, since one task sorts and joins a bucket."""
+    return max(least, -(-sum(d.count() for d in tables) // BUCKET_ROWS))

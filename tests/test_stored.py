@@ -169,3 +169,10 @@ def test_closed_runs_that_changed(spark):
     runs = spark.createDataFrame([("a", "closed", 10), ("b", "closed", 10), ("c", "running", None)], "resource_id string, run_status string, closed_at int")
     revisions = spark.createDataFrame([("a", 1, 5), ("a", 2, 10), ("a", 3, 11), ("a", 4, 12), ("b", 1, 9), ("c", 1, 50)], "target_resource_id string, revision_no int, changed_at int")
     assert rows(advisory.changed_after_close(runs, revisions), "resource_id", "revision_no", "n") == [("a", 3, 2)]
+
+
+def test_buckets_grow_with_the_rows(spark, monkeypatch):
+    """A bucket is one task's, so a set number of them would grow with the input."""
+    assert stored.buckets_for(spark.range(5000), spark.range(1)) == 8
+    monkeypatch.setattr(stored, "BUCKET_ROWS", 100)
+    assert stored.buckets_for(spark.range(5000), spark.range(1)) == 51
