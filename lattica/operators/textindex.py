@@ -25,6 +25,8 @@ from ..plans.lineage import cut
 
 #: Code points of a gram; bytes of a block; buckets; grams of a pattern that are looked up; blocks that a search names.
 GRAM, BLOCK_BYTES, BUCKETS, RAREST, MOST_BLOCKS = 3, 32 << 20, 64, 4, 5000
+#: Grams with their ids that a worker holds at once, and rows that it takes from a batch at once.
+HELD, AT_ONCE = 500_000, 64
 _BITS = 21
 
 
@@ -54,10 +56,10 @@ def _postings(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, grams, size = None, [], [], 0
-        for batch in batches:
+        for batch in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, whole.num_rows, AT_ONCE)):
             for block, id_, text in zip(*(batch.column(c).to_pylist() for c in ("block", "id", "text")), strict=True):
-                # A block with more texts than was thought gives several rows for a gram.
-                if ids and (block != now or size > 4_000_000):
+                # A block with more grams gives several rows for a gram.
+                if ids and (block != now or size > HELD):
                     yield rows(now, ids, grams)
                     ids, grams, size = [], [], 0
                 now = block

@@ -184,3 +184,13 @@ def test_small_boxes_do_not_meet_where_wide_ones_are_looked_for(spark, monkeypat
         monkeypatch.setattr(boxes, "PAIRS", pairs)
         got = boxes.meeting(rows, rows).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
         assert got.agg(F.count("*"), F.count_distinct("a", "b"), F.count_if(F.col("a") == F.col("b")), F.count_if(F.col("a") < F.col("b"))).first() == (12_001, 12_001, 4001, 4000)
+
+
+def test_a_worker_holds_few_grams_of_a_block(spark, tmp_path, monkeypatch):
+    """Postings of a block come in several rows, so that what a worker holds doesn't grow with the block."""
+    monkeypatch.setattr(textindex, "HELD", 500)
+    rows = spark.createDataFrame([(k, f"text {k} {'abcdefghij' * 2} {k * 7919}") for k in range(300)], "k long, s string")
+    textindex.build(rows, "k", "s", str(tmp_path / "index"))
+    assert textindex.postings_of(spark, str(tmp_path / "index")).groupBy("gram", "block").count().filter("count > 1").count() > 0
+    assert [r["id"] for r in textindex.like(spark, str(tmp_path / "index"), "text 17 %").collect()] == [17]
+    assert textindex.like(spark, str(tmp_path / "index"), "%abcdefghij%").count() == 300
