@@ -51,12 +51,23 @@ def slices(batch: pa.RecordBatch, name: str, most: int) -> Iterator[pa.RecordBat
         start = stop
 
 
-def table_in_shared_folder(df: DataFrame) -> DataFrame:
+#: Whether Spark removes what a query shuffled as soon as it ends.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def table_in_shared_folder(df: DataFrame, tidy: bool = False) -> DataFrame:
     """The rows written as Parquet in the folder that all machines share, and read again: later readers take only the columns they need.
 
-    Like checkpoints, the files are left to whoever keeps that folder.
+    Like checkpoints, the files are left to whoever keeps that folder. tidy: what writing shuffled is removed at once, not when the driver collects garbage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark.sparkContext)}/lattica-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(TIDY, None)
+    try:
+        if tidy:
+            spark.conf.set(TIDY, "true")
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -22,6 +22,9 @@ twenty pairs at 15 bits bring them together with 0.90, twenty at 20 bits with 0.
 No key is cut. All descriptors of a key are compared with each other, those of several tables in the first
 that they meet in; a key of more than ROWS descriptors is dealt into blocks, and each two blocks are a key of
 their own. So what a key costs grows with the square of its descriptors, in many tasks, each of bounded memory.
+The tables are dealt in turns, and candidates are compared in turns of no more pairs than there are classes
+(PAIRS at least); what a turn shuffled is removed as it ends. So no exchange holds more than the corners once;
+meetings themselves, which are kept, grow with the square of the images that are alike.
 
 Images with equal bytes are one class from the start; the number of links counts the links found.
 
@@ -34,7 +37,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +55,10 @@ AREA = 750
 TABLES, KEY_BITS, NEAR, CLOSE, LEAST, CHANCE = 4, 24, 20, 10, 4, 40
 #: Descriptors of a key that one task compares whole; comparisons held at once, and pairs given out at once.
 ROWS, COMPARED, GIVEN = 2000, 1 << 20, 1 << 18
+#: Descriptors of a key that are compared with other keys of as many; pairs of candidates that one turn compares at least.
+FEW, PAIRS = 32, 1 << 16
+#: Classes of several pages, or of one id, whose digests are broadcast at most.
+REPEATED = 100_000
 #: Numbers that the lowest bits of a key tell its table by.
 KINDS = 8
 #: Corners of an image at most.
@@ -215,13 +222,11 @@ def masks(level: int) -> list[list[int]]:
     return [[sum(1 << (b % 64) for b in c if b // 64 == w) for w in range(2)] for c in chosen]
 
 
-def deal(rows: DataFrame) -> DataFrame:
-    """class_id, d0, d1, at to one row for each table, with its key."""
-    keys = []
-    for t, table in enumerate(masks(0)):
-        kept = [F.col(d).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for d, m in zip(("d0", "d1"), table, strict=True)]
-        keys.append(F.xxhash64(F.lit(t), *kept).bitwiseAND(F.lit(-KINDS)).bitwiseOR(F.lit(t)))
-    return rows.select(F.explode(F.array(*keys)).alias("key"), F.lit(0).alias("side"), "class_id", "d0", "d1", "at")
+def deal(rows: DataFrame, t: int) -> DataFrame:
+    """class_id, d0, d1, at dealt out by their key of table t. Keys don't travel: they are made again from the descriptor."""
+    kept = [F.col(d).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for d, m in zip(("d0", "d1"), masks(0)[t], strict=True)]
+    key = F.xxhash64(F.lit(t), *kept).bitwiseAND(F.lit(-KINDS)).bitwiseOR(F.lit(t))
+    return rows.repartition(key).select(key.alias("key"), F.lit(0).alias("side"), "class_id", "d0", "d1", "at")
 
 
 def in_blocks(rows: DataFrame, most: int) -> DataFrame:
@@ -234,7 +239,7 @@ def in_blocks(rows: DataFrame, most: int) -> DataFrame:
     cells = rows.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).bitwiseAND(F.lit(-KINDS)).bitwiseOR(F.col("key").bitwiseAND(F.lit(KINDS - 1)))
     side = F.when(F.col("own") < F.col("other"), 1).when(F.col("own") > F.col("other"), 2).otherwise(0)
-    return cells.select(cell.alias("key"), side.alias("side"), "class_id", "d0", "d1", "at")
+    return cells.select(cell.alias("key"), side.alias("side"), "class_id", "d0", "d1", "at").repartition("key")
 
 
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -301,11 +306,21 @@ def compare(most: int | None):
     def whole(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
         size = np.diff(np.append(start, rows.shape[1]))
-        two = start[size == 2]
-        two = two[(rows[1, two] != rows[1, two + 1]) | (rows[1, two] == 0)]
-        two = two[differing(rows[3, two], rows[3, two + 1]) + differing(rows[4, two], rows[4, two + 1]) <= NEAR]
-        found, held = [np.stack([two, two + 1])], len(two)
-        for s, n in zip(start[size > 2], size[size > 2], strict=True):
+        found, held = [], 0
+        for n in np.unique(size[(size > 1) & (size <= min(FEW, most or FEW))]):  # keys of as many rows at once
+            first, second = np.triu_indices(n, 1)
+            at, step = start[size == n], max(1, COMPARED // len(first))
+            for k in range(0, len(at), step):
+                i, j = ((at[k : k + step, None] + x).ravel() for x in (first, second))
+                close = differing(rows[3, i], rows[3, j]) + differing(rows[4, i], rows[4, j]) <= NEAR
+                close &= (rows[1, i] != rows[1, j]) | (rows[1, i] == 0)
+                found.append(np.stack([i[close], j[close]]))
+                held += found[-1].shape[1]
+                if held > GIVEN:
+                    yield from given(rows, *np.concatenate(found, axis=1))
+                    found, held = [], 0
+        more = size > min(FEW, most or FEW)
+        for s, n in zip(start[more], size[more], strict=True):
             if most is not None and n > most:
                 yield rest(rows[:, s : s + n])
                 continue
@@ -348,13 +363,14 @@ def candidates(classes: DataFrame, most: int) -> DataFrame:
     i = F.explode(F.when(F.size("corners") > 0, F.sequence(F.lit(0), F.floor(F.size("corners") / EACH).cast("int") - 1)).otherwise(F.array().cast("array<int>")))
     rows = classes.select("class_id", "corners", i.alias("i"))
     rows = rows.select("class_id", F.element_at("corners", F.col("i") * EACH + 1).alias("d0"), F.element_at("corners", F.col("i") * EACH + 2).alias("d1"), F.element_at("corners", F.col("i") * EACH + 3).alias("at"))
-    compared = lambda dealt, size: cut(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(compare(size), _FOUND_DDL))
-    out = compared(deal(rows), most)
+    compared = lambda dealt, size: table_in_shared_folder(dealt.sortWithinPartitions("key").mapInArrow(compare(size), _FOUND_DDL), tidy=True)
+    tables = [compared(deal(rows, t), most) for t in range(TABLES)]
+    out = reduce(DataFrame.unionByName, tables)
     meetings, large = out.filter("b is not null").select("a", "b", "key", "d0", "d1"), out.filter("b is null").select("key", F.col("a").alias("class_id"), "d0", "d1", "at")
     if not large.isEmpty():
         meetings = meetings.unionByName(compared(in_blocks(large, most), None).select("a", "b", "key", "d0", "d1"))
     # A candidate's key is null; a cell counts where two corners of each image vote for it.
-    agree = meetings.groupBy("a", "b", "key").agg(*[f(d).alias(f.__name__ + d) for d in ("d0", "d1") for f in (F.min, F.max)])
+    agree = meetings.repartition("a", "b", "key").groupBy("a", "b", "key").agg(*[f(d).alias(f.__name__ + d) for d in ("d0", "d1") for f in (F.min, F.max)])
     return agree.filter("key is null or (mind0 < maxd0 and mind1 < maxd1)").select("a", "b").distinct()
 
 
@@ -406,16 +422,31 @@ def links(classes: DataFrame, most: int = ROWS, few: int | None = None) -> DataF
 
     most: descriptors of a key that one task compares whole; larger keys are compared in blocks. few: of no use any more, nothing is left out however many meet.
     """
-    return cut(verified(candidates(classes, most), classes))
+    pairs = table_in_shared_folder(candidates(classes, most), tidy=True)
+    turns = -(-pairs.count() // max(PAIRS, classes.count())) or 1
+    turn = F.pmod(F.xxhash64("a", "b"), F.lit(turns))
+    return reduce(DataFrame.unionByName, [table_in_shared_folder(verified(pairs.filter(turn == k), classes), tidy=True) for k in range(turns)])
+
+
+def first_pages(pages: DataFrame, classes: DataFrame) -> DataFrame:
+    """class_id and corners: one page of each class (digest, class_id, n: its pages). Corners of a page that alone has its digest and id stay where they are, unless too many are not alone."""
+    named = F.col("page_id").alias("class_id")
+    again = classes.groupBy("class_id").agg(F.max("n").alias("most"), F.count("*").alias("of")).filter("most > 1 or of > 1")
+    repeated = cut(classes.join(again.select("class_id"), "class_id"))
+    # Rows equal throughout are told apart by nothing, so one of them is taken.
+    one = lambda some, of: some.join(of.select(F.col("class_id").alias("page_id")), "page_id", "left_semi").dropDuplicates(["page_id"]).select(named, "corners")
+    if repeated.count() > REPEATED:
+        return one(pages, classes)
+    digests = F.broadcast(repeated.select("digest"))
+    lone = pages.join(digests, "digest", "left_anti").filter("page_id is not null").select(named, "corners")
+    return lone.unionByName(one(pages.join(digests, "digest", "left_semi"), repeated))
 
 
 def copies(images: DataFrame) -> DataFrame:
     """page_id, class_id, component_id, n_links from page_id and image."""
     pages = table_in_shared_folder(features(images))
-    classes = cut(pages.groupBy("digest").agg(F.min("page_id").alias("class_id")))
-    # One page of each class; rows equal throughout are told apart by nothing, so one of them is taken.
-    one = pages.join(classes.select(F.col("class_id").alias("page_id")), "page_id", "left_semi").dropDuplicates(["page_id"]).select(F.col("page_id").alias("class_id"), "corners")
-    found = links(one)
+    classes = cut(pages.groupBy("digest").agg(F.min("page_id").alias("class_id"), F.count("*").alias("n")))
+    found = links(first_pages(pages, classes))
     roots = stars(found.select("a", "b"))
     ends = found.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
     known = classes.join(ends, "class_id", "left").join(roots.withColumnRenamed("node", "class_id"), "class_id", "left")

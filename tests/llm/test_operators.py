@@ -3,8 +3,10 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -394,6 +396,41 @@ def test_every_link_of_a_crowded_key_is_given(spark, most):
     assert sorted((x["a"], x["b"], x["matches"]) for x in got) == want
 
 
+def shuffled_bytes(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(x.stat().st_size for folder in folders for x in Path(folder.getPath()).rglob("shuffle_*.data"))
+
+
+def test_tables_and_candidates_in_turns_leave_no_shuffle_behind(spark, monkeypatch):
+    """The links of one turn and of several are equal; what dealing 24,000 corners to four tables shuffles (some 3 MB, all at once before) is gone after."""
+    monkeypatch.setattr(media, "PAIRS", 1, raising=False)
+    r = np.random.default_rng(33)
+    rows = []
+    for k in range(400):
+        if k % 4 == 0:
+            one = [(r.integers(20, 900, 2).tolist(), r.bytes(16)) for _ in range(60)]
+        rows.append((k, [n for (x, y), d in one for n in media.packed((x, y, 1.0, 0.0, d))]))
+    classes = spark.createDataFrame(rows, "class_id long, corners array<long>")
+    before = shuffled_bytes(spark)
+    got = sorted((x["a"], x["b"]) for x in media.links(classes).collect())
+    assert got == [(k + i, k + j) for k in range(0, 400, 4) for i in range(4) for j in range(i + 1, 4)]
+    for _ in range(50):
+        if shuffled_bytes(spark) - before < 500_000:
+            break
+        time.sleep(0.1)
+    assert shuffled_bytes(spark) - before < 500_000
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_one_page_of_each_class(spark, monkeypatch, most):
+    """Copies, rows that are equal throughout, an id with two images, and pages without an id: each class_id once."""
+    monkeypatch.setattr(media, "REPEATED", most)
+    rows = [(1, b"a", [1]), (2, b"a", [1]), (3, b"b", [3]), (4, b"c", [4]), (4, b"c", [4]), (5, b"d", [5]), (5, b"e", [5]), (None, b"f", [6]), (None, b"g", [7]), (None, b"g", [7])]
+    pages = spark.createDataFrame([(i, bytearray(d), c) for i, d, c in rows], "page_id long, digest binary, corners array<long>")
+    classes = pages.groupBy("digest").agg(F.min("page_id").alias("class_id"), F.count("*").alias("n"))
+    assert sorted((x["class_id"], x["corners"]) for x in media.first_pages(pages, classes).collect()) == [(1, [1]), (3, [3]), (4, [4]), (5, [5])]
+
+
 def test_distant_matches_count_once_one_is_found(spark):
     """One equal corner brings two images together; the other matches differ in NEAR bits and share no key."""
     r = np.random.default_rng(6)
