@@ -2,8 +2,9 @@
 
 A tour goes down and up every edge once. Each step knows the next one: down to a node's first child, else up again;
 from there down to the next sibling, else up to the parent. The steps that are left from each one to the end are
-counted by doubling: after k rounds a step knows what lies 2**k further on, so a chain takes no more rounds than
-a bush of as many nodes. From these counts come the numbers of a node in pre- and post-order, and its depth.
+counted by doubling, in two stages: each counts to the next ruler first, one step of SPARSE being one by its hash, so
+that a few rounds do; then rulers are counted among themselves in the same way, in one task once they are few. So a
+chain takes no more rounds than a bush of as many nodes. From these counts come the numbers of a node in pre- and post-order, and its depth.
 
 Joins are sorted: a side that passes for small as it is shuffled, compressed, can be too large for the driver
 once it is to be broadcast.
@@ -11,14 +12,69 @@ once it is to be broadcast.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..plans.lineage import cut
 from .ranking import numbered
 from .temporal import spread
 
 
+#: Of so many steps one is a ruler; steps that one task counts.
+SPARSE, SMALL = 16, 200_000
+
+
+def ranked(tour: DataFrame, level: int = 0) -> DataFrame:
+    """step, steps, downs: both summed from each step to the end of its list (step, next, steps, downs). Steps on rings are left out."""
+    count = tour.count()
+    if count <= SMALL:
+        return tour.repartition(1).mapInArrow(_walked, _ranks(tour)).select("step", "steps", "downs")
+    ruler = lambda c: F.pmod(F.xxhash64(F.lit(level), c), F.lit(SPARSE)) == 0
+    going = F.col("next").isNotNull() & ~ruler("next")
+    for _ in range(count.bit_length()):
+        # What has reached a ruler or the end is only looked up; the rest jumps.
+        ahead = tour.filter(~ruler("step")).select(F.col("step").alias("next"), F.col("next").alias("_next"), F.col("steps").alias("_steps"), F.col("downs").alias("_downs"))
+        jumped = tour.filter(going).join(ahead.hint("merge"), "next").select("step", F.col("_next").alias("next"), (F.col("steps") + F.col("_steps")).alias("steps"), (F.col("downs") + F.col("_downs")).alias("downs"))
+        tour = cut(tour.filter(~going).unionByName(jumped))
+        if tour.filter(going).isEmpty():
+            break
+    # Steps that still go on are on rings without a ruler.
+    tour = tour.filter(~going)
+    rulers = cut(ranked(tour.filter(ruler("step")), level + 1))
+    known = rulers.select(F.col("step").alias("next"), F.col("steps").alias("_steps"), F.col("downs").alias("_downs"))
+    rest = tour.filter(~ruler("step"))
+    onward = rest.filter("next is not null").join(known.hint("merge"), "next").select("step", (F.col("steps") + F.col("_steps")).alias("steps"), (F.col("downs") + F.col("_downs")).alias("downs"))
+    return rulers.unionByName(rest.filter("next is null").select("step", "steps", "downs")).unionByName(onward)
+
+
+def _ranks(tour: DataFrame) -> StructType:
+    return StructType([tour.schema["step"], tour.schema["steps"], tour.schema["downs"]])
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of whole lists, by doubling."""
+    held = list(batches)
+    if not held:
+        return
+    whole = pa.Table.from_batches(held)
+    names = [[None if x is None else (x["up"], x["node"]) for x in whole[c].to_pylist()] for c in ("step", "next")]
+    n, at = len(whole), {x: i for i, x in enumerate(names[0])}
+    # Place n is the end, n + 1 what is not there.
+    ahead = np.asarray([*(n if x is None else at.get(x, n + 1) for x in names[1]), n, n + 1])
+    sums = np.zeros((2, n + 2), dtype=np.int64)
+    sums[:, :n] = [whole[c].to_numpy() for c in ("steps", "downs")]
+    for _ in range(n.bit_length()):
+        sums, ahead = sums + sums[:, ahead], ahead[ahead]
+    ended = ahead[:n] == n
+    for step in whole.select(["step"]).append_column("steps", pa.array(sums[0, :n])).append_column("downs", pa.array(sums[1, :n])).filter(pa.array(ended)).to_batches():
+        yield step
+
+
 def labelled(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, parent, pre, post, size, depth of every node of a forest; children in the order of their keys.
 
@@ -40,17 +96,7 @@ def labelled(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     down = around.select(step(0, F.col("child")).alias("step"), F.coalesce(step(0, F.col("first_child")), step(1, F.col("child"))).alias("next"))
     back = around.select(step(1, F.col("child")).alias("step"), F.coalesce(step(0, F.col("next_child")), step(1, F.col("parent"))).alias("next"))
     tour = cut(down.unionByName(back).withColumn("steps", F.lit(1).cast("long")).withColumn("downs", (1 - F.col("step.up")).cast("long")))
-    count = tour.count()
-    rounds = max(count, 1).bit_length()
-    for _ in range(rounds):
-        # What has reached the end is only looked up; the rest jumps.
-        ahead = tour.select(F.col("step").alias("next"), F.col("next").alias("_next"), F.col("steps").alias("_steps"), F.col("downs").alias("_downs"))
-        jumped = tour.filter("next is not null").join(ahead.hint("merge"), "next").select("step", F.col("_next").alias("next"), (F.col("steps") + F.col("_steps")).alias("steps"), (F.col("downs") + F.col("_downs")).alias("downs"))
-        tour = cut(tour.filter("next is null").unionByName(jumped))
-        if tour.filter("next is not null").isEmpty():
-            break
-    # Steps that still go on are on rings. The others' numbers count from the end.
-    done = tour.filter("next is null")
+    done = cut(ranked(tour))
     total = done.agg(F.count_if(F.col("step.up") == 0)).first()[0]
     per = done.groupBy(F.col("step.node").alias("node")).agg(*(F.max(F.when(F.col("step.up") == k, F.col(c))).alias(f"{c}{k}") for k in (0, 1) for c in ("steps", "downs")))
     pre, post = total - F.col("downs0") + 1, total - (F.col("steps1") - F.col("downs1")) + 1

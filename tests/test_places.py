@@ -161,6 +161,21 @@ def test_a_long_chain_takes_log_rounds(spark, monkeypatch):
     assert len(rounds) <= 18
 
 
+def test_few_steps_are_counted_in_one_task(spark, monkeypatch):
+    """Four tables are stored for a chain of 3000, none for each doubling; with very few rulers and steps a task, a forest with rings has the same labels."""
+    rounds, real = [], trees.cut
+    monkeypatch.setattr(trees, "cut", lambda x: rounds.append(1) or real(x))
+    n = 3000
+    chain = trees.labelled(spark.range(1, n).select(F.col("id").alias("child"), (F.col("id") - 1).alias("parent")), spark.range(n).withColumnRenamed("id", "node"))
+    assert chain.filter("pre = node + 1 and depth = node").count() == n and len(rounds) <= 4
+    monkeypatch.setattr(trees, "SMALL", 40)
+    monkeypatch.setattr(trees, "SPARSE", 3)
+    r = random.Random(6)
+    edges = [(i, r.randrange(max(0, i - 9), i)) for i in range(1, 80) if i % 17] + [(200, 201), (201, 202), (202, 200), (203, 202)]
+    labels = trees.labelled(spark.createDataFrame(edges, "child long, parent long"), spark.createDataFrame([(k,) for k in range(80)], "node long"))
+    assert sorted(tuple(x) for x in labels.select("node", "parent", "pre", "post", "size", "depth").collect()) == plain_labels([e for e in edges if e[0] < 200], range(80))
+
+
 def test_labels_send_no_table_to_all(spark, monkeypatch):
     plans, real = [], trees.cut
 
