@@ -75,12 +75,15 @@ def leaves(rows: DataFrame, json: str, keep: Sequence[str], levels: int | None =
     return at.select(*keep, "_at.path", F.coalesce(F.to_json("_at.v"), F.lit("null")).alias("value"))
 
 
+def _kind(old: Column, new: Column) -> Column:
+    return F.when(old.isNull(), "added").when(new.isNull(), "removed").otherwise("changed").alias("change_kind")
+
+
 def field_changes(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, path, change_kind (added, removed, changed), old_value, new_value of the fields (leaves) that differ between two states of documents."""
     same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in (*keys, "path")]
     both = old.alias("o").join(new.alias("n"), same, "full_outer").filter(~F.col("o.value").eqNullSafe(F.col("n.value")))
-    kind = F.when(F.col("o.value").isNull(), "added").when(F.col("n.value").isNull(), "removed").otherwise("changed")
-    return both.select(*(F.coalesce(f"n.{k}", f"o.{k}").alias(k) for k in (*keys, "path")), kind.alias("change_kind"), F.col("o.value").alias("old_value"), F.col("n.value").alias("new_value"))
+    return both.select(*(F.coalesce(f"n.{k}", f"o.{k}").alias(k) for k in (*keys, "path")), _kind(F.col("o.value"), F.col("n.value")), F.col("o.value").alias("old_value"), F.col("n.value").alias("new_value"))
 
 
 def history(rows: DataFrame, entity: str, order: Sequence[Column], json: str) -> DataFrame:
@@ -89,10 +92,15 @@ def history(rows: DataFrame, entity: str, order: Sequence[Column], json: str) ->
     Versions meet by entity and number, so an entity with very many of them is spread like others.
     """
     versions = cut(numbered(rows.select(entity, json, F.struct(*order).alias("_order")).filter(F.col(entity).isNotNull()), [entity], [F.col("_order")], "revision_no").drop("_order"))
-    levels = versions.agg(F.max(depth(F.to_json(F.try_parse_json(json))))).first()[0] or 0
+    levels = versions.agg(F.max(F.when(F.try_parse_json(json).isNotNull(), depth(F.col(json))))).first()[0] or 0
     keys = [entity, "revision_no"]
-    before = versions.withColumn("revision_no", F.col("revision_no") + 1).join(versions.select(*keys), keys, "left_semi")
-    return field_changes(leaves(before, json, keys, levels), leaves(versions, json, keys, levels), keys)
+    # The two documents of a change meet in one task, so their fields need not be shuffled.
+    before = versions.select(entity, (F.col("revision_no") + 1).alias("revision_no"), F.col(json).alias("_old"))
+    pairs = versions.select(*keys, F.col(json).alias("_new")).join(before.hint("merge"), keys, "left")
+    sides = pairs.select(*keys, F.explode(F.array(*(F.struct(F.lit(new).alias("new"), F.col(c).alias("document")) for new, c in ((False, "_old"), (True, "_new"))))).alias("_side"))
+    found = leaves(sides.select(*keys, F.col("_side.new").alias("_is_new"), F.col("_side.document").alias("_document")), "_document", [*keys, "_is_new"], levels)
+    both = found.groupBy(*keys, "path").agg(*(F.max(F.when(F.col("_is_new") == new, F.col("value"))).alias(n) for new, n in ((False, "old_value"), (True, "new_value"))))
+    return both.filter(~F.col("old_value").eqNullSafe(F.col("new_value"))).select(*keys, "path", _kind(F.col("old_value"), F.col("new_value")), "old_value", "new_value")
 
 
 def replayed(changes: DataFrame, entity: str, upto: Column | None = None) -> DataFrame:

@@ -67,6 +67,15 @@ def test_replay_gives_every_stored_version(spark):
     assert documents.replayed(changes.filter("e = 7"), "e", F.lit(2)).count() == 0
 
 
+def test_fields_of_a_history_are_not_shuffled(spark):
+    """Documents meet by entity and number; the fields they fall into stay where they are."""
+    df = spark.createDataFrame([(1, n, json.dumps({"a": n // 2, "b": [n]})) for n in range(4)], "e int, at int, j string")
+    changes = documents.history(df, "e", [F.col("at")], "j")
+    plan = changes._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "Exchange" not in plan[: plan.index("Generate")]
+    assert rows(changes.filter("revision_no > 2"), "revision_no", "path", "change_kind", "old_value", "new_value") == [(3, "/a", "changed", "0", "1"), (3, "/b#0", "changed", "1", "2"), (4, "/b#0", "changed", "2", "3")]
+
+
 def test_seven_outcomes(spark):
     staged = spark.createDataFrame(
         [("a", "1", 0, True, False), ("a", "2", 1, False, False), ("a", "3", 2, False, False), ("b", "1", 0, False, False), ("c", "1", 0, False, False), ("d", "1", 0, True, False), ("f", "1", 0, True, True), (None, "1", 0, False, False), ("g", "9", 5, False, None), ("g", "9", 5, None, False)],
