@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut, shared_folder
 
-__all__ = ["as_bytes", "batch_of", "cut", "fold", "slices", "table", "table_in_shared_folder", "text_bytes"]
+__all__ = ["as_bytes", "batch_of", "cut", "fold", "settled", "slices", "table", "table_in_shared_folder", "text_bytes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,3 +71,8 @@ def table_in_shared_folder(df: DataFrame, tidy: bool = False) -> DataFrame:
         if tidy:
             spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows with no lineage behind them, as cut() gives, and no shuffle either: a checkpoint's stays until the driver collects garbage, three files for each task and exchange."""
+    return table_in_shared_folder(df, tidy=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import settled
 
 
 def stars(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -15,7 +15,7 @@ def stars(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     number of rounds grows with the logarithm of the longest chain. Edges and links stay in Spark; only
     their count and checksum reach the driver, to tell when nothing changes.
     """
-    links = cut(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links = settled(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(most_rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -24,7 +24,7 @@ def stars(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        links = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        links = settled(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch_of, cut, slices, table_in_shared_folder, text_bytes
+from .common import as_bytes, batch_of, cut, settled, slices, table_in_shared_folder, text_bytes
 from .components import stars
 
 RADIUS, SHINGLE, SEED, BITS = 3, 3, 42, 64
@@ -223,7 +223,7 @@ def links(different: DataFrame, radius: int = RADIUS, most: int = BUCKET, parts:
         dealt = rows.mapInArrow(deal(level, radius, parts), "bucket long, fp long")
         if level:
             dealt = dealt.distinct()
-        out = cut(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare(radius, most), "a long, b long, bucket long").distinct())
+        out = settled(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare(radius, most), "a long, b long, bucket long").distinct())
         new = out.filter("bucket is null").select("a", "b")
         found = new if found is None else found.unionByName(new)
         rows = out.filter("bucket is not null").select("bucket", F.col("a").alias("fp"))
@@ -273,14 +273,14 @@ def in_blocks(grouped: DataFrame, radius: int, parts: int, block: int, many: int
         sized = grouped.join(grouped.groupBy("part").agg(blocks(F.count("*")).alias("n")), "part")
         small = sized.filter(F.col("n") <= many).select("node", "part", "n")
         done = small if done is None else done.unionByName(small)
-        large = cut(sized.filter(F.col("n") > many).select(F.col("part").alias("bucket"), "fp", "node", "n"))
+        large = settled(sized.filter(F.col("n") > many).select(F.col("part").alias("bucket"), "fp", "node", "n"))
         if large.isEmpty():
             break
         tables = [F.xxhash64(F.lit(level), F.lit(t), "bucket", F.col("fp").bitwiseAND(F.lit(int(m)))) for t, m in enumerate(masks(level, radius, parts).view(np.int64).tolist())]
         dealt = large.groupBy("bucket", "fp").agg(F.count("*").alias("m"), F.first("n").alias("n")).withColumn("part", F.explode(F.array(*tables)))
         taken = dealt.groupBy("bucket", "n", "part").agg(F.sum("m").alias("m")).groupBy("bucket", "n").agg(F.sum("m").alias("m"), F.sum(F.col("m") * blocks(F.col("m"))).alias("rows"))
         # m has each text once for each table.
-        worth = cut(taken.filter(2 * F.col("rows") <= F.col("m") / len(tables) * F.col("n")).select("bucket"))
+        worth = settled(taken.filter(2 * F.col("rows") <= F.col("m") / len(tables) * F.col("n")).select("bucket"))
         done = done.unionByName(large.join(worth, "bucket", "left_anti").select("node", F.col("bucket").alias("part"), "n"))
         grouped = dealt.join(worth, "bucket", "left_semi").select("bucket", "fp", "part").join(large, ["bucket", "fp"]).select("node", "fp", "part")
         level += 1
@@ -374,7 +374,7 @@ def around_pivots(parts: DataFrame, known: DataFrame, least: float, block: int,
     small, found = [], []
     for turn in range(rounds):
         sized = parts.groupBy("part").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node"))["node"].alias("pivot"))
-        marked = cut(parts.join(sized, "part"))
+        marked = settled(parts.join(sized, "part"))
         small.append(marked.filter(F.col("n") <= most).select("node", "fp", "part"))
         large = marked.filter(F.col("n") > most)
         if large.isEmpty():
@@ -385,7 +385,7 @@ def around_pivots(parts: DataFrame, known: DataFrame, least: float, block: int,
         others = large.filter("node != pivot").select("part", F.pmod(F.xxhash64("node", "part"), salts).alias("salt"), "node", F.lit(1).alias("place"))
         rows = pivots.unionByName(others).join(known, "node").select("part", "salt", "place", "node", "set")
         like = rows.repartition("part", "salt").sortWithinPartitions("part", "salt", "place").mapInArrow(likeness(), "part long, node long, like double")
-        like = cut(large.filter("node != pivot").join(like, ["part", "node"]))
+        like = settled(large.filter("node != pivot").join(like, ["part", "node"]))
         found.append(like.filter(F.col("like") >= least).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         # A text that is alike with the pivot can be alike with one that isn't only if the two are no further apart than 1 - least.
         closest = like.filter(F.col("like") < least).groupBy("part").agg(F.max("like").alias("closest"))
@@ -397,13 +397,13 @@ def around_pivots(parts: DataFrame, known: DataFrame, least: float, block: int,
 def nominated(texts: DataFrame, radius: int, small: int) -> DataFrame:
     """node, fp, part: the groups of near fingerprints of each kind, but for those that lie within one of an earlier kind of at most `small` texts."""
     kinds = texts.select("node", F.posexplode(F.array(*_FPS)).alias("k", "fp"))
-    classes = cut(kinds.groupBy("k", "fp").agg(F.count("*").alias("n")))
+    classes = settled(kinds.groupBy("k", "fp").agg(F.count("*").alias("n")))
     near = stars(links(classes.select(F.col("k").alias("bucket"), "fp"), radius, BUCKET, NEAR_PARTS))
     members = near.select(F.col("node").alias("fp"), "root").unionByName(near.select(F.col("root").alias("fp"), "root")).unionByName(classes.filter("n > 1").select("fp", F.col("fp").alias("root")))
     # A fingerprint of several texts has its group's root here, or else itself.
     members = members.groupBy("fp").agg(F.min(F.struct((F.col("root") == F.col("fp")).alias("own"), "root"))["root"].alias("root"))
     parts = kinds.join(members, "fp").select("node", "k", "fp", F.xxhash64("k", "root").alias("part"))
-    parts = cut(parts.join(parts.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1"), "part"))
+    parts = settled(parts.join(parts.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1"), "part"))
     earlier = [F.max(F.when((F.col("k") == j) & (F.col("n") <= small), F.col("part"))).alias(f"p{j}") for j in range(FAMILY - 1)]
     inside = F.lit(False)
     for j in range(FAMILY - 1):
@@ -418,10 +418,10 @@ def groups(documents: DataFrame, radius: int = NEAR_BITS, least: float = LEAST,
     texts = rows.groupBy("digest", "other").agg(*(F.min(c).alias(c) for c in (*_FPS, "doc_id")))
     # A text's number is its digest, unless another text of the same digest has it.
     first = F.col("other") == F.min("other").over(Window.partitionBy("digest"))
-    texts = cut(texts.withColumn("node", F.when(first, F.col("digest")).otherwise(F.xxhash64("digest", "other"))))
-    parts = cut(nominated(texts, radius, AROUND * block))
+    texts = settled(texts.withColumn("node", F.when(first, F.col("digest")).otherwise(F.xxhash64("digest", "other"))))
+    parts = settled(nominated(texts, radius, AROUND * block))
     touched = texts.join(parts.select("node").distinct(), "node", "left_semi")
-    known = table_in_shared_folder(sets(documents, touched.select("node", "digest", "other", "doc_id")))
+    known = settled(sets(documents, touched.select("node", "digest", "other", "doc_id")))
     parts, found = around_pivots(parts, known, least, block, AROUND * block)
     dealt = in_blocks(parts, radius, NEAR_PARTS, block, many)
     compared = dealt.join(known, "node").repartition("part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(compare_sets(least), "a long, b long")

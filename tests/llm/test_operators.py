@@ -421,6 +421,25 @@ def test_tables_and_candidates_in_turns_leave_no_shuffle_behind(spark, monkeypat
     assert shuffled_bytes(spark) - before < 500_000
 
 
+def shuffled_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {x.name for folder in folders for x in Path(folder.getPath()).rglob("shuffle_*.data")}
+
+
+def test_groups_of_near_copies_leave_no_shuffle_behind(spark):
+    """The rounds of near-duplicates leave no files of their exchanges (15 before), but for the counts that tell whether stars have settled."""
+    words = np.random.default_rng(8).integers(0, 10**6, (30, 60)).astype(str)
+    docs = spark.createDataFrame([(k, " ".join([*words[k // 3], "end"][: 61 - k % 3])) for k in range(90)], "doc_id long, text string")
+    before = shuffled_files(spark)
+    got = simhash.groups(docs)
+    for _ in range(50):
+        if len(shuffled_files(spark) - before) < 6:
+            break
+        time.sleep(0.1)
+    assert len(shuffled_files(spark) - before) < 6
+    assert len({x["root"] for x in got.select("root").distinct().collect()}) == 30
+
+
 @pytest.mark.parametrize("most", [0, 100_000])
 def test_one_page_of_each_class(spark, monkeypatch, most):
     """Copies, rows that are equal throughout, an id with two images, and pages without an id: each class_id once."""
