@@ -36,7 +36,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 from functools import cache, reduce
 
 import numpy as np
@@ -66,8 +67,8 @@ MOST = 1 << 12
 MARGIN = 12
 #: Matches agree within a cell of so many points and so much of a turn.
 CELL_SIZE, ANGLE = 48.0, np.pi / 6
-#: Points of images worked on together.
-AT_ONCE = 300_000
+#: Points of images worked on together: what is held of them fits into a core's cache.
+AT_ONCE = 100_000
 
 
 def read_pgm(data: bytes | None) -> np.ndarray | None:
@@ -85,15 +86,22 @@ def write_pgm(image: np.ndarray) -> bytes:
     return b"P5 %d %d 255\n" % image.shape[::-1] + np.ascontiguousarray(image, dtype=np.uint8).tobytes()
 
 
+def between(n: int, most: int, grow: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """For n places of a scale, which of `most` points each lies beyond and by how much: from whole numbers, so that this is the same however far down a place is."""
+    at, of = (2 * np.arange(n) + 1) * grow.denominator - grow.numerator, 2 * grow.numerator
+    at = np.clip(at, 0, (most - 1) * of)
+    whole = np.minimum(at // of, max(most - 2, 0))
+    return whole, (at - whole * of) / of
+
+
 def shrink(image: np.ndarray, scale: float) -> np.ndarray:
     """By linear interpolation of the blurred image."""
     if scale == 1:
         return image
+    grow = Fraction(scale).limit_denominator(64)
     height, width = (max(1, int(n * scale)) for n in image.shape)
-    y, x = (np.arange(height) + 0.5) / scale - 0.5, (np.arange(width) + 0.5) / scale - 0.5
-    y, x = np.clip(y, 0, image.shape[0] - 1), np.clip(x, 0, image.shape[1] - 1)
-    i, j = np.minimum(y.astype(int), image.shape[0] - 2) if image.shape[0] > 1 else np.zeros(height, int), np.minimum(x.astype(int), image.shape[1] - 2) if image.shape[1] > 1 else np.zeros(width, int)
-    a, b = (y - i)[:, None], (x - j)[None, :]
+    (i, a), (j, b) = (between(n, m, grow) for n, m in zip((height, width), image.shape, strict=True))
+    a, b = a[:, None], b[None, :]
     i2, j2 = np.minimum(i + 1, image.shape[0] - 1), np.minimum(j + 1, image.shape[1] - 1)
     top = image[i][:, j] * (1 - b) + image[i][:, j2] * b
     low = image[i2][:, j] * (1 - b) + image[i2][:, j2] * b
@@ -143,7 +151,7 @@ def corners(images: list[np.ndarray]) -> list[tuple[int, float, float, float, fl
     most = np.clip(heights * column.shape[1] // AREA, 6, MOST // len(SCALES))
     for scale in SCALES:
         level = shrink(whole, scale).astype(np.float32)
-        if min(level.shape) <= 2 * MARGIN + 3:
+        if level.shape[1] <= 2 * MARGIN + 3 or level.shape[0] <= 2 * MARGIN:
             continue
         wide = np.pad(level, 1, mode="edge")
         gy, gx = wide[2:, 1:-1] - wide[:-2, 1:-1], wide[1:-1, 2:] - wide[1:-1, :-2]
@@ -192,14 +200,27 @@ def packed(corner: tuple[float, float, float, float, bytes]) -> list[int]:
     return [*np.frombuffer(bits, dtype="<i8").tolist(), at]
 
 
-def features(images: DataFrame) -> DataFrame:
-    """page_id, digest and corners (EACH numbers for each corner) from page_id and image."""
+def pictured(batch: pa.RecordBatch, column: str, picture: Callable[[object], bytes | None] | None) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Runs of rows with their images, AT_ONCE bytes or one image at least: what the column holds, or what picture makes of it."""
+    for part in slices(batch, column, AT_ONCE):
+        start, size, images = 0, 0, []
+        for x in part.column(column):
+            images.append(x.as_py() if picture is None else picture(x.as_py()))
+            size += len(images[-1] or b"")
+            if size >= AT_ONCE:
+                yield part.slice(start, len(images)), images
+                start, size, images = start + len(images), 0, []
+        if images:
+            yield part.slice(start), images
+
+
+def features(images: DataFrame, column: str = "image", picture: Callable[[object], bytes | None] | None = None) -> DataFrame:
+    """page_id, digest and corners (EACH numbers for each corner) from page_id and image, or from what picture makes an image of in the task that looks for its corners."""
     schema = pa.schema([("page_id", pa.int64()), ("digest", pa.binary()), ("corners", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "image", AT_ONCE):
-                data = batch.column("image").to_pylist()
+            for batch, data in pictured(whole, column, picture):
                 by_width: dict[int, list[tuple[int, np.ndarray]]] = {}
                 for i, x in enumerate(data):
                     if (image := read_pgm(x)) is not None:
@@ -212,7 +233,7 @@ def features(images: DataFrame) -> DataFrame:
                             own += packed(c[1:])
                 yield batch_of(schema, [batch.column("page_id"), [hashlib.sha256(x or b"").digest() for x in data], found])
 
-    return images.mapInArrow(run, "page_id long, digest binary, corners array<long>")
+    return images.select("page_id", column).mapInArrow(run, "page_id long, digest binary, corners array<long>")
 
 
 def masks(level: int) -> list[list[int]]:
@@ -442,9 +463,9 @@ def first_pages(pages: DataFrame, classes: DataFrame) -> DataFrame:
     return lone.unionByName(one(pages.join(digests, "digest", "left_semi"), repeated))
 
 
-def copies(images: DataFrame) -> DataFrame:
-    """page_id, class_id, component_id, n_links from page_id and image."""
-    pages = table_in_shared_folder(features(images))
+def copies(images: DataFrame, column: str = "image", picture: Callable[[object], bytes | None] | None = None) -> DataFrame:
+    """page_id, class_id, component_id, n_links from page_id and image, or from what picture makes an image of."""
+    pages = table_in_shared_folder(features(images, column, picture))
     classes = cut(pages.groupBy("digest").agg(F.min("page_id").alias("class_id"), F.count("*").alias("n")))
     found = links(first_pages(pages, classes))
     roots = stars(found.select("a", "b"))
@@ -494,12 +515,23 @@ def printed(html: str) -> str:
     return "".join([*out, html[at:]])
 
 
+def page_image(html: str | None) -> bytes:
+    """A page's text as it would be printed, since the tables have no media of their own."""
+    return draw(printed(html or ""))
+
+
 def page_images(pages: DataFrame) -> DataFrame:
-    """page_id and image: each page's text as it would be printed, since the tables have no media of their own."""
+    """page_id and image of each page."""
     schema = pa.schema([("page_id", pa.int64()), ("image", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch_of(schema, [batch.column("page_id"), [draw(printed(x or "")) for x in batch.column("html").to_pylist()]])
+            for part, images in pictured(batch, "html", page_image):
+                yield batch_of(schema, [part.column("page_id"), images])
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, "page_id long, image binary")
+
+
+def page_copies(pages: DataFrame) -> DataFrame:
+    """copies() of the images of pages (page_id, html). Images, four points a sign, are drawn where they are looked at and never leave their task."""
+    return copies(pages.select(F.col("page_id").cast("long").alias("page_id"), "html"), "html", page_image)

@@ -51,7 +51,7 @@ def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.copies(media.page_images(table(spark, sf_dir, "pages")))
+    return media.page_copies(table(spark, sf_dir, "pages"))
 
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,12 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, gbt, media, ngrams, packing, quality, repeats, sharding, simhash, splitters, toxicity, urls
+from lattica.llm import bpe, gbt, media, ngrams, packing, quality, queries, repeats, sharding, simhash, splitters, toxicity, urls
 
 from .helpers import documents, frame
 
@@ -461,6 +462,27 @@ def test_distant_matches_count_once_one_is_found(spark):
     assert [(x["a"], x["b"], x["matches"]) for x in got] == [(0, 1, 6)]
 
 
+def test_images_of_pages_never_leave_their_task(spark, monkeypatch):
+    """One Python step draws pages and finds corners (two before, with whole batches of images between them), and gives what the images themselves give."""
+    seen, features = [], media.features
+    monkeypatch.setattr(media, "features", lambda *a: seen.append(features(*a)) or seen[-1])
+    monkeypatch.setattr(media, "AT_ONCE", 20_000)
+    queries.op4_image_copies(spark, "/root/testdata/sf0.001")
+    assert seen[0]._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = {tuple(x) for x in features(media.page_images(pages)).selectExpr("page_id", "hex(digest)", "hash(corners)", "size(corners)").collect()}
+    assert {tuple(x) for x in seen[0].selectExpr("page_id", "hex(digest)", "hash(corners)", "size(corners)").collect()} == want
+    assert len(want) == pages.count()
+
+
+def test_corners_do_not_depend_on_what_stands_above():
+    """Images alone and in one column have the same corners, to the last bit (places of a scale were rounded by how far down they are before)."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column("html").to_pylist()
+    images = [media.read_pgm(media.page_image(x)) for x in pages[:300]]
+    alone = [(k, *c[1:]) for k, x in enumerate(images) for c in media.corners([x])]
+    assert sorted(media.corners(images)) == sorted(alone)
+
+
 EDITS = {
     "crop": lambda x, r: x[40:200, 60:290],
     "lighter": lambda x, r: np.clip(x * 0.8 + 40, 0, 255),
