@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -208,54 +209,111 @@ def wkb_of(kind: Column, parts: Column) -> Column:
     return written(kind, parts)
 
 
-def _segments(part: dict) -> np.ndarray:
-    """Rows x, y, x, y of a part's sides; a point, or a line of one, is a side without length, and rings are closed."""
-    out = []
-    for ring in part["rings"]:
-        xy = np.column_stack([ring["xs"], ring["ys"]])
-        if part["kind"] == 3:
-            xy = np.vstack([xy, xy[:1]])
-        out.append(np.hstack([xy[:-1], xy[1:]]) if len(xy) > 1 else np.hstack([xy, xy]))
-    return np.vstack(out)
-
-
-def _sides_touch(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether a side of the one and a side of the other share a point; a block of sides at a time."""
-
-    def turn(p, q, r):
-        return np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
-
-    for start in range(0, len(a), 512):
-        p, q = (a[start : start + 512, None, k : k + 2] for k in (0, 2))
-        for other in range(0, len(b), 512):
-            r, s = (b[None, other : other + 512, k : k + 2] for k in (0, 2))
-            cross = (turn(p, q, r) * turn(p, q, s) <= 0) & (turn(r, s, p) * turn(r, s, q) <= 0)
-            # Sides on one line cross by this test wherever they are; their boxes tell.
-            near = np.all((np.minimum(p, q) <= np.maximum(r, s)) & (np.minimum(r, s) <= np.maximum(p, q)), axis=-1)
-            if (cross & near).any():
-                return True
-    return False
-
-
-def _inside(x: float, y: float, part: dict) -> bool:
-    """Whether a point lies within a polygon: a ray from it crosses the sides of its rings an odd number of times."""
-    s = _segments(part)
-    s = s[(s[:, 1] > y) != (s[:, 3] > y)]
-    return bool(len(s)) and int((x < s[:, 0] + (y - s[:, 1]) * (s[:, 2] - s[:, 0]) / (s[:, 3] - s[:, 1])).sum()) % 2 == 1
-
-
-def meet(a: dict, b: dict) -> bool:
-    """Whether two parts share a point: sides that touch, or one that lies wholly within the other."""
-    if _sides_touch(_segments(a), _segments(b)):
-        return True
-    return any(other["kind"] == 3 and _inside(one["rings"][0]["xs"][0], one["rings"][0]["ys"][0], other) for one, other in ((a, b), (b, a)))
-
-
-def parts_meet(a: Column, b: Column) -> Column:
-    """Whether two parts of shapes share a point; edges belong to a polygon, holes don't. Null where either is."""
-
-    @F.arrow_udf("boolean")
-    def shared(one: pa.Array, two: pa.Array) -> pa.Array:
-        return pa.array([None if x is None or y is None else meet(x, y) for x, y in zip(one.to_pylist(), two.to_pylist(), strict=True)], type=pa.bool_())
+#: Pairs of sides that are compared at once.
+MOST = 1 << 16
+
+
+def pieces(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of neighbours whose sizes add up to `most` at most; what is larger is alone."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield slice(start, end)
+        start = end
+
+
+def runs(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n numbers from each first on, one run after another; before them, which run each is of."""
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) + (first - (np.cumsum(n) - n))[of]
+
+
+class Sides:
+    """Parts of shapes (as of PART, none missing) with their sides in flat columns, so that a few steps of NumPy compare many pairs of parts.
+
+    A point, or a ring or line of one, is a side without length; a polygon's rings are closed.
+    """
+
+    def __init__(self, parts: pa.StructArray):
+        column = dict(zip((f.name for f in parts.type), parts.flatten(), strict=True))
+        plain = lambda c: c.to_numpy(zero_copy_only=False)
+        self.kind = plain(column["kind"])
+        xs, ys = column["rings"].flatten().flatten()
+        x, y, n = plain(xs.flatten()), plain(ys.flatten()), plain(xs.value_lengths()).astype(np.int64)
+        of_ring = np.repeat(np.arange(len(self.kind)), plain(column["rings"].value_lengths()))[n > 0]
+        n = n[n > 0]
+        first, last = np.cumsum(n) - n, np.cumsum(n) - 1
+        to, there = np.arange(len(x)) + 1, np.ones(len(x), dtype=bool)
+        to[last] = first
+        # From the last point a side leads back to the first, but for lines, and rings that end where they began.
+        there[last] = (n == 1) | ((self.kind[of_ring] == 3) & ((x[last] != x[first]) | (y[last] != y[first])))
+        of = np.repeat(of_ring, n)
+        self.n = np.bincount(of[there], minlength=len(self.kind))
+        self.at = np.cumsum(self.n) - self.n
+        self.x, self.y = ((c[there], c[to[there]]) for c in (x, y))
+        self.low, self.high = ([f(*c) for c in (self.x, self.y)] for f in (np.minimum, np.maximum))
+        begin = np.searchsorted(of, np.arange(len(self.kind)))
+        self.start = x[begin], y[begin]
+        self.box = [(plain(column[low]), plain(column[high])) for low, high in (("west", "east"), ("south", "north"))]
+        #: Least and greatest x + y and x - y: a box turned by half a right angle.
+        self.turned = [(np.minimum.reduceat(v, begin), np.maximum.reduceat(v, begin)) for v in (x + y, x - y)]
+
+    def meet(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether parts i and j share a point, pair by pair: sides that touch, or one that lies wholly within the other. Edges belong to a polygon, holes don't."""
+        out, at = np.zeros(len(i), dtype=bool), np.arange(len(i))
+        for low, high in self.box[::-1] + self.turned:
+            near = (low[i] <= high[j]) & (low[j] <= high[i])
+            at, i, j = at[near], i[near], j[near]
+        for some in pieces(self.n[i] * self.n[j], MOST):
+            out[at[some]] = self._meet(i[some], j[some])
+        return out
 
-    return shared(a, b)
+    def _meet(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """As meet: of some pairs, or of one of very many sides."""
+        # A point within is found sooner than sides that touch, and mostly there is one, of the smaller part j.
+        hit = (self.kind[i] == 3) & self._inside(j, i)
+        left = np.flatnonzero(~hit)
+        a, b = i[left], j[left]
+        if len(i) == 1 and len(a):
+            step = max(1, MOST // int(self.n[b[0]]))
+            hit[0] = any(self._touch(self.at[a] + k, np.minimum(self.n[a] - k, step), b)[0] for k in range(0, int(self.n[a[0]]), step))
+        else:
+            hit[left] = self._touch(self.at[a], self.n[a], b)
+        left = np.flatnonzero(~hit & (self.kind[j] == 3))
+        hit[left] = self._inside(i[left], j[left])
+        return hit
+
+    def _touch(self, first: np.ndarray, n: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether one of n sides from `first` on shares a point with a side of part j."""
+        pair, a = runs(first, n)
+        for (low, high), w, e in zip(self.box, self.low, self.high, strict=True):
+            near = (w[a] <= high[j[pair]]) & (low[j[pair]] <= e[a])
+            pair, a = pair[near], a[near]
+        of, b = runs(self.at[j[pair]], self.n[j[pair]])
+        pair, a = pair[of], a[of]
+        # Sides on one line cross by their turns wherever they are; their boxes tell.
+        for low, high in zip(self.low, self.high, strict=True):
+            near = (low[a] <= high[b]) & (low[b] <= high[a])
+            pair, a, b = pair[near], a[near], b[near]
+        near = self._across(a, b)
+        pair, a, b = pair[near], a[near], b[near]
+        hit = np.zeros(len(j), dtype=bool)
+        hit[pair[self._across(b, a)]] = True
+        return hit
+
+    def _across(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the ends of side b lie on the line of side a, or on both hands of it."""
+        x, y = self.x[0][a], self.y[0][a]
+        dx, dy = self.x[1][a] - x, self.y[1][a] - y
+        one, two = (dx * (self.y[end][b] - y) - dy * (self.x[end][b] - x) for end in (0, 1))
+        return ((one <= 0) & (two >= 0)) | ((one >= 0) & (two <= 0))
+
+    def _inside(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the first point of part i lies within polygon j: a ray from it crosses the sides of its rings an odd number of times."""
+        pair, s = runs(self.at[j], self.n[j])
+        y = self.start[1][i][pair]
+        spans = (self.y[0][s] > y) != (self.y[1][s] > y)
+        pair, s, y = pair[spans], s[spans], y[spans]
+        x = self.start[0][i][pair]
+        right = x < self.x[0][s] + (y - self.y[0][s]) * (self.x[1][s] - self.x[0][s]) / (self.y[1][s] - self.y[0][s])
+        return np.bincount(pair[right], minlength=len(i)) % 2 == 1

@@ -4,6 +4,8 @@ import random
 import re
 import struct
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +211,95 @@ def test_a_worker_holds_few_grams_of_a_block(spark, tmp_path, monkeypatch):
     assert textindex.postings_of(spark, str(tmp_path / "index")).groupBy("gram", "block").count().filter("count > 1").count() > 0
     assert [r["id"] for r in textindex.like(spark, str(tmp_path / "index"), "text 17 %").collect()] == [17]
     assert textindex.like(spark, str(tmp_path / "index"), "%abcdefghij%").count() == 300
+
+
+def plain_meet(a, b):
+    """Whether two geometries (kind, parts) of whole numbers share a point, side by side in exact numbers."""
+
+    def singles(kind, parts):
+        return [((kind - 3 if kind > 3 else kind), [[(r[k], r[k + 1]) for k in range(0, len(r), 2)] for r in p]) for p in parts]
+
+    def sides(kind, rings):
+        return [(r[k], r[(k + 1) % len(r)]) for r in rings for k in range(len(r) if kind == 3 or len(r) == 1 else len(r) - 1)]
+
+    def turn(p, q, r):
+        return (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+
+    def touch(s, t):
+        (p, q), (u, v) = s, t
+        near = all(min(p[k], q[k]) <= max(u[k], v[k]) and min(u[k], v[k]) <= max(p[k], q[k]) for k in (0, 1))
+        return near and turn(p, q, u) * turn(p, q, v) <= 0 and turn(u, v, p) * turn(u, v, q) <= 0
+
+    def inside(at, rings):
+        # What is below a side and to the left of it, times the sides' direction.
+        return sum(1 for p, q in sides(3, rings) if (p[1] > at[1]) != (q[1] > at[1]) and (turn(p, q, at) > 0) == (q[1] > p[1])) % 2 == 1
+
+    for k, x in singles(*a):
+        for m, y in singles(*b):
+            if any(touch(s, t) for s in sides(k, x) for t in sides(m, y)) or (m == 3 and inside(x[0][0], y)) or (k == 3 and inside(y[0][0], x)):
+                return True
+    return False
+
+
+def some_geometries(n, seed):
+    r = random.Random(seed)
+    known = []
+    for i in range(n):
+        x, y, w = r.randrange(30), r.randrange(30), r.choice([0, 1, 2, 3, 12])
+        ring = [x, y, x + w, y + r.randrange(2) * w, x + w, y + w, x, y + w]
+        closed = ring + ring[:2] * r.randrange(2)
+        hole = [x + 4, y + 4, x + 8, y + 6, x + 6, y + 8, x + 4, y + 4]
+        polygon = [closed, hole] if w == 12 and ring[3] == y else [closed]
+        kind = r.choice([1, 2, 3, 4, 5, 6])
+        one = {1: [[x, y]], 2: [ring[:4]], 3: polygon}[kind - 3 if kind > 3 else kind]
+        far = [[v + 9 for v in piece] for piece in one]
+        known.append((i, kind, [[[float(v) for v in piece] for piece in p] for p in ([one] if kind <= 3 else [one, far])]))
+    return known
+
+
+def test_geometries_of_all_kinds_meet_as_they_do_one_by_one(spark, monkeypatch):
+    """Of random ones on a grid, where edges and corners often touch; cells dealt into blocks of few, in many buckets, give the same."""
+    known = some_geometries(120, 11)
+    want = sorted((a[0], b[0]) for a in known for b in known if a[0] < b[0] and plain_meet(a[1:], b[1:]))
+    assert 200 < len(want) < 3000
+    shaped = spark.createDataFrame(known, "k long, kind int, parts array<array<array<double>>>").select("k", geo.wkb_shape(geo.wkb_of(F.col("kind"), F.col("parts"))).alias("s")).cache()
+    assert sorted(tuple(x) for x in boxes.geometries_meeting(shaped, None, "k", "s").collect()) == want
+    monkeypatch.setattr(boxes, "BLOCK", 4)
+    monkeypatch.setattr(boxes, "HELD", 30)
+    assert sorted(tuple(x) for x in boxes.geometries_meeting(shaped, None, "k", "s").collect()) == want
+    few, named = shaped.filter("k % 4 = 0"), shaped.select(F.concat(F.lit("g"), "k").alias("k"), "s")
+    both = want + [(b, a) for a, b in want] + [(k, k) for k in range(120)]
+    assert sorted(tuple(x) for x in boxes.geometries_meeting(few, named, "k", "s").collect()) == sorted((a, f"g{b}") for a, b in both if a % 4 == 0)
+    none = boxes.geometries_meeting(few.limit(0), named.limit(0), "k", "s")
+    assert none.dtypes == [("a", "bigint"), ("b", "string")] and none.count() == 0
+
+
+def test_parts_of_very_many_sides_are_compared_some_at_a_time(monkeypatch):
+    known = some_geometries(60, 12)
+    parts = [p for g in known for p in geo.shape_of(pack(*g[1:]))["parts"]]
+    sides = geo.Sides(pa.array(parts, type=geo._PART_PA))
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(parts)), np.arange(len(parts))))
+    want = sides.meet(i, j)
+    assert 0 < want.sum() < len(i) and (want == sides.meet(j, i)).all()
+    monkeypatch.setattr(geo, "MOST", 3)
+    assert (want == sides.meet(i, j)).all()
+
+
+def test_no_row_is_formed_where_only_boxes_meet(spark):
+    """Six hundred lines side by side, aslant: all boxes meet, no two lines do. No step gives as many rows as a tenth of their 179,700 pairs."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def rows():
+        bus.waitUntilEmpty()
+        out, runs = {}, store.executionsList()
+        for run in (runs.apply(k) for k in range(runs.size())):
+            values, metrics = store.executionMetrics(run.executionId()), run.metrics()
+            found = (values.get(m.accumulatorId()) for m in (metrics.apply(k) for k in range(metrics.size())) if m.name() == "number of output rows")
+            out[run.executionId()] = max((int(v.get().replace(",", "")) for v in found if v.isDefined()), default=0)
+        return out
+
+    line = F.array(*((F.lit(v) + F.col("id") * w).cast("double") for v, w in ((0, 1), (0, -1), (5000, 1), (5000, -1))))
+    shaped = spark.range(600).select("id", geo.wkb_shape(geo.wkb_of(F.lit(2), F.array(F.array(line)))).alias("s"))
+    before = rows()
+    assert boxes.geometries_meeting(shaped, None, "id", "s").count() == 0
+    assert 600 <= max(n for k, n in rows().items() if k not in before) < 17_970
